@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ def round_to(c, digits: int = 0, mode: str = "half_up") -> Column:
     if mode == "half_even":
         return F.bround(c, digits)
     if mode == "js":
-        p = float(10 ** digits)
-        return F.floor(c * p + F.lit(0.5)) / p if digits else F.floor(c + F.lit(0.5)).cast("double")
+        # decimal literals keep exact (decimal) input exact; doubles stay doubles
+        p = F.lit(10 ** digits)
+        return F.floor(c * p + F.lit(Decimal("0.5"))) / p
     raise ValueError(f"unknown rounding mode {mode!r}")
 
 

@@ -112,3 +112,31 @@ def sql_daily_events(event_type: str | None = None) -> str:
     where = f" WHERE event_type = '{event_type}'" if event_type else ""
     return ("SELECT CAST(ts AS DATE) AS d, COUNT(*) AS n, "
             f"CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM events{where} GROUP BY 1")
+
+
+def trade_pairs(spark, sf) -> DataFrame:
+    """Directed (customer nation → supplier nation) pairs, one per line item:
+    the reference's actor1 → actor2 event shape. Fact ⋈ fact on the order key
+    shuffles; dimensions are joined by the planner (AQE picks broadcast from
+    runtime sizes); the 25-row nation dictionary is broadcast after a check."""
+    from chronoframe.session import maybe_broadcast
+    n = table(spark, sf, "nation")
+    cn = maybe_broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")))
+    sn = maybe_broadcast(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst")))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity",
+                                             "l_discount", "l_returnflag")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey",
+                                          F.to_date("o_orderdate").alias("od"), "o_orderpriority")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    j = li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").join(cn, "c_nationkey").join(sn, "s_nationkey")
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "src", "dst", "od", "o_orderpriority", "l_quantity",
+                    dec("l_discount").alias("disc"), "l_returnflag")
+
+
+SQL_PAIRS = """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, cn.n_name AS src, sn.n_name AS dst,
+  CAST(o.o_orderdate AS DATE) AS od, o.o_orderpriority, l.l_quantity, CAST(l.l_discount AS DECIMAL(18,2)) AS disc,
+  l.l_returnflag
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey
+JOIN nation sn ON s.s_nationkey = sn.n_nationkey"""
