@@ -218,14 +218,24 @@ def flags_to_counts(df: DataFrame, flags: Mapping[str, str], date: str | None =
 
 
 # A20
-def superset_member(df: DataFrame, member: str, members: Sequence[str], name: str, dims: Sequence[str],
+def superset_member(df: DataFrame, member: str, members, name: str, dims: Sequence[str],
                     sums: Sequence[str], null_cols: Sequence[str] = ()) -> DataFrame:
     """Append synthetic member rows (``name``) = sums over the member set by
-    the remaining dims; columns where a sum is meaningless stay NULL."""
-    sub = df.filter(as_col(member).isin(list(members))).groupBy(*dims).agg(*[F.sum(s).alias(s) for s in sums])
-    sub = sub.withColumn(member, F.lit(name))
+    the remaining dims; columns where a sum is meaningless stay NULL.
+    ``members`` is a list or a one-column DataFrame (semi join, broadcast
+    after a size check)."""
+    from chronoframe.session import maybe_broadcast
+    if isinstance(members, DataFrame):
+        m = members.select(F.col(members.columns[0]).alias("__m")).distinct()
+        sub = df.join(maybe_broadcast(m), as_col(member) == F.col("__m"), "left_semi")
+    else:
+        sub = df.filter(as_col(member).isin(list(members)))
+    sub = sub.groupBy(*dims).agg(*[F.sum(s).alias(s) for s in sums]).withColumn(member, F.lit(name))
     for c in null_cols:
         sub = sub.withColumn(c, F.lit(None).cast(dict(df.dtypes)[c]))
+    for c in df.columns:
+        if c not in sub.columns:
+            sub = sub.withColumn(c, F.lit(None).cast(dict(df.dtypes)[c]))
     return df.unionByName(sub.select(*df.columns))
 
 
@@ -348,19 +358,24 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # A31
 def linear_trend(df: DataFrame, order: str, value: str, series=(), fitted: str = "trend") -> DataFrame:
-    """OLS of value on the 0-based row index per series: slope, intercept and
-    the fitted value on every row; fewer than 2 rows → slope 0, intercept =
-    first value. Meant for rollups (one row per series and date)."""
+    """OLS of value on the 0-based row index per series, in the sum form
+    ``slope = (nΣxy − ΣxΣy) / (nΣx² − (Σx)²)``, ``intercept = (Σy − slope·Σx) / n``,
+    plus the fitted value on every row; fewer than 2 rows → slope 0 and
+    intercept = first value. Meant for rollups (one row per series and date):
+    the index is a row_number partitioned by series."""
     k = _keys(series)
     w = Window.partitionBy(*k).orderBy(order) if k else Window.orderBy(order)
     idx = df.withColumn("__i", (F.row_number().over(w) - 1).cast("double"))
-    fit = idx.groupBy(*k).agg(F.regr_slope(value, "__i").alias("__s"), fx.mean("__i").alias("__mi"),
-                              fx.mean(value).alias("__my"), F.count(F.lit(1)).alias("__n"),
-                              F.min_by(value, "__i").alias("__v0"))
-    fit = fit.select(*k, F.when(F.col("__n") < 2, 0.0).otherwise(F.coalesce("__s", F.lit(0.0))).alias("slope"),
-                     "__mi", "__my", "__n", "__v0")
-    fit = fit.withColumn("intercept", F.when(F.col("__n") < 2, F.coalesce(F.col("__v0").cast("double"), F.lit(0.0)))
-                         .otherwise(F.col("__my") - F.col("slope") * F.col("__mi"))).drop("__mi", "__my", "__n", "__v0")
+    y = as_col(value).cast("double")
+    x = F.col("__i")
+    fit = idx.groupBy(*k).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum(x).alias("__sx"), F.sum(y).alias("__sy"),
+                              F.sum(x * y).alias("__sxy"), F.sum(x * x).alias("__sxx"), F.min_by(y, x).alias("__v0"))
+    n, sx, sy, sxy, sxx = (F.col(c) for c in ("__n", "__sx", "__sy", "__sxy", "__sxx"))
+    slope = F.when(n < 2, F.lit(0.0)).otherwise((n * sxy - sx * sy) / (n * sxx - sx * sx))
+    fit = fit.withColumn("slope", slope)
+    fit = fit.withColumn("intercept", F.when(n < 2, F.coalesce(F.col("__v0"), F.lit(0.0)))
+                         .otherwise((sy - F.col("slope") * sx) / n))
+    fit = fit.select(*k, "slope", "intercept")
     if k:
         joined = idx.join(fit, k, "inner")
     else:  # one fitted row: equi-join on a constant key, broadcast (size 1)
