@@ -98,9 +98,11 @@ def near_events(points: DataFrame, events: DataFrame, date_a: str, date_b: str,
     through an equi-join, and a residual filter keeps the exact condition."""
     w = int(days)
     pa = points.withColumn("__ua", F.unix_date(as_col(date_a)))
-    pa = pa.withColumn("__bin", F.explode(F.array(*[F.floor(F.col("__ua") / w) + o for o in (-1, 0, 1)])).cast("long"))
+    pa = pa.withColumn("__bin", F.explode(F.array(*[(F.floor(F.col("__ua") / w) + o).cast("long") for o in (-1, 0, 1)])))
     eb = events.withColumn("__ub", F.unix_date(as_col(date_b))).withColumn("__bin", F.floor(F.col("__ub") / w).cast("long"))
-    j = pa.join(eb, "__bin", "inner").filter(F.abs(F.col("__ua") - F.col("__ub")) < w)
+    # A point side of proven small size (e.g. a calendar) is broadcast, so a
+    # day holding a third of all events never lands in one shuffle task.
+    j = maybe_broadcast(pa).join(eb, "__bin", "inner").filter(F.abs(F.col("__ua") - F.col("__ub")) < w)
     return j.drop("__bin", "__ua", "__ub")
 
 
