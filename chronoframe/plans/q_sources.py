@@ -1,9 +1,27 @@
-"""Driver queries for sources."""
+"""Driver queries for sources.
+
+Each query renders a landed file set from a driver table (see ``fixtures``)
+and reads it back through the source operator; the oracle is the table
+itself.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from chronoframe import sources
-from chronoframe.plans.common import query
+from chronoframe.plans import fixtures as fz
+from chronoframe.plans.common import query, table
+from chronoframe.session import scratch_path
+
+ORDERS_DDL = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate date, "
+              "o_orderpriority string")
+SQL_ORDERS_TYPED = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, "
+                    "o_orderpriority FROM orders")
+
+
+def _orders_dated(spark, sf):
+    return table(spark, sf, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
 @query("S01_scan_table", """
@@ -13,3 +31,101 @@ def s01(spark, sf):
     """Parquet scan with projection and a parameter-bound predicate (pushed to the scan)."""
     return sources.scan_table(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice"],
                               "o_orderstatus = :s AND o_totalprice > :p", {"s": "F", "p": 100000.0})
+
+
+@query("S02_scan_csv", SQL_ORDERS_TYPED)
+def s02(spark, sf):
+    """Header CSV written by Spark, read back typed by a declared schema."""
+    path = scratch_path(spark, "orders-csv")
+    _orders_dated(spark, sf).write.option("header", True).csv(path)
+    return sources.scan_csv(spark, path, ORDERS_DDL)
+
+
+@query("S03_scan_csv_preamble", SQL_ORDERS_TYPED)
+def s03(spark, sf):
+    """Each file starts with free-text lines; the header is the first line starting with the marker."""
+    def render(pdf):
+        return ["Daily order report", "generated by the export job, do not edit", ""] + fz.csv_lines(pdf)
+    path = fz.write_lines(_orders_dated(spark, sf), "orders-preamble", render)
+    return sources.scan_csv_preamble(spark, path, "o_orderkey,", ORDERS_DDL)
+
+
+@query("S04_scan_csv_tagrow", SQL_ORDERS_TYPED)
+def s04(spark, sf):
+    """Each file's second line is a '#' tag row; only that line is dropped."""
+    def render(pdf):
+        lines = fz.csv_lines(pdf)
+        return [lines[0], ",".join("#" + c.split("_", 1)[-1] for c in pdf.columns)] + lines[1:]
+    path = fz.write_lines(_orders_dated(spark, sf), "orders-tagrow", render)
+    return sources.scan_csv_tagrow(spark, path, ORDERS_DDL)
+
+
+@query("S05_scan_csv_in_zip", SQL_ORDERS_TYPED)
+def s05(spark, sf):
+    """ZIP archives with a BOM-prefixed CSV member picked by name; other members ignored."""
+    path = fz.write_zipped_csv(_orders_dated(spark, sf), "orders-zip", "daily_data_orders.csv")
+    return sources.scan_csv_in_zip(spark, path, r"^daily_data.*\.csv$", ORDERS_DDL)
+
+
+CUSTOMER_ODD_KEYS = {"customer key": "c_custkey", "account balance*": "c_acctbal", "market segment": "c_mktsegment"}
+
+
+@query("S06_scan_json_array", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
+def s06(spark, sf):
+    """Files holding one JSON array of records with odd keys, renamed on read."""
+    c = table(spark, sf, "customer").select(*[F.col(v).alias(k) for k, v in CUSTOMER_ODD_KEYS.items()])
+    path = fz.write_lines(c, "customer-json-array", lambda pdf: [fz.json_dump(fz.json_records(pdf))])
+    return sources.scan_json_array(spark, path, CUSTOMER_ODD_KEYS)
+
+
+@query("S07_scan_json_pages", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s07(spark, sf):
+    """API pages {"data": [...], "maxPages": n} → rows."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = fz.write_lines(o, "orders-pages", lambda pdf: [fz.json_dump({"data": fz.json_records(pdf), "maxPages": 4})])
+    return sources.scan_json_pages(spark, path, "data")
+
+
+@query("S07_scan_json_pages_meta", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s07_meta(spark, sf):
+    """API pages shaped [meta, [rows]] → rows (row schema declared)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = fz.write_lines(o, "orders-pages-meta",
+                          lambda pdf: [fz.json_dump([{"page": 1, "pages": 4, "per_page": len(pdf)}, fz.json_records(pdf)])])
+    return sources.scan_json_pages(spark, path, None, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
+
+
+SQL_GEO_BOXES = """WITH b AS (SELECT CAST(ts AS DATE) AS date, event_type, min(value) AS x0, max(value) AS x1,
+    CAST(min(user_id) AS DOUBLE) AS y0, CAST(max(user_id) AS DOUBLE) AS y1 FROM events GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY event_type) - 1 AS feature_id FROM b)"""
+
+
+@query("S08_scan_geojson", SQL_GEO_BOXES + """
+SELECT date, CAST(feature_id AS INTEGER) AS feature_id, 0 AS ring, v.vertex, v.lon, v.lat FROM f,
+  LATERAL (SELECT * FROM (VALUES (0, x0, y0), (1, x1, y0), (2, x1, y1), (3, x0, y1), (4, x0, y0)) t(vertex, lon, lat)) v
+""")
+def s08(spark, sf):
+    """One GeoJSON FeatureCollection per day (the date in the path); each event type's
+    value × user bounding box is a polygon; read back as one row per vertex."""
+    e = table(spark, sf, "events").withColumn("date", F.to_date("ts").cast("string"))
+    boxes = e.groupBy("date", "event_type").agg(F.min("value").alias("x0"), F.max("value").alias("x1"),
+                                                 F.min("user_id").cast("double").alias("y0"),
+                                                 F.max("user_id").cast("double").alias("y1"))
+
+    def render(pdf):
+        feats = []
+        for r in pdf.sort_values("event_type").itertuples():
+            ring = [[r.x0, r.y0], [r.x1, r.y0], [r.x1, r.y1], [r.x0, r.y1], [r.x0, r.y0]]
+            feats.append({"type": "Feature", "properties": {"event_type": r.event_type},
+                          "geometry": {"type": "Polygon", "coordinates": [ring]}})
+        return [fz.json_dump({"type": "FeatureCollection", "features": feats})]
+
+    path = fz.write_lines(boxes, "events-geojson", render, partitions=4, partition_by="date")
+    return sources.scan_geojson(spark, path)
+
+
+@query("S09_rename_map", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer")
+def s09(spark, sf):
+    """External header → canonical names, declared order, a missing source column ignored."""
+    c = table(spark, sf, "customer")
+    return sources.rename_map(c, {"c_custkey": "id", "c_name": "name", "c_phone": "phone", "c_mktsegment": "segment"})
