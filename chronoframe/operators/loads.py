@@ -203,7 +203,7 @@ def refresh_rollup(df: DataFrame, series, date: str, value: str) -> DataFrame:
     w = (Window.partitionBy(*k) if k else Window).orderBy(date)
     prev = F.lag(value).over(w)
     res = df.withColumn("__p", prev).withColumn("change", as_col(value) - F.col("__p"))
-    pct = F.when(F.col("__p") != 0, F.round(F.col("change") / F.col("__p") * 100.0, 4))
+    pct = F.when(F.col("__p") != 0, F.col("change") / F.col("__p") * 100.0)
     return res.withColumn("change_pct", pct).drop("__p")
 
 
@@ -265,7 +265,7 @@ def region_rollup_load(df: DataFrame, region: str, ts_text, measures: Sequence[s
     metadata from the first-seen row per group (``min_by`` on ``order``)."""
     d = F.try_to_date(F.substring(as_col(ts_text).cast("string"), 1, 10), "yyyy-MM-dd")
     src = df.withColumn("date", d)
-    aggs = [F.sum(F.coalesce(as_col(m).cast("double"), F.lit(0.0))).alias(m) for m in measures]
+    aggs = [F.sum(F.coalesce(as_col(m), F.lit(0))).alias(m) for m in measures]
     aggs += [F.min_by(as_col(m), as_col(order)).alias(m) for m in meta] if order else [F.first(m).alias(m) for m in meta]
     return src.groupBy(region, "date").agg(*aggs)
 
