@@ -104,8 +104,8 @@ def stream_change_points(sdf: DataFrame, series: str, order: str, value: str, th
                 keep.append(i)
                 prev = float(x)
         state.update((prev,))
-        res = pdf.iloc[keep][[series, order, value]] if keep else pd.DataFrame({series: [], order: [], value: []})
-        yield res.astype({value: "float64"})
+        if keep:
+            yield pdf.iloc[keep][[series, order, value]].astype({value: "float64"})
 
     src = sdf.select(F.col(series).cast("string").alias(series), order, F.col(value).cast("double").alias(value))
     return src.groupBy(series).applyInPandasWithState(step, out_schema, "last double", "append", GroupStateTimeout.NoTimeout)
