@@ -378,8 +378,8 @@ def linear_trend(df: DataFrame, order: str, value: str, series=(), fitted: str =
     fit = fit.select(*k, "slope", "intercept")
     if k:
         joined = idx.join(fit, k, "inner")
-    else:  # one fitted row: equi-join on a constant key, broadcast (size 1)
-        joined = idx.withColumn("__g", F.lit(0)).join(F.broadcast(fit.withColumn("__g", F.lit(0))), "__g").drop("__g")
+    else:  # a single fit: two scalar subqueries (merged into one by the optimizer), no join
+        joined = idx.withColumns({"slope": fit.select("slope").scalar(), "intercept": fit.select("intercept").scalar()})
     return joined.withColumn(fitted, F.col("intercept") + F.col("slope") * F.col("__i")).drop("__i")
 
 

@@ -66,13 +66,13 @@ def sink_period_partitions(df: DataFrame, int_date: str, periods: Mapping[str, t
 # K03
 def nested_document(parts: Mapping[str, tuple]) -> DataFrame:
     """``{section: (df, {name: agg Column})}`` → one row with one struct per
-    section. One aggregate per table (one scan each), joined as 1-row frames
-    on a constant key."""
+    section. One aggregate per table (one scan each); the first is the row,
+    the others attach as scalar subqueries (no join)."""
     out = None
     for section, (df, aggs) in parts.items():
-        row = df.agg(F.struct(*[e.alias(n) for n, e in aggs.items()]).alias(section)).withColumn("__g", F.lit(0))
-        out = row if out is None else out.join(row, "__g")
-    return out.drop("__g")
+        row = df.agg(F.struct(*[e.alias(n) for n, e in aggs.items()]).alias(section))
+        out = row if out is None else out.withColumn(section, row.scalar())
+    return out
 
 
 # K04

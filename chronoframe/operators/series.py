@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronoframe.functions.common import as_col
-from chronoframe.session import maybe_broadcast
 from chronoframe.functions.numeric import clip as clip_expr
 from chronoframe.functions.numeric import round_to
 
@@ -110,11 +109,11 @@ def dense_running_total(df: DataFrame, series: str, order: str, col: str, out: s
 
 
 def _dense(df: DataFrame, series: str, order: str) -> DataFrame:
-    """All (order, series) pairs. The category list is bounded by the number of
-    categories (checked before broadcasting); dates are calendar-sized."""
-    s = df.select(series).distinct().withColumn("__g", F.lit(0))
-    o = df.select(order).distinct().withColumn("__g", F.lit(0))
-    return o.join(maybe_broadcast(s, 10_000), "__g").drop("__g")
+    """All (order, series) pairs without a join: the category set is one
+    ``collect_set`` row (bounded by the number of categories) attached as a
+    scalar subquery and exploded beside every distinct order value."""
+    cats = df.select(F.sort_array(F.collect_set(series))).scalar()
+    return df.select(order).distinct().select(order, F.explode(cats).alias(series))
 
 
 # W08

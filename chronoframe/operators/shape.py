@@ -6,10 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoframe.functions.common import as_col
-from chronoframe.session import maybe_broadcast
 
 
 # R01
@@ -24,14 +22,14 @@ def pivot_sum(df: DataFrame, key, category: str, value: str, categories: Sequenc
 
 # R02
 def dense_grid(df: DataFrame, key: str, category: str, value: str, categories: Sequence[str] | None = None) -> DataFrame:
-    """All keys × categories with 0 for gaps (long form). The category list is
-    small and bounded (checked before it is broadcast)."""
-    cats = df.select(category).distinct() if categories is None else \
-        df.sparkSession.createDataFrame([(c,) for c in categories], [category])
-    if categories is not None:
-        cats = cats.withColumn(category, F.col(category).cast(dict(df.dtypes)[category]))
-    keys = df.select(key).distinct().withColumn("__g", F.lit(0))
-    grid = keys.join(maybe_broadcast(cats.withColumn("__g", F.lit(0)), 10_000), "__g").drop("__g")
+    """All keys × categories with 0 for gaps (long form), without a join for
+    the grid: each distinct key explodes the category list — a literal array
+    when given, else one bounded ``collect_set`` row as a scalar subquery."""
+    if categories is None:
+        cats = df.select(F.sort_array(F.collect_set(category))).scalar()
+    else:
+        cats = F.array(*[F.lit(c) for c in categories]).cast(f"array<{dict(df.dtypes)[category]}>")
+    grid = df.select(key).distinct().select(key, F.explode(cats).alias(category))
     summed = df.groupBy(key, category).agg(F.sum(value).alias(value))
     return grid.join(summed, [key, category], "left").fillna(0, subset=[value])
 
@@ -150,12 +148,13 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # U04
 def overlay_by_key(frames: Sequence[DataFrame], key) -> DataFrame:
-    """Keyed union where a later frame replaces earlier rows with the same key
-    (rank-by-source with a window partitioned by the key)."""
+    """Keyed union where a later frame replaces earlier rows with the same key:
+    ``max_by`` on the frame's rank — an aggregation (partial before the
+    shuffle), so a heavily repeated key is not sorted in one task."""
     keys = [key] if isinstance(key, str) else list(key)
     u = None
     for i, df in enumerate(frames):
         part = df.withColumn("__src", F.lit(i))
         u = part if u is None else u.unionByName(part)
-    w = Window.partitionBy(*keys).orderBy(F.col("__src").desc())
-    return u.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__src")
+    cols = [c for c in u.columns if c not in keys and c != "__src"]
+    return u.groupBy(*keys).agg(F.max_by(F.struct(*cols), "__src").alias("__r")).select(*keys, "__r.*")

@@ -57,6 +57,36 @@ def a05(spark, sf):
     return r.withColumn("total", F.col("total").cast("double"))
 
 
+@query("A06_bucket_count", """
+SELECT CAST(date_trunc('week', CAST(ts AS DATE)) AS DATE) AS week, event_type, COUNT(*) AS count,
+       CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
+FROM events GROUP BY 1, 2
+""")
+def a06(spark, sf):
+    """Events per Monday-week × type: count and value."""
+    return aggs.bucket_count(events(spark, sf), "ts", "week", ["event_type"], {"total_value": dsum("value")})
+
+
+@query("A06_bucket_count_month", """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus, COUNT(*) AS count,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+FROM orders GROUP BY 1, 2
+""")
+def a06_month(spark, sf):
+    """Orders per month × status: count and revenue."""
+    return aggs.bucket_count(orders(spark, sf), "o_orderdate", "month", ["o_orderstatus"], {"revenue": dsum("o_totalprice")})
+
+
+@query("A06_bucket_count_day", """
+SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS count,
+  COALESCE(CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value), 0) AS avg_value
+FROM events GROUP BY 1, 2
+""")
+def a06_day(spark, sf):
+    """Events per day × type: count and average value."""
+    return aggs.bucket_count(events(spark, sf), "ts", "day", ["event_type"], {"avg_value": F.coalesce(fx.mean("v"), F.lit(0.0))})
+
+
 @query("A07_conditional_sums", """
 SELECT CAST(l_shipdate AS DATE) AS sd, SUM(l_quantity) AS launched,
   SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS destroyed,
