@@ -107,7 +107,7 @@ def filter_in_set(df: DataFrame, col: str, values) -> DataFrame:
     applied as a semi join (broadcast only when proven small)."""
     if isinstance(values, DataFrame):
         v = values.select(F.col(values.columns[0]).alias("__v")).distinct()
-        return df.join(maybe_broadcast(v), as_col(col) == F.col("__v"), "left_semi")
+        return df.join(v, as_col(col) == F.col("__v"), "left_semi")  # AQE broadcasts a small set
     values = list(values)
     if not values:
         return df.filter(F.lit(False))

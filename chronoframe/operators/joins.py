@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.functions.common import as_col
-from chronoframe.session import maybe_broadcast
 
 
 def _keys(k) -> list:
@@ -79,7 +78,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value: st
     """Keyed lookup (duplicates resolved to one row per key first); a missing or
     zero lookup value gives NULL; ratio = value × scale / lookup."""
     lk = lookup.groupBy(*keys).agg(F.max(lookup_value).alias("__lv"))
-    res = df.join(maybe_broadcast(lk), on=list(keys), how="left")
+    res = df.join(lk, on=list(keys), how="left")  # aggregated side: AQE broadcasts it when small
     ratio = F.try_divide(as_col(value).cast("double") * F.lit(scale), F.nullif(F.col("__lv").cast("double"), F.lit(0.0)))
     return res.withColumn(out, ratio).withColumnRenamed("__lv", lookup_value)
 
@@ -100,9 +99,10 @@ def near_events(points: DataFrame, events: DataFrame, date_a: str, date_b: str,
     pa = points.withColumn("__ua", F.unix_date(as_col(date_a)))
     pa = pa.withColumn("__bin", F.explode(F.array(*[(F.floor(F.col("__ua") / w) + o).cast("long") for o in (-1, 0, 1)])))
     eb = events.withColumn("__ub", F.unix_date(as_col(date_b))).withColumn("__bin", F.floor(F.col("__ub") / w).cast("long"))
-    # A point side of proven small size (e.g. a calendar) is broadcast, so a
-    # day holding a third of all events never lands in one shuffle task.
-    j = maybe_broadcast(pa).join(eb, "__bin", "inner").filter(F.abs(F.col("__ua") - F.col("__ub")) < w)
+    # A small point side (e.g. a calendar) becomes a broadcast join under AQE,
+    # so a day holding a third of all events never lands in one task; a large
+    # one stays a shuffle join whose skewed bins AQE splits.
+    j = pa.join(eb, "__bin", "inner").filter(F.abs(F.col("__ua") - F.col("__ub")) < w)
     return j.drop("__bin", "__ua", "__ub")
 
 
@@ -111,7 +111,7 @@ def semi_selected(df: DataFrame, selected: DataFrame, key: str, selected_key: st
     """Rows whose key is in the selected set; an empty set selects nothing."""
     sk = selected_key or key
     sel = selected.select(as_col(sk).alias("__k")).distinct()
-    return df.join(maybe_broadcast(sel), as_col(key) == F.col("__k"), "left_semi")
+    return df.join(sel, as_col(key) == F.col("__k"), "left_semi")  # AQE broadcasts a small selection
 
 
 # J10

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.common import as_col
 from chronoframe.functions.dates import int_to_date
-from chronoframe.session import maybe_broadcast, scratch_path
+from chronoframe.session import scratch_path
 
 
 def _k(keys) -> list:
@@ -131,7 +131,7 @@ def update_from(target: DataFrame, side: DataFrame, keys, column: str, side_colu
     k = _k(keys)
     sc = side_column or column
     s = side.groupBy(*k).agg(F.max(sc).alias("__new")).withColumn("__hit", F.lit(True))
-    j = target.join(maybe_broadcast(s), k, "left")
+    j = target.join(s, k, "left")  # aggregated side: AQE broadcasts it when small
     return j.withColumn(column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column))).select(*target.columns)
 
 

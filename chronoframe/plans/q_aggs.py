@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoframe import functions as fx
 from chronoframe.operators import aggs, joins, series
 from chronoframe.plans.common import (
-    SQL_DAILY_ORDERS, SQL_DAILY_QTY, SQL_PAIRS, SQL_RUNNING_QTY, daily_events, daily_orders, daily_qty, dec, dsum,
+    SQL_DAILY_ORDERS, SQL_DAILY_QTY, SQL_PAIRS, SQL_RUNNING_QTY, daily_orders, daily_qty, dec, dsum,
     events, lineitem, orders, query, running_qty, table, trade_pairs,
 )
 from chronoframe.plans.q_clean import SQL_DIRTY_BALANCE, _dirty_balance

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoframe import functions as fx
 from chronoframe.operators import clean
-from chronoframe.plans.common import SQL_PAIRS, dec, events, lineitem, orders, query, table, trade_pairs
+from chronoframe.plans.common import SQL_PAIRS, dec, orders, query, table, trade_pairs
 
 FOCAL = "NATION_3"
 

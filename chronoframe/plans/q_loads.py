@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronoframe import functions as fx
 from chronoframe.operators import aggs, loads
 from chronoframe.plans.common import (
-    SQL_DAILY_QTY_FLAG, daily_qty, dec, dsum, events, lineitem, orders, query, table,
+    SQL_DAILY_QTY_FLAG, daily_qty, dec, orders, query, table,
 )
 from chronoframe.session import scratch_path
 

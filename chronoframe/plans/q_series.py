@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronoframe.operators import series
 from chronoframe.plans.common import (
     SQL_DAILY_EVENTS_BY_TYPE, SQL_DAILY_ORDERS, SQL_DAILY_ORDERS_BY_PRIORITY, SQL_DAILY_QTY, SQL_RUNNING_QTY,
-    SQL_RUNNING_QTY_FLAG, daily_events_by_type, daily_orders, daily_orders_by_priority, daily_qty, dsum, events,
+    SQL_RUNNING_QTY_FLAG, daily_events_by_type, daily_orders, daily_orders_by_priority, daily_qty, events,
     lineitem, orders, query, running_qty, table,
 )
 from chronoframe.plans.q_aggs import EVENT_TYPES, _merged_daily_types

@@ -80,8 +80,17 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; beyond it the planner decides."""
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Broadcast hint behind a size check; beyond it the planner decides.
+
+    Use it for small stored dictionaries (the check scans them once), or pass
+    ``known_rows`` when the size is known without a job (e.g. one row per
+    input file). Sides *derived* from fact tables are not checked this way —
+    that would cost an extra pass over the facts — they are left to AQE,
+    which measures the shuffled size at runtime and switches to a broadcast
+    join below ``spark.sql.adaptive.autoBroadcastJoinThreshold``."""
+    if known_rows is not None:
+        return F.broadcast(df) if known_rows <= max_rows else df
     return F.broadcast(df) if bounded(df, max_rows) else df
 
 

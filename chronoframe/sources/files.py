@@ -86,7 +86,8 @@ def scan_csv_preamble(spark: SparkSession, path: str, marker: str, schema) -> Da
     ``marker`` (the header) in each file, parse the rest."""
     lines = _lines(spark, path)
     first = lines.filter(F.col("value").startswith(marker)).groupBy("__file").agg(F.min("__pos").alias("__hdr"))
-    body = lines.join(maybe_broadcast(first, 1_000_000), "__file", "inner").filter(F.col("__pos") > F.col("__hdr"))
+    n_files = len(spark.read.text(path).inputFiles())  # one marker row per file: size known from the listing
+    body = lines.join(maybe_broadcast(first, 1_000_000, n_files), "__file", "inner").filter(F.col("__pos") > F.col("__hdr"))
     return _parse(body.filter(F.length("value") > 0), schema)
 
 
@@ -98,7 +99,8 @@ def scan_csv_tagrow(spark: SparkSession, path: str, schema, tag: str = "#") -> D
     w = Window.partitionBy("__file").orderBy("__pos")
     head = lines.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 2)  # per-file top-2 (group limit)
     drop = head.filter((F.col("__rn") == 1) | ((F.col("__rn") == 2) & F.col("value").startswith(tag))).select("__file", "__pos")
-    body = lines.join(drop, ["__file", "__pos"], "left_anti")
+    n_files = len(spark.read.text(path).inputFiles())  # at most two rows per file
+    body = lines.join(maybe_broadcast(drop, 2_000_000, 2 * n_files), ["__file", "__pos"], "left_anti")
     return _parse(body.filter(F.length("value") > 0), schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+
 
 from chronoframe import functions as fx
 from chronoframe.operators import aggs, clean, joins, loads, series, shape
