@@ -90,7 +90,7 @@ def a06_day(spark, sf):
 @query("A07_conditional_sums", """
 SELECT CAST(l_shipdate AS DATE) AS sd, SUM(l_quantity) AS launched,
   SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS destroyed,
-  SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned_lines
+  CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned_lines
 FROM lineitem GROUP BY 1
 """)
 def a07(spark, sf):
@@ -183,7 +183,8 @@ WITH p AS (
   SELECT CASE WHEN src = '{FOCAL}' THEN dst WHEN dst = '{FOCAL}' THEN src END AS country,
          CASE WHEN src = '{FOCAL}' THEN 'out' WHEN dst = '{FOCAL}' THEN 'in' END AS dir, disc
   FROM ({SQL_PAIRS}) WHERE (src = '{FOCAL}' OR dst = '{FOCAL}') AND src <> dst)
-SELECT country, SUM(CASE WHEN dir = 'out' THEN 1 ELSE 0 END) AS out_count, SUM(CASE WHEN dir = 'in' THEN 1 ELSE 0 END) AS in_count,
+SELECT country, CAST(SUM(CASE WHEN dir = 'out' THEN 1 ELSE 0 END) AS BIGINT) AS out_count,
+  CAST(SUM(CASE WHEN dir = 'in' THEN 1 ELSE 0 END) AS BIGINT) AS in_count,
   COALESCE(CAST(SUM(CASE WHEN dir = 'out' THEN disc END) AS DOUBLE) / COUNT(CASE WHEN dir = 'out' THEN disc END), 0) AS avg_out,
   COALESCE(CAST(SUM(CASE WHEN dir = 'in' THEN disc END) AS DOUBLE) / COUNT(CASE WHEN dir = 'in' THEN disc END), 0) AS avg_in
 FROM p WHERE country IS NOT NULL AND country <> '' GROUP BY 1
@@ -200,7 +201,7 @@ WITH c AS (SELECT CAST(date_trunc('week', od) AS DATE) AS week,
        WHEN src = '{FOCAL}' AND dst = '{FOCAL}' THEN 'internal' ELSE 'other' END AS direction, disc, o_orderpriority
   FROM ({SQL_PAIRS}) WHERE od IS NOT NULL)
 SELECT week, direction, COUNT(*) AS count, COALESCE(CAST(SUM(disc) AS DOUBLE) / COUNT(disc), 0) AS avg,
-  SUM(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS prefixed
+  CAST(SUM(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS prefixed
 FROM c GROUP BY 1, 2
 """)
 def a16(spark, sf):
@@ -285,7 +286,7 @@ def _nation_month(spark, sf):
 WITH nm AS ({SQL_NATION_MONTH})
 SELECT nation, month, orders, CAST(revenue AS DOUBLE) AS revenue FROM nm
 UNION ALL
-SELECT 'Europe (All)', month, SUM(orders), CAST(SUM(revenue) AS DOUBLE) FROM nm
+SELECT 'Europe (All)', month, CAST(SUM(orders) AS BIGINT), CAST(SUM(revenue) AS DOUBLE) FROM nm
 WHERE nation IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')
 GROUP BY month
 """)
@@ -310,7 +311,7 @@ def a21(spark, sf):
 @query("A22_reaggregate_selected", """
 WITH r AS (SELECT CAST(o_orderdate AS DATE) AS od, o_orderstatus, '  ' || o_orderpriority AS prio, COUNT(*) AS n,
   SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue FROM orders GROUP BY 1, 2, 3)
-SELECT CAST(date_trunc('month', od) AS DATE) AS month, o_orderstatus, SUM(n) AS n, CAST(SUM(revenue) AS DOUBLE) AS revenue
+SELECT CAST(date_trunc('month', od) AS DATE) AS month, o_orderstatus, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(revenue) AS DOUBLE) AS revenue
 FROM r WHERE o_orderstatus IN ('F', 'O') AND trim(prio) IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2
 """)
 def a22(spark, sf):
@@ -324,7 +325,7 @@ def a22(spark, sf):
 
 
 @query("A23_reaggregate_coarser", f"""
-SELECT CAST(date_trunc('month', od) AS DATE) AS month, SUM(n_orders) AS n_orders,
+SELECT CAST(date_trunc('month', od) AS DATE) AS month, CAST(SUM(n_orders) AS BIGINT) AS n_orders,
   CAST(SUM(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM ({SQL_DAILY_ORDERS}) GROUP BY 1
 """)
 def a23(spark, sf):
@@ -409,7 +410,7 @@ def a29(spark, sf):
 
 @query("A29_pearson_by_year", f"""
 SELECT year, {_pearson_sql('n_orders', 'n_lines')} AS r FROM (
-  SELECT year(od) AS year, CAST(n_orders AS DOUBLE) AS n_orders, CAST(COALESCE(n_lines, 0) AS DOUBLE) AS n_lines
+  SELECT CAST(year(od) AS INTEGER) AS year, CAST(n_orders AS DOUBLE) AS n_orders, CAST(COALESCE(n_lines, 0) AS DOUBLE) AS n_lines
   FROM ({SQL_DAILY_ORDERS}) o LEFT JOIN ({SQL_DAILY_QTY}) q ON o.od = q.sd) GROUP BY 1
 """)
 def a29_by_year(spark, sf):

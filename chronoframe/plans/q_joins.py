@@ -79,10 +79,10 @@ def j05(spark, sf):
     return joins.left_enrich(a, b, "sd", {"ret_qty": 0.0}, {"kept_qty": ("qty", "ret_qty")})
 
 
-SQL_NATION_YEAR_REVENUE = """SELECT n.n_name AS nation, year(o.o_orderdate) AS year,
+SQL_NATION_YEAR_REVENUE = """SELECT n.n_name AS nation, CAST(year(o.o_orderdate) AS INTEGER) AS year,
   CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2"""
-SQL_SUPPLY_LOOKUP = """SELECT n.n_name AS nation, year(l.l_shipdate) AS year,
+SQL_SUPPLY_LOOKUP = """SELECT n.n_name AS nation, CAST(year(l.l_shipdate) AS INTEGER) AS year,
   CASE WHEN n.n_name = 'NATION_5' THEN 0 ELSE CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) END AS supply
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
 WHERE year(l.l_shipdate) < 2001 GROUP BY 1, 2"""

@@ -188,7 +188,7 @@ def k09_default(spark, sf):
     return loads.high_water_mark(target, o, "od", default="2000-06-30")
 
 
-SQL_YEAR_COUNTS = "SELECT year(o_orderdate) AS year, COUNT(*) AS n FROM orders GROUP BY 1"
+SQL_YEAR_COUNTS = "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n FROM orders GROUP BY 1"
 
 
 def _year_counts(spark, sf):
@@ -289,12 +289,12 @@ def k14(spark, sf):
 
 @query("K15_staleness_report", f"""
 SELECT 'events' AS table_name, COUNT(*) AS rows, MAX(CAST(ts AS DATE)) AS max_date,
-  date_diff('day', MAX(CAST(ts AS DATE)), DATE '{ASOF}') AS days_stale FROM events
-UNION ALL SELECT 'orders_int', COUNT(*), MAX(CAST(o_orderdate AS DATE)), date_diff('day', MAX(CAST(o_orderdate AS DATE)), DATE '{ASOF}') FROM orders
-UNION ALL SELECT 'lineitem_ts14', COUNT(*), MAX(CAST(l_shipdate AS DATE)), date_diff('day', MAX(CAST(l_shipdate AS DATE)), DATE '{ASOF}') FROM lineitem
-UNION ALL SELECT 'orders_year', COUNT(*), make_date(MAX(year(o_orderdate)), 1, 1), date_diff('day', make_date(MAX(year(o_orderdate)), 1, 1), DATE '{ASOF}') FROM orders
-UNION ALL SELECT 'customer_text', COUNT(*), NULL, NULL FROM customer
-UNION ALL SELECT 'orders_text', COUNT(*), MAX(CAST(o_orderdate AS DATE)), date_diff('day', MAX(CAST(o_orderdate AS DATE)), DATE '{ASOF}') FROM orders
+  CAST(date_diff('day', MAX(CAST(ts AS DATE)), DATE '{ASOF}') AS INTEGER) AS days_stale FROM events
+UNION ALL SELECT 'orders_int', COUNT(*), MAX(CAST(o_orderdate AS DATE)), CAST(date_diff('day', MAX(CAST(o_orderdate AS DATE)), DATE '{ASOF}') AS INTEGER) FROM orders
+UNION ALL SELECT 'lineitem_ts14', COUNT(*), MAX(CAST(l_shipdate AS DATE)), CAST(date_diff('day', MAX(CAST(l_shipdate AS DATE)), DATE '{ASOF}') AS INTEGER) FROM lineitem
+UNION ALL SELECT 'orders_year', COUNT(*), make_date(MAX(year(o_orderdate)), 1, 1), CAST(date_diff('day', make_date(MAX(year(o_orderdate)), 1, 1), DATE '{ASOF}') AS INTEGER) FROM orders
+UNION ALL SELECT 'customer_text', COUNT(*), NULL, CAST(NULL AS INTEGER) FROM customer
+UNION ALL SELECT 'orders_text', COUNT(*), MAX(CAST(o_orderdate AS DATE)), CAST(date_diff('day', MAX(CAST(o_orderdate AS DATE)), DATE '{ASOF}') AS INTEGER) FROM orders
 """)
 def k15(spark, sf):
     """Rows, decoded max date and days stale for date columns of every kind."""

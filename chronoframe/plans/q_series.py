@@ -36,7 +36,7 @@ SELECTED = ["click", "error", "view"]
 
 @query("W02_pivot_diff", f"""
 WITH r AS ({SQL_SPARSE_TYPES}),
-w AS (SELECT d, """ + ", ".join(f"COALESCE(SUM(n) FILTER (WHERE event_type = '{t}'), 0) AS {t}" for t in SELECTED) + """
+w AS (SELECT d, """ + ", ".join(f"CAST(COALESCE(SUM(n) FILTER (WHERE event_type = '{t}'), 0) AS BIGINT) AS {t}" for t in SELECTED) + """
       FROM r GROUP BY d)
 SELECT d, """ + ", ".join(f"{t} - lag({t}) OVER (ORDER BY d) AS {t}" for t in SELECTED) + """
 FROM w QUALIFY row_number() OVER (ORDER BY d) > 1
@@ -99,7 +99,7 @@ def w06(spark, sf):
 WITH m AS (SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(*) AS n FROM orders GROUP BY 1, 2),
 g AS (SELECT s.o_orderstatus, t.month FROM (SELECT DISTINCT o_orderstatus FROM m) s, (SELECT DISTINCT month FROM m) t)
 SELECT g.month, g.o_orderstatus, COALESCE(m.n, 0) AS n,
-  SUM(COALESCE(m.n, 0)) OVER (PARTITION BY g.o_orderstatus ORDER BY g.month {UPTO}) AS cumulative
+  CAST(SUM(COALESCE(m.n, 0)) OVER (PARTITION BY g.o_orderstatus ORDER BY g.month {UPTO}) AS BIGINT) AS cumulative
 FROM g LEFT JOIN m ON g.o_orderstatus = m.o_orderstatus AND g.month = m.month
 """)
 def w07(spark, sf):
@@ -256,7 +256,7 @@ def w18(spark, sf):
 
 @query("W19_latest_per_series", f"""
 WITH r AS ({SQL_SPARSE_TYPES})
-SELECT t.event_type, COALESCE(SUM(r.n) FILTER (WHERE r.d = (SELECT max(d) FROM r)), 0) AS latest
+SELECT t.event_type, CAST(COALESCE(SUM(r.n) FILTER (WHERE r.d = (SELECT max(d) FROM r)), 0) AS BIGINT) AS latest
 FROM (SELECT DISTINCT event_type FROM r) t LEFT JOIN r ON t.event_type = r.event_type GROUP BY 1
 """)
 def w19(spark, sf):
@@ -266,7 +266,7 @@ def w19(spark, sf):
 
 
 @query("W20_top_n_latest_year", f"""
-SELECT * FROM ({SQL_NATION_YEAR_REVENUE}) WHERE year = (SELECT max(year(o_orderdate)) FROM orders)
+SELECT * FROM ({SQL_NATION_YEAR_REVENUE}) WHERE year = (SELECT CAST(max(year(o_orderdate)) AS INTEGER) FROM orders)
 ORDER BY revenue DESC, nation LIMIT 10
 """)
 def w20(spark, sf):
