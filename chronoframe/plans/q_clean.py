@@ -259,6 +259,17 @@ def p16(spark, sf):
     return t.withColumn("ts_txt", F.date_format("ts_txt", "yyyy-MM-dd HH:mm:ss")).drop("o_orderstatus")
 
 
+@query("P16_safe_cast_strict", f"""
+SELECT o_orderkey, CASE WHEN regexp_full_match(trim(key_txt), '[+-]?[0-9]+') THEN TRY_CAST(trim(key_txt) AS BIGINT) END AS key_txt,
+  CASE WHEN regexp_full_match(trim(cust_txt), '[+-]?[0-9]+') THEN TRY_CAST(trim(cust_txt) AS BIGINT) END AS cust_txt
+FROM ({SQL_TEXT_ORDERS})
+""")
+def p16_strict(spark, sf):
+    """The strict integer caster: '703448.0' and '-' are rejected (NULL), plain integers parse."""
+    t = clean.safe_cast(_text_orders(spark, sf), {"key_txt": "int_strict", "cust_txt": "int_strict"})
+    return t.select("o_orderkey", "key_txt", "cust_txt")
+
+
 @query("P17_typed_projection", """
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
   CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer
@@ -349,6 +360,17 @@ def p24(spark, sf):
     return clean.truncate_text(d, "text", 150, out="snippet").select("doc_id", "snippet")
 
 
+@query("P24_truncate_text_short", """
+SELECT doc_id, CASE WHEN length(source || ': ' || lang || ' document') > 18
+  THEN substr(source || ': ' || lang || ' document', 1, 16) || '...' ELSE source || ': ' || lang || ' document' END AS label
+FROM documents
+""")
+def p24_short(spark, sf):
+    """Short labels: longer than 18 characters → first 16 + '...'."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit(": "), "lang", F.lit(" document")).alias("label"))
+    return clean.truncate_text(d, "label", 18, 16)
+
+
 @query("P25_trim_key", "SELECT c_mktsegment AS segment, COUNT(*) AS n FROM customer GROUP BY 1")
 def p25(spark, sf):
     """Keys padded with blanks group together once trimmed."""

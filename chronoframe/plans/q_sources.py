@@ -86,6 +86,14 @@ def s07(spark, sf):
     return sources.scan_json_pages(spark, path, "data")
 
 
+@query("S07_scan_json_pages_items", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s07_items(spark, sf):
+    """API pages {"items": [...], "maxPages": n} → rows."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = fz.write_lines(o, "orders-pages-items", lambda pdf: [fz.json_dump({"items": fz.json_records(pdf), "maxPages": 4})])
+    return sources.scan_json_pages(spark, path, "items")
+
+
 @query("S07_scan_json_pages_meta", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s07_meta(spark, sf):
     """API pages shaped [meta, [rows]] → rows (row schema declared)."""
