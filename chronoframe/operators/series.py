@@ -253,9 +253,10 @@ def change_points(df: DataFrame, series, order: str, value: str, threshold: floa
 
 # W16
 def max_normalise(df: DataFrame, cols: Sequence[str], floor: float = 1.0, suffix: str = "_norm") -> DataFrame:
-    """x / max(max(x), floor) × 100 per column; maxima are scalar subqueries."""
-    maxima = {c: df.select(F.max(c)).scalar() for c in cols}
-    return df.withColumns({f"{c}{suffix}": as_col(c) / F.greatest(F.coalesce(maxima[c].cast("double"), F.lit(floor)),
+    """x / max(max(x), floor) × 100 per column; all maxima come from one
+    aggregate attached as a single struct-valued scalar subquery."""
+    maxima = df.select(F.struct(*[F.max(c).cast("double").alias(c) for c in cols])).scalar()
+    return df.withColumns({f"{c}{suffix}": as_col(c) / F.greatest(F.coalesce(maxima[c], F.lit(floor)),
                                                                   F.lit(floor)) * 100.0 for c in cols})
 
 
