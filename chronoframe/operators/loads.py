@@ -44,17 +44,16 @@ def sink_json(df: DataFrame, path: str) -> str:
     return path
 
 
-def period_table(spark: SparkSession, periods: Mapping[str, tuple]) -> DataFrame:
-    return spark.createDataFrame([(n, int(lo), int(hi)) for n, (lo, hi) in periods.items()], "period string, lo int, hi int")
-
-
 # K02
 def assign_periods(df: DataFrame, int_date: str, periods: Mapping[str, tuple]) -> DataFrame:
-    """Tag rows with every named, inclusive, possibly overlapping period they
-    fall in; rows outside all periods drop. The period list is a handful of
-    rows: a range join against a broadcast table."""
-    p = F.broadcast(period_table(df.sparkSession, periods))
-    return df.join(p, (as_col(int_date) >= F.col("lo")) & (as_col(int_date) <= F.col("hi")), "inner").drop("lo", "hi")
+    """Tag rows with every named, inclusive period they fall in (overlaps
+    allowed); rows outside all periods drop. The period list is a literal
+    array filtered per row and exploded — no join, no nested loop."""
+    d = as_col(int_date)
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(int(lo)).alias("lo"), F.lit(int(hi)).alias("hi"))
+                      for n, (lo, hi) in periods.items()])
+    hits = F.filter(table, lambda p: (d >= p["lo"]) & (d <= p["hi"]))
+    return df.withColumn("period", F.explode(F.transform(hits, lambda p: p["name"])))
 
 
 def sink_period_partitions(df: DataFrame, int_date: str, periods: Mapping[str, tuple], path: str) -> str:

@@ -221,3 +221,9 @@ def test_superset_member_appends_sum(spark):
     df = spark.createDataFrame([("x", "m1", 1), ("y", "m1", 2), ("z", "m1", 5)], "who string, month string, n long")
     out = rows(aggs.superset_member(df, "who", ["x", "y"], "XY", ["month"], ["n"]), "who", "n")
     assert ("XY", 3) in out and len(out) == 4
+
+
+def test_assign_periods_inclusive_and_overlapping(spark):
+    df = spark.createDataFrame([(20220101,), (20220331,), (20220401,), (20211231,)], "d int")
+    got = rows(loads.assign_periods(df, "d", {"q1": (20220101, 20220331), "h1": (20220101, 20220630)}), "d", "period")
+    assert got == [(20220101, "h1"), (20220101, "q1"), (20220331, "h1"), (20220331, "q1"), (20220401, "h1")]
