@@ -33,6 +33,28 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
     return path
 
 
+def commit_append(delta: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """Append only the new rows (an append-ignore or high-water-mark delta) to
+    a table directory: existing files are never rewritten, so the cost of a
+    load is the size of the batch, not of the table."""
+    w = delta.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return path
+
+
+def commit_partitions(df: DataFrame, path: str, partition_by: Sequence[str], staging: str) -> str:
+    """Replace exactly the partitions present in ``df`` (dynamic partition
+    overwrite); all other partitions stay untouched. ``df`` is first
+    materialised in ``staging`` (a fresh directory) so the job that rewrites
+    the partitions never reads the files it replaces."""
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(staging)
+    staged = df.sparkSession.read.parquet(staging)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    return path
+
+
 # K01
 def sink_json(df: DataFrame, path: str) -> str:
     """JSON lines; dates as ISO text, decimals as doubles."""
@@ -90,6 +112,17 @@ def append_ignore(target: DataFrame, batch: DataFrame, keys, order: str | None =
     return target.unionByName(fresh.select(*target.columns))
 
 
+def append_ignore_delta(target: DataFrame, batch: DataFrame, keys, order: str | None = None) -> DataFrame:
+    """Only the rows ``append_ignore`` would add (first per new key)."""
+    k = _k(keys)
+    cols = [c for c in batch.columns if c not in k]
+    if order:
+        first = batch.groupBy(*k).agg(F.min_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
+    else:
+        first = batch.dropDuplicates(k)
+    return first.join(target.select(*k), k, "left_anti").select(*target.columns)
+
+
 def _is_empty(df: DataFrame) -> Column:
     return df.select(F.lit(1).alias("x")).limit(1).select(F.count(F.lit(1))).scalar() == 0
 
@@ -123,6 +156,23 @@ def upsert(target: DataFrame, batch: DataFrame, keys, order: str | None = None)
     return kept.unionByName(last.select(*target.columns))
 
 
+def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str | None, partition_by: Sequence[str],
+                      staging: str) -> str:
+    """Upsert touching only the partitions the batch lands in. The touched
+    partition values select the target partitions (a semi join on partition
+    columns, pruned at the scan by dynamic partition pruning), those are
+    merged with ``upsert`` and written back with a dynamic partition
+    overwrite. Requires the partition columns to be a function of the key
+    (a key never moves between partitions)."""
+    spark = batch.sparkSession
+    target = spark.read.parquet(target_path)
+    touched = batch.select(*partition_by).distinct()
+    current = target.join(touched, list(partition_by), "left_semi")
+    merged = upsert(current, batch.select(*target.columns, *([order] if order and order not in target.columns else [])),
+                    keys, order)
+    return commit_partitions(merged, target_path, partition_by, staging)
+
+
 # K08
 def update_from(target: DataFrame, side: DataFrame, keys, column: str, side_column: str | None = None) -> DataFrame:
     """``UPDATE t SET col = s.col FROM s WHERE key``: matched rows take the

@@ -100,6 +100,23 @@ def k04(spark, sf):
     return _snap(loads.append_ignore(target, batch, "o_orderkey", "ord"), "k04-result")
 
 
+@query("K04_append_ignore_incremental", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN o_totalprice + 1 ELSE o_totalprice END
+  AS o_totalprice, CAST(o_orderdate AS DATE) AS od FROM orders
+""")
+def k04_incremental(spark, sf):
+    """K04 committed as an append of only the new rows to a year-partitioned table."""
+    o = _order_rows(spark, sf).withColumn("year", F.year("od"))
+    path = scratch_path(spark, "k04i-table")
+    o.filter(F.col("od") < "1998-01-01").write.partitionBy("year").parquet(path)
+    target = spark.read.parquet(path)
+    later = o.filter(F.col("od") >= "1997-01-01")
+    batch = later.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("ord", F.lit(0)) \
+        .unionByName(later.withColumn("ord", F.lit(1)))
+    loads.commit_append(loads.append_ignore_delta(target, batch, "o_orderkey", "ord"), path, ["year"])
+    return spark.read.parquet(path).drop("year")
+
+
 @query("K05_truncate_load", "SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS od FROM orders "
        "WHERE o_orderstatus = 'O'")
 def k05(spark, sf):
@@ -152,6 +169,24 @@ def k07(spark, sf):
     return _snap(loads.upsert(target, batch, "c_custkey", "seq"), "k07-result")
 
 
+@query("K07_upsert_partitions", """
+SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 20 ELSE c_acctbal END AS c_acctbal FROM customer
+UNION ALL SELECT c_custkey + 1000000000, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
+""")
+def k07_partitions(spark, sf):
+    """K07 committed by rewriting only the segment partitions the batch touches."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = scratch_path(spark, "k07p-table")
+    c.write.partitionBy("c_mktsegment").parquet(path)
+    m = c.filter(F.col("c_mktsegment") == "MACHINERY")
+    batch = (m.withColumn("c_acctbal", F.col("c_acctbal") + 10).withColumn("seq", F.lit(1))
+             .unionByName(m.withColumn("c_acctbal", F.col("c_acctbal") + 20).withColumn("seq", F.lit(2)))
+             .unionByName(c.filter(F.col("c_mktsegment") == "HOUSEHOLD")
+                          .withColumn("c_custkey", F.col("c_custkey") + 1000000000).withColumn("seq", F.lit(1))))
+    loads.upsert_partitions(path, batch, "c_custkey", "seq", ["c_mktsegment"], scratch_path(spark, "k07p-staging"))
+    return spark.read.parquet(path).select("c_custkey", "c_name", "c_acctbal")
+
+
 @query("K08_update_from", """
 SELECT s_suppkey, s_name, CASE WHEN s_nationkey < 5 THEN CASE WHEN s_nationkey = 0 THEN NULL ELSE s_acctbal * 2 END
   ELSE s_acctbal END AS s_acctbal FROM supplier

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -60,3 +62,33 @@ def test_snapshot_write_never_overwrites(spark, tmp_path):
     loads.write_snapshot(df, p)
     with pytest.raises(Exception):
         loads.write_snapshot(df, p)
+
+
+def test_upsert_partitions_leaves_other_partitions_untouched(spark, tmp_path):
+    c = table(spark, SF_SMALL, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = str(tmp_path / "cust")
+    c.write.partitionBy("c_mktsegment").parquet(path)
+
+    def files(seg):
+        d = os.path.join(path, f"c_mktsegment={seg}")
+        return sorted(f for f in os.listdir(d) if f.endswith(".parquet"))
+    before_building, before_machinery = files("BUILDING"), files("MACHINERY")
+    batch = c.filter(F.col("c_mktsegment") == "MACHINERY").withColumn("c_acctbal", F.lit(1.0)).withColumn("seq", F.lit(1))
+    loads.upsert_partitions(path, batch, "c_custkey", "seq", ["c_mktsegment"], str(tmp_path / "staging"))
+    assert files("BUILDING") == before_building
+    assert files("MACHINERY") != before_machinery
+    out = spark.read.parquet(path)
+    assert out.count() == c.count()
+    assert out.filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_acctbal") != 1.0)).count() == 0
+
+
+def test_append_delta_only_adds_new_keys(spark, tmp_path):
+    o = table(spark, SF_SMALL, "orders").select("o_orderkey", "o_totalprice")
+    path = str(tmp_path / "orders")
+    o.filter("o_orderkey % 2 = 0").write.parquet(path)
+    n_files = len([f for f in os.listdir(path) if f.endswith(".parquet")])
+    delta = loads.append_ignore_delta(spark.read.parquet(path), o.withColumn("ord", F.lit(0)), "o_orderkey", "ord")
+    loads.commit_append(delta, path)
+    back = spark.read.parquet(path)
+    assert back.count() == o.count() and back.select("o_orderkey").distinct().count() == o.count()
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) > n_files
