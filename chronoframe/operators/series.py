@@ -48,11 +48,11 @@ def diff_lag1(df: DataFrame, series, order: str, cols: Sequence[str], suffix: st
 def pivot_diff(df: DataFrame, series: str, date: str, value: str, selected: Sequence[str]) -> DataFrame:
     """Per-series change on the grid of all dates of the table, a missing
     cell counting as 0; the first date is dropped. One row per date, a
-    column per selected series."""
+    column per selected series — one aggregation over all rows gives both the
+    date grid and the selected cells (a single pass over the input)."""
     sel = list(selected)
-    wide = df.filter(F.col(series).isin(sel)).groupBy(date).pivot(series, sel).agg(F.sum(value))
-    dates = df.select(date).distinct()
-    grid = dates.join(wide, date, "left").fillna(0, subset=sel)
+    grid = df.groupBy(date).agg(*[F.coalesce(F.sum(F.when(F.col(series) == s, as_col(value))), F.lit(0)).alias(s)
+                                  for s in sel])
     w = Window.orderBy(date)  # one row per date of a rollup: calendar-sized
     res = grid.withColumns({s: F.col(s) - F.lag(s, 1).over(w) for s in sel}).withColumn("__rn", F.row_number().over(w))
     return res.filter(F.col("__rn") > 1).drop("__rn")
@@ -278,10 +278,17 @@ def tail_n(df: DataFrame, order, n: int, newest_first: bool = False) -> DataFram
 
 # W19
 def latest_per_series(df: DataFrame, series: str, date: str, value: str, out: str = "latest") -> DataFrame:
-    """Each series' value on the *global* latest date (0 when absent there)."""
-    latest = df.select(F.max(date)).scalar()
-    on_latest = df.filter(F.col(date) == latest).groupBy(series).agg(F.sum(value).alias(out))
-    return df.select(series).distinct().join(on_latest, series, "left").fillna(0, subset=[out])
+    """Each series' value on the *global* latest date (0 when absent there).
+
+    One pass: (series, date) sums (no extra shuffle on a rollup already
+    partitioned by those keys), then per series its last date and the value
+    there; the global latest date is a window over those per-series rows
+    (one row per series)."""
+    cells = df.groupBy(series, date).agg(F.sum(value).alias("__v"))
+    per = cells.groupBy(series).agg(F.max(date).alias("__last"), F.max_by("__v", date).alias("__v"))
+    top = F.max("__last").over(Window.partitionBy())
+    res = per.withColumn(out, F.when(F.col("__last") == top, F.col("__v")).otherwise(F.lit(0)))
+    return res.select(series, F.coalesce(F.col(out), F.lit(0)).cast(dict(cells.dtypes)["__v"]).alias(out))
 
 
 # W20

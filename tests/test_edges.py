@@ -227,3 +227,23 @@ def test_assign_periods_inclusive_and_overlapping(spark):
     df = spark.createDataFrame([(20220101,), (20220331,), (20220401,), (20211231,)], "d int")
     got = rows(loads.assign_periods(df, "d", {"q1": (20220101, 20220331), "h1": (20220101, 20220630)}), "d", "period")
     assert got == [(20220101, "h1"), (20220101, "q1"), (20220331, "h1"), (20220331, "q1"), (20220401, "h1")]
+
+
+def test_inverse_pair_join_needs_both_directions(spark):
+    p = spark.createDataFrame([("A", "B", 3, 1.0), ("B", "A", 5, 2.0), ("A", "C", 4, 0.5), ("C", "C", 9, 9.0)],
+                              "src string, dst string, n long, avg double")
+    got = rows(joins.inverse_pair_join(p, "src", "dst", ["n", "avg"]), "src", "dst", "n_ab", "n_ba", "avg_ab", "avg_ba")
+    assert got == [("A", "B", 3, 5, 1.0, 2.0)]
+
+
+def test_latest_per_series_absent_is_zero(spark):
+    df = spark.createDataFrame([("a", D(2024, 1, 2), 4), ("b", D(2024, 1, 1), 7), ("a", D(2024, 1, 1), 1)],
+                               "k string, d date, n long")
+    assert rows(series.latest_per_series(df, "k", "d", "n"), "k", "latest") == [("a", 4), ("b", 0)]
+
+
+def test_pivot_diff_grid_uses_all_dates(spark):
+    df = spark.createDataFrame([("x", D(2024, 1, 1), 2), ("y", D(2024, 1, 2), 5), ("x", D(2024, 1, 3), 1)],
+                               "k string, d date, n long")
+    got = rows(series.pivot_diff(df, "k", "d", "n", ["x"]), "d", "x")
+    assert got == [(D(2024, 1, 2), -2), (D(2024, 1, 3), 1)]
