@@ -104,16 +104,20 @@ def running_total(df: DataFrame, series, order: str, col: str, out: str = "cumul
 
 def dense_running_total(df: DataFrame, series: str, order: str, col: str, out: str = "cumulative") -> DataFrame:
     """Running total per type on a dense grid of all orders × types (absent = 0)."""
-    filled = _dense(df, series, order).join(df.select(series, order, col), [series, order], "left").fillna(0, subset=[col])
-    return running_total(filled, series, order, col, out)
+    return running_total(_dense(df, series, order, col), series, order, col, out)
 
 
-def _dense(df: DataFrame, series: str, order: str) -> DataFrame:
-    """All (order, series) pairs without a join: the category set is one
-    ``collect_set`` row (bounded by the number of categories) attached as a
-    scalar subquery and exploded beside every distinct order value."""
-    cats = df.select(F.sort_array(F.collect_set(series))).scalar()
-    return df.select(order).distinct().select(order, F.explode(cats).alias(series))
+def _dense(df: DataFrame, series: str, order: str, col: str) -> DataFrame:
+    """All (order, series) cells with absent = 0, in one pass over ``df``: one
+    row per order value holding a series → value map (bounded by the number of
+    series), the series set gathered by a window over those per-order rows
+    (calendar-sized), then exploded with a map lookup."""
+    cells = df.groupBy(order, series).agg(F.sum(col).alias("__v"))
+    per = cells.groupBy(order).agg(F.map_from_entries(F.collect_list(F.struct(series, "__v"))).alias("__m"))
+    cats = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("__m")).over(Window.partitionBy()))))
+    grid = per.withColumn("__cats", cats).select(order, "__m", F.explode("__cats").alias(series))
+    zero = F.lit(0).cast(dict(cells.dtypes)["__v"])
+    return grid.select(order, series, F.coalesce(F.element_at("__m", F.col(series)), zero).alias(col))
 
 
 # W08
@@ -293,6 +297,10 @@ def latest_per_series(df: DataFrame, series: str, date: str, value: str, out: st
 
 # W20
 def top_n_latest_year(df: DataFrame, year: str, measure: str, n: int = 10, tie: str | None = None) -> DataFrame:
-    top = df.filter(F.col(year) == df.select(F.max(year)).scalar())
+    """Top n rows of the latest year present. ``df`` is a (entity, year)
+    rollup: the latest year is a window over its rows, so the source behind
+    the rollup is read once (a scalar subquery would re-derive the rollup)."""
+    latest = F.max(year).over(Window.partitionBy())
+    top = df.withColumn("__latest", latest).filter(F.col(year) == F.col("__latest")).drop("__latest")
     order = [F.col(measure).desc()] + ([F.col(tie).asc()] if tie else [])
     return top.orderBy(*order).limit(n)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoframe.functions.common import as_col
 
@@ -22,16 +23,19 @@ def pivot_sum(df: DataFrame, key, category: str, value: str, categories: Sequenc
 
 # R02
 def dense_grid(df: DataFrame, key: str, category: str, value: str, categories: Sequence[str] | None = None) -> DataFrame:
-    """All keys × categories with 0 for gaps (long form), without a join for
-    the grid: each distinct key explodes the category list — a literal array
-    when given, else one bounded ``collect_set`` row as a scalar subquery."""
+    """All keys × categories with 0 for gaps (long form), in one pass: cells
+    are summed, folded into one category → value map per key (bounded by the
+    number of categories) and exploded over the category list — a literal
+    array when given, else the set gathered by a window over the per-key rows."""
+    cells = df.groupBy(key, category).agg(F.sum(value).alias("__v"))
+    per = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(category, "__v"))).alias("__m"))
     if categories is None:
-        cats = df.select(F.sort_array(F.collect_set(category))).scalar()
+        cats = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("__m")).over(Window.partitionBy()))))
     else:
         cats = F.array(*[F.lit(c) for c in categories]).cast(f"array<{dict(df.dtypes)[category]}>")
-    grid = df.select(key).distinct().select(key, F.explode(cats).alias(category))
-    summed = df.groupBy(key, category).agg(F.sum(value).alias(value))
-    return grid.join(summed, [key, category], "left").fillna(0, subset=[value])
+    zero = F.lit(0).cast(dict(cells.dtypes)["__v"])
+    grid = per.withColumn("__cats", cats).select(key, "__m", F.explode("__cats").alias(category))
+    return grid.select(key, category, F.coalesce(F.element_at("__m", F.col(category)), zero).alias(value))
 
 
 # R03

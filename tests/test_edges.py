@@ -247,3 +247,11 @@ def test_pivot_diff_grid_uses_all_dates(spark):
                                "k string, d date, n long")
     got = rows(series.pivot_diff(df, "k", "d", "n", ["x"]), "d", "x")
     assert got == [(D(2024, 1, 2), -2), (D(2024, 1, 3), 1)]
+
+
+def test_dense_grid_infers_categories(spark):
+    df = spark.createDataFrame([("d1", "a", 1), ("d2", "b", 2), ("d2", "b", 3)], "t string, c string, n int")
+    g = shape.dense_grid(df, "t", "c", "n")
+    assert rows(g, "t", "c", "n") == [("d1", "a", 1), ("d1", "b", 0), ("d2", "a", 0), ("d2", "b", 5)]
+    r = series.dense_running_total(df, "c", "t", "n")
+    assert rows(r, "c", "t", "cumulative") == [("a", "d1", 1), ("a", "d2", 1), ("b", "d1", 0), ("b", "d2", 5)]
