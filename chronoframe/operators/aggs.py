@@ -222,21 +222,27 @@ def superset_member(df: DataFrame, member: str, members, name: str, dims: Sequen
                     sums: Sequence[str], null_cols: Sequence[str] = ()) -> DataFrame:
     """Append synthetic member rows (``name``) = sums over the member set by
     the remaining dims; columns where a sum is meaningless stay NULL.
-    ``members`` is a list or a one-column DataFrame (semi join, broadcast
-    after a size check)."""
+
+    One pass over ``df`` (a rollup: one row per member and dims): each row of
+    a member is emitted under its own name and under ``name`` (``explode``),
+    and one aggregation by (dims, member) reproduces the original rows and
+    builds the synthetic ones. ``members`` is a list (literal ``isin``) or a
+    one-column DataFrame (left join, broadcast after a size check)."""
     from chronoframe.session import maybe_broadcast
     if isinstance(members, DataFrame):
-        m = members.select(F.col(members.columns[0]).alias("__m")).distinct()
-        sub = df.join(maybe_broadcast(m), as_col(member) == F.col("__m"), "left_semi")
+        m = members.select(F.col(members.columns[0]).alias("__m")).distinct().withColumn("__in", F.lit(True))
+        flagged = df.join(maybe_broadcast(m), as_col(member) == F.col("__m"), "left") \
+            .withColumn("__in", F.coalesce("__in", F.lit(False))).drop("__m")
     else:
-        sub = df.filter(as_col(member).isin(list(members)))
-    sub = sub.groupBy(*dims).agg(*[F.sum(s).alias(s) for s in sums]).withColumn(member, F.lit(name))
-    for c in null_cols:
-        sub = sub.withColumn(c, F.lit(None).cast(dict(df.dtypes)[c]))
-    for c in df.columns:
-        if c not in sub.columns:
-            sub = sub.withColumn(c, F.lit(None).cast(dict(df.dtypes)[c]))
-    return df.unionByName(sub.select(*df.columns))
+        flagged = df.withColumn("__in", as_col(member).isin(list(members)))
+    tags = F.when(F.col("__in"), F.array(as_col(member), F.lit(name))).otherwise(F.array(as_col(member)))
+    tagged = flagged.withColumn("__tags", tags).drop(member).withColumn(member, F.explode("__tags")).drop("__tags", "__in")
+    synthetic = F.col(member) == name
+    others = [c for c in df.columns if c not in set(dims) | {member} | set(sums)]
+    aggs = [F.sum(c).alias(c) for c in sums]
+    aggs += [F.when(synthetic & F.lit(c in set(null_cols)), F.lit(None)).otherwise(F.max(c)).cast(dict(df.dtypes)[c]).alias(c)
+             for c in others]
+    return tagged.groupBy(*dims, member).agg(*aggs).select(*df.columns)
 
 
 # A21
