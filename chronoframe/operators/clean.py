@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoframe import functions as fx
 from chronoframe.functions.common import as_col
+from chronoframe.functions.dates import DOTTED_DMY, ISO_PREFIX
 from chronoframe.session import maybe_broadcast
 
 
@@ -141,9 +142,10 @@ def guarded_numeric(df: DataFrame, col: str, out: str | None = None, scale: int
     return df.withColumn(out or col, fx.guarded_numeric(col, scale))
 
 
-# The route tables of the reference's mixed date parsers.
+# The route tables of the reference's mixed date parsers
+# (patterns from functions.dates; formats in the order they are tried).
 DATE_ROUTES = {
-    "dotted": [(r"^\d{2}\.\d{2}\.\d{4}", "dd.MM.yyyy"), (r"^\d{4}-\d{2}-\d{2}", None)],
+    "dotted": [(DOTTED_DMY, "dd.MM.yyyy"), (ISO_PREFIX, None)],
     "dayname": ["d MMMM yyyy", "yyyy-MM-dd"],
     "slashed": ["dd/MM/yyyy", "yyyy-MM-dd"],
 }
