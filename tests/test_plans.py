@@ -50,3 +50,61 @@ def test_grouped_aggregates_are_partial_before_shuffle(spark):
 def test_loads_dedupe_by_aggregation_not_window(spark):
     t = plan_text(QUERIES["K07_upsert"](spark, SF_SMALL), "simple")
     assert "Window" not in t
+
+
+def _unpartitioned_windows_over_raw_rows(plan: str) -> list[str]:
+    """Window nodes with an empty partition spec whose input reaches a scan
+    without passing through an aggregate."""
+    lines = [ln for ln in plan.splitlines() if ln.strip()]
+    bad = []
+    for i, ln in enumerate(lines):
+        stripped = ln.lstrip(" :+-")
+        if not stripped.startswith("Window ["):
+            continue
+        # second bracket group is the partition spec
+        depth, groups, cur = 0, [], ""
+        for ch in stripped[len("Window "):]:
+            if ch == "[":
+                depth += 1
+                if depth == 1:
+                    cur = ""
+                    continue
+            if ch == "]":
+                depth -= 1
+                if depth == 0:
+                    groups.append(cur)
+                    continue
+            if depth >= 1:
+                cur += ch
+        # explain prints "Window [exprs], [partition], [order]", and drops the
+        # partition group entirely when there is none
+        partitioned = len(groups) >= 3 and groups[1].strip()
+        if partitioned:
+            continue
+        indent = len(ln) - len(ln.lstrip(" :+-"))
+        for sub in lines[i + 1:]:
+            sub_indent = len(sub) - len(sub.lstrip(" :+-"))
+            if sub_indent <= indent:
+                break
+            body = sub.lstrip(" :+-")
+            if body.startswith(("HashAggregate", "SortAggregate", "ObjectHashAggregate")):
+                break
+            if "Scan " in body or body.startswith("FileScan"):
+                bad.append(stripped[:80])
+                break
+    return bad
+
+
+def test_no_unpartitioned_window_over_raw_rows(plans):
+    offenders = {k: w for k, t in plans.items() if (w := _unpartitioned_windows_over_raw_rows(t))}
+    assert offenders == {}
+
+
+def test_window_detector_is_not_vacuous(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+    raw = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    bad = raw.withColumn("rn", F.row_number().over(Window.orderBy("o_orderdate")))
+    assert _unpartitioned_windows_over_raw_rows(plan_text(bad, "simple"))
+    ok = raw.groupBy("o_orderdate").count().withColumn("rn", F.row_number().over(Window.orderBy("o_orderdate")))
+    assert not _unpartitioned_windows_over_raw_rows(plan_text(ok, "simple"))
