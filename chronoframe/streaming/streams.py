@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,21 +37,25 @@ def stream_ingest_dedup(sdf: DataFrame, keys: Sequence[str], ts: str, delay: str
 
 # X02
 def stream_upsert(sdf: DataFrame, target_path: str, keys: Sequence[str], order: str, checkpoint: str):
-    """Micro-batch upsert: each batch merges into the current snapshot and
-    commits a new snapshot directory keyed by the batch id (idempotent on
-    replay: a batch id that already committed is skipped)."""
+    """Micro-batch upsert: batch ``k`` merges into the latest snapshot with a
+    smaller batch id and writes snapshot ``batch=k``. A replayed batch (after a
+    failure) reads the same predecessor and overwrites its own directory, so
+    replays are idempotent and never build on a partial write."""
     spark = sdf.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         out = f"{target_path}/batch={batch_id:09d}"
+        current = batch.limit(0)
         try:
-            prev = spark.read.parquet(target_path)
-            if prev.filter(F.col("batch") == batch_id).limit(1).count():
-                return
+            prev = spark.read.parquet(target_path).filter(F.col("batch") < batch_id)
+        except AnalysisException as e:  # nothing committed yet: the target folder does not exist
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            prev = None
+        if prev is not None:
             cur_id = prev.agg(F.max("batch")).first()[0]
-            current = prev.filter(F.col("batch") == cur_id).drop("batch")
-        except Exception:  # first batch: no snapshot yet
-            current = batch.limit(0)
+            if cur_id is not None:
+                current = prev.filter(F.col("batch") == cur_id).drop("batch")
         upsert(current, batch.select(*current.columns), keys, order).write.mode("overwrite").parquet(out)
 
     return sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
