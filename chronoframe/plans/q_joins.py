@@ -9,6 +9,7 @@ from chronoframe.plans.common import (
     SQL_DAILY_QTY, daily_events, daily_qty, dsum, events, lineitem, orders, query, sql_daily_events, table,
 )
 from chronoframe.plans.q_aggs import EVENT_TYPES, SQL_PAIR_STATS_R, _merged_daily_types, _pair_stats_r
+from chronoframe.session import maybe_broadcast
 
 
 @query("J01_full_outer_daily", f"""
@@ -94,7 +95,7 @@ FROM ({SQL_NATION_YEAR_REVENUE}) r LEFT JOIN ({SQL_SUPPLY_LOOKUP}) k ON r.nation
 """)
 def j06(spark, sf):
     """(nation, year) lookup: missing or zero lookup → NULL ratio."""
-    n = F.broadcast(table(spark, sf, "nation"))
+    n = maybe_broadcast(table(spark, sf, "nation"))
     o = orders(spark, sf).join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey") \
         .join(n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
     rev = o.groupBy(F.col("n_name").alias("nation"), F.year("od").alias("year")).agg(F.sum("price").cast("double").alias("revenue"))

@@ -16,6 +16,7 @@ from chronoframe.plans.common import (
 )
 from chronoframe.plans.q_aggs import EVENT_TYPES, _merged_daily_types
 from chronoframe.plans.q_joins import SQL_NATION_YEAR_REVENUE
+from chronoframe.session import maybe_broadcast
 
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -271,7 +272,7 @@ ORDER BY revenue DESC, nation LIMIT 10
 """)
 def w20(spark, sf):
     """Top 10 nations by revenue in the latest year present."""
-    n = F.broadcast(table(spark, sf, "nation"))
+    n = maybe_broadcast(table(spark, sf, "nation"))
     o = orders(spark, sf).join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey") \
         .join(n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
     rev = o.groupBy(F.col("n_name").alias("nation"), F.year("od").alias("year")).agg(F.sum("price").cast("double").alias("revenue"))

@@ -108,3 +108,12 @@ def test_window_detector_is_not_vacuous(spark):
     assert _unpartitioned_windows_over_raw_rows(plan_text(bad, "simple"))
     ok = raw.groupBy("o_orderdate").count().withColumn("rn", F.row_number().over(Window.orderBy("o_orderdate")))
     assert not _unpartitioned_windows_over_raw_rows(plan_text(ok, "simple"))
+
+
+def test_broadcast_hints_only_behind_a_size_check():
+    """``F.broadcast`` is used only inside ``session.maybe_broadcast`` (which
+    checks the size first); everything else goes through that helper or AQE."""
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1] / "chronoframe"
+    offenders = [str(p) for p in root.rglob("*.py") if p.name != "session.py" and "F.broadcast(" in p.read_text()]
+    assert offenders == []
