@@ -22,42 +22,63 @@ from pyspark.sql import functions as F
 from chronoframe.session import scratch_path
 
 
-def _render_partitions(df: DataFrame, render: Callable[[pd.DataFrame], list[str]]) -> DataFrame:
-    """Each partition becomes the lines ``render`` returns for it (in order)."""
+def _spread(df: DataFrame, min_files: int) -> DataFrame:
+    """Keep the input's own partitioning (one output file per input split, so
+    nothing is funnelled); only spread out when there are fewer splits than
+    ``min_files`` (small test tables), never merge."""
+    n = df.rdd.getNumPartitions()  # planning only, no job
+    return df.repartition(min_files) if n < min_files else df
+
+
+def _render_partitions(df: DataFrame, render, whole: bool) -> DataFrame:
+    """Each partition becomes one text file's lines. ``render(pdf, first)``
+    turns an Arrow batch into lines, ``first`` marking the file's first batch
+    (where headers and preambles go), so a partition streams through in
+    batches. ``whole=True`` hands the partition over in one piece, for formats
+    that are one document per file (a JSON array, an API page)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(it)
-        if not frames:
+        if whole:
+            frames = list(it)
+            if frames:
+                pdf = pd.concat(frames, ignore_index=True)
+                if len(pdf):
+                    yield pd.DataFrame({"value": render(pdf, True)})
             return
-        pdf = pd.concat(frames, ignore_index=True)
-        if len(pdf):
-            yield pd.DataFrame({"value": render(pdf)})
+        first = True
+        for pdf in it:
+            if len(pdf):
+                yield pd.DataFrame({"value": render(pdf, first)})
+                first = False
     return df.mapInPandas(run, "value string")
 
 
-def write_lines(df: DataFrame, name: str, render, partitions: int = 4, partition_by: str | None = None) -> str:
+def write_lines(df: DataFrame, name: str, render, min_files: int = 4, partition_by: str | None = None,
+                whole: bool = False) -> str:
     """Render partitions to text files under a fresh scratch directory."""
     path = scratch_path(df.sparkSession, name)
-    src = df.repartition(partitions, partition_by) if partition_by else df.repartition(partitions)
     if partition_by:
         def with_key(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
                 for key, g in pdf.groupby(partition_by, sort=True):
-                    yield pd.DataFrame({partition_by: [key] * 1, "value": ["\n".join(render(g.drop(columns=[partition_by])))]})
-        src.mapInPandas(with_key, f"`{partition_by}` string, value string").write.partitionBy(partition_by).text(path)
+                    yield pd.DataFrame({partition_by: [key], "value": ["\n".join(render(g.drop(columns=[partition_by]), True))]})
+        # one file per key value: the rows of a key (one day's features) are co-located first
+        df.repartition(partition_by).mapInPandas(with_key, f"`{partition_by}` string, value string") \
+            .write.partitionBy(partition_by).text(path)
     else:
-        _render_partitions(src, render).write.text(path)
+        _render_partitions(_spread(df, min_files), render, whole).write.text(path)
     return path
 
 
 def csv_lines(pdf: pd.DataFrame, header: bool = True) -> list[str]:
     buf = io.StringIO()
     pdf.to_csv(buf, index=False, header=header, lineterminator="\n", date_format="%Y-%m-%d")
-    return buf.getvalue().rstrip("\n").split("\n")
+    text = buf.getvalue().rstrip("\n")
+    return text.split("\n") if text else []
 
 
-def write_zipped_csv(df: DataFrame, name: str, member: str, partitions: int = 4) -> str:
-    """One ZIP archive per partition holding a BOM-prefixed CSV member and an
-    unrelated text member, written with the filesystem of the target URI."""
+def write_zipped_csv(df: DataFrame, name: str, member: str, min_files: int = 4) -> str:
+    """One ZIP archive per input split holding a BOM-prefixed CSV member and
+    an unrelated text member, written with the filesystem of the target URI."""
     path = scratch_path(df.sparkSession, name)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +100,7 @@ def write_zipped_csv(df: DataFrame, name: str, member: str, partitions: int = 4)
             out.write(blob.getvalue())
         yield pd.DataFrame({"file": [target], "rows": [len(pdf)]})
 
-    df.repartition(partitions).mapInPandas(run, "file string, rows long").collect()  # one row per archive
+    _spread(df, min_files).mapInPandas(run, "file string, rows long").collect()  # one row per archive
     return path
 
 

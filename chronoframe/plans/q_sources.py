@@ -44,7 +44,9 @@ def s02(spark, sf):
 @query("S03_scan_csv_preamble", SQL_ORDERS_TYPED)
 def s03(spark, sf):
     """Each file starts with free-text lines; the header is the first line starting with the marker."""
-    def render(pdf):
+    def render(pdf, first):
+        if not first:
+            return fz.csv_lines(pdf, header=False)
         return ["Daily order report", "generated by the export job, do not edit", ""] + fz.csv_lines(pdf)
     path = fz.write_lines(_orders_dated(spark, sf), "orders-preamble", render)
     return sources.scan_csv_preamble(spark, path, "o_orderkey,", ORDERS_DDL)
@@ -53,7 +55,9 @@ def s03(spark, sf):
 @query("S04_scan_csv_tagrow", SQL_ORDERS_TYPED)
 def s04(spark, sf):
     """Each file's second line is a '#' tag row; only that line is dropped."""
-    def render(pdf):
+    def render(pdf, first):
+        if not first:
+            return fz.csv_lines(pdf, header=False)
         lines = fz.csv_lines(pdf)
         return [lines[0], ",".join("#" + c.split("_", 1)[-1] for c in pdf.columns)] + lines[1:]
     path = fz.write_lines(_orders_dated(spark, sf), "orders-tagrow", render)
@@ -74,7 +78,7 @@ CUSTOMER_ODD_KEYS = {"customer key": "c_custkey", "account balance*": "c_acctbal
 def s06(spark, sf):
     """Files holding one JSON array of records with odd keys, renamed on read."""
     c = table(spark, sf, "customer").select(*[F.col(v).alias(k) for k, v in CUSTOMER_ODD_KEYS.items()])
-    path = fz.write_lines(c, "customer-json-array", lambda pdf: [fz.json_dump(fz.json_records(pdf))])
+    path = fz.write_lines(c, "customer-json-array", lambda pdf, first: [fz.json_dump(fz.json_records(pdf))], whole=True)
     return sources.scan_json_array(spark, path, CUSTOMER_ODD_KEYS)
 
 
@@ -82,7 +86,8 @@ def s06(spark, sf):
 def s07(spark, sf):
     """API pages {"data": [...], "maxPages": n} → rows."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    path = fz.write_lines(o, "orders-pages", lambda pdf: [fz.json_dump({"data": fz.json_records(pdf), "maxPages": 4})])
+    path = fz.write_lines(o, "orders-pages", lambda pdf, first: [fz.json_dump({"data": fz.json_records(pdf), "maxPages": 4})],
+                          whole=True)
     return sources.scan_json_pages(spark, path, "data")
 
 
@@ -90,7 +95,8 @@ def s07(spark, sf):
 def s07_items(spark, sf):
     """API pages {"items": [...], "maxPages": n} → rows."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    path = fz.write_lines(o, "orders-pages-items", lambda pdf: [fz.json_dump({"items": fz.json_records(pdf), "maxPages": 4})])
+    path = fz.write_lines(o, "orders-pages-items",
+                          lambda pdf, first: [fz.json_dump({"items": fz.json_records(pdf), "maxPages": 4})], whole=True)
     return sources.scan_json_pages(spark, path, "items")
 
 
@@ -99,7 +105,8 @@ def s07_meta(spark, sf):
     """API pages shaped [meta, [rows]] → rows (row schema declared)."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     path = fz.write_lines(o, "orders-pages-meta",
-                          lambda pdf: [fz.json_dump([{"page": 1, "pages": 4, "per_page": len(pdf)}, fz.json_records(pdf)])])
+                          lambda pdf, first: [fz.json_dump([{"page": 1, "pages": 4, "per_page": len(pdf)}, fz.json_records(pdf)])],
+                          whole=True)
     return sources.scan_json_pages(spark, path, None, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
 
 
@@ -120,7 +127,7 @@ def s08(spark, sf):
                                                  F.min("user_id").cast("double").alias("y0"),
                                                  F.max("user_id").cast("double").alias("y1"))
 
-    def render(pdf):
+    def render(pdf, first):
         feats = []
         for r in pdf.sort_values("event_type").itertuples():
             ring = [[r.x0, r.y0], [r.x1, r.y0], [r.x1, r.y1], [r.x0, r.y1], [r.x0, r.y0]]
@@ -128,7 +135,7 @@ def s08(spark, sf):
                           "geometry": {"type": "Polygon", "coordinates": [ring]}})
         return [fz.json_dump({"type": "FeatureCollection", "features": feats})]
 
-    path = fz.write_lines(boxes, "events-geojson", render, partitions=4, partition_by="date")
+    path = fz.write_lines(boxes, "events-geojson", render, partition_by="date")
     return sources.scan_geojson(spark, path)
 
 
