@@ -368,7 +368,7 @@ def k16(spark, sf):
 SELECT r.r_name AS region, CAST(l.l_shipdate AS DATE) AS date, SUM(l.l_quantity) AS tonnes,
   CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS eur,
   CAST(SUM(COALESCE(CASE WHEN l.l_returnflag = 'N' THEN NULL ELSE CAST(l.l_tax AS DECIMAL(18,2)) END, 0)) AS DOUBLE) AS usd,
-  arg_min(l.l_linestatus, l.l_orderkey * 100 + l.l_linenumber) AS status
+  arg_min(l.l_linestatus, (l.l_orderkey, l.l_linenumber, l.l_linestatus)) AS status
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2
 """)
@@ -383,6 +383,7 @@ def k17(spark, sf):
     api = li.select(F.col("r_name").alias("region"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_text"),
                     F.col("l_quantity").alias("tonnes"), dec("l_extendedprice").alias("eur"),
                     F.when(F.col("l_returnflag") == "N", F.lit(None)).otherwise(dec("l_tax")).alias("usd"),
-                    F.col("l_linestatus").alias("status"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seen"))
+                    F.col("l_linestatus").alias("status"),
+                    F.struct("l_orderkey", "l_linenumber", "l_linestatus").alias("seen"))  # total order: keys repeat in the data
     r = loads.region_rollup_load(api, "region", "ts_text", ["tonnes", "eur", "usd"], ["status"], order="seen")
     return r.withColumn("eur", F.col("eur").cast("double")).withColumn("usd", F.col("usd").cast("double"))
