@@ -151,19 +151,21 @@ def pair_asymmetry(joined: DataFrame, avg_ab: str, avg_ba: str, n_ab: str, n_ba:
 
 # A15
 def bidirectional_counts(df: DataFrame, a: str, b: str, focal: str, measure: str, k: int = 25,
-                         out: str = "country") -> DataFrame:
+                         out: str = "country", names: Sequence[str] = ("out_count", "in_count", "avg_out", "avg_in")
+                         ) -> DataFrame:
     """Per counterparty of ``focal``: out/in counts and out/in averages, top k
-    by total (ties by name)."""
+    by total (ties by name). ``names`` renames the four measures."""
     from chronoframe.operators.clean import counterparty
+    n_out, n_in, a_out, a_in = names
     cp = counterparty(df, a, b, focal, out=out, direction="__dir")
     is_out, is_in = F.col("__dir") == "out", F.col("__dir") == "in"
     res = cp.groupBy(out).agg(
-        F.sum(F.when(is_out, 1).otherwise(0)).alias("out_count"),
-        F.sum(F.when(is_in, 1).otherwise(0)).alias("in_count"),
-        F.coalesce(fx.mean(F.when(is_out, as_col(measure))), F.lit(0.0)).alias("avg_out"),
-        F.coalesce(fx.mean(F.when(is_in, as_col(measure))), F.lit(0.0)).alias("avg_in"),
+        F.sum(F.when(is_out, 1).otherwise(0)).alias(n_out),
+        F.sum(F.when(is_in, 1).otherwise(0)).alias(n_in),
+        F.coalesce(fx.mean(F.when(is_out, as_col(measure))), F.lit(0.0)).alias(a_out),
+        F.coalesce(fx.mean(F.when(is_in, as_col(measure))), F.lit(0.0)).alias(a_in),
     )
-    return res.orderBy((F.col("out_count") + F.col("in_count")).desc(), F.col(out).asc()).limit(k)
+    return res.orderBy((F.col(n_out) + F.col(n_in)).desc(), F.col(out).asc()).limit(k)
 
 
 # A16

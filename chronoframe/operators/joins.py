@@ -51,22 +51,26 @@ def date_merge_fill(frames: Mapping[str, DataFrame], date: str, value: str) -> D
 
 # J04
 def inverse_pair_join(pairs: DataFrame, src: str, dst: str, measures: Sequence[str],
-                      left_suffix: str = "_ab", right_suffix: str = "_ba") -> DataFrame:
+                      left_suffix: str = "_ab", right_suffix: str = "_ba",
+                      left_fmt: str | None = None, right_fmt: str | None = None) -> DataFrame:
     """Pair stats next to the reverse direction (``a.src = b.dst AND a.dst =
     b.src``, keeping ``a.src < a.dst``); pairs lacking the reverse direction
     drop out. ``pairs`` holds one row per directed pair (``pair_stats``).
 
     Expressed without the self-join: each row is keyed by its unordered pair
     (least, greatest) and one aggregation puts the forward and reverse
-    measures side by side. The (possibly expensive) input is computed once and
+    measures side by side. Output names are ``{m}{suffix}`` or, with
+    ``left_fmt``/``right_fmt``, a pattern such as ``"a_to_b_{m}"``. The (possibly expensive) input is computed once and
     shuffled once, where a self-join would evaluate it twice."""
     a, b = as_col(src), as_col(dst)
     lo, hi = F.least(a, b), F.greatest(a, b)
     fwd = a < b
     valid = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b))
     aggs = [F.count_if(fwd).alias("__nf"), F.count_if(~fwd).alias("__nb")]
-    aggs += [F.max(F.when(fwd, as_col(m))).alias(f"{m}{left_suffix}") for m in measures]
-    aggs += [F.max(F.when(~fwd, as_col(m))).alias(f"{m}{right_suffix}") for m in measures]
+    lname = (lambda m: left_fmt.format(m=m)) if left_fmt else (lambda m: f"{m}{left_suffix}")
+    rname = (lambda m: right_fmt.format(m=m)) if right_fmt else (lambda m: f"{m}{right_suffix}")
+    aggs += [F.max(F.when(fwd, as_col(m))).alias(lname(m)) for m in measures]
+    aggs += [F.max(F.when(~fwd, as_col(m))).alias(rname(m)) for m in measures]
     g = valid.groupBy(lo.alias(src), hi.alias(dst)).agg(*aggs)
     return g.filter((F.col("__nf") > 0) & (F.col("__nb") > 0)).drop("__nf", "__nb")
 
