@@ -21,6 +21,12 @@ def _land(df, path, mode="append"):
     df.write.mode(mode).parquet(path)
 
 
+def _chunks(values: list, n: int) -> list[list]:
+    """Split an ordered (small, calendar-bounded) list into n consecutive runs."""
+    size = max(1, -(-len(values) // n))
+    return [values[i:i + size] for i in range(0, len(values), size)]
+
+
 @query("X01_stream_ingest_dedup", "SELECT event_id, event_type, value, CAST(ts AS DATE) AS d FROM events")
 def x01(spark, sf):
     """Events landed twice; the stream drops repeated keys within the watermark."""
@@ -61,9 +67,8 @@ def x03(spark, sf):
     e = table(spark, sf, "events")
     src = scratch_path(spark, "x03-landing")
     weeks = [r[0] for r in e.select(F.date_trunc("week", "ts").alias("w")).distinct().orderBy("w").collect()]  # calendar-bounded
-    for w in weeks:  # land in time order, one file set per week, so no row arrives behind the watermark
-        part = e.filter(F.date_trunc("week", "ts") == F.lit(w))
-        _land(part, src)
+    for chunk in _chunks(weeks, 3):  # land in time order, so no row arrives behind the watermark
+        _land(e.filter(F.date_trunc("week", "ts").isin(chunk)), src)
     sdf = st.read_stream(spark, src, e.schema, max_files=1).withColumn("ts", F.col("ts").cast("timestamp"))
     agg = st.stream_bucket_count(sdf, "ts", ["event_type"], "1 day", "1 day")
     out, ckpt = st.stream_dirs(spark, "x03")
@@ -92,8 +97,8 @@ def x04(spark, sf):
     d = spark.read.parquet(snap)
     src = scratch_path(spark, "x04-landing")
     years = [r[0] for r in d.select(F.year("sd")).distinct().orderBy(F.year("sd")).collect()]  # calendar years, bounded
-    for y in years:  # land in time order: one file set per year
-        _land(d.filter(F.year("sd") == y).coalesce(1), src)
+    for chunk in _chunks(years, 3):  # land in time order: three consecutive year ranges, one micro-batch each
+        _land(d.filter(F.year("sd").isin(chunk)).coalesce(1), src)
     sdf = st.read_stream(spark, src, d.schema, max_files=1)
     cp = st.stream_change_points(sdf, "l_returnflag", "sd", "n_lines", THRESHOLD)
     out, ckpt = st.stream_dirs(spark, "x04")
