@@ -255,3 +255,40 @@ def test_dense_grid_infers_categories(spark):
     assert rows(g, "t", "c", "n") == [("d1", "a", 1), ("d1", "b", 0), ("d2", "a", 0), ("d2", "b", 5)]
     r = series.dense_running_total(df, "c", "t", "n")
     assert rows(r, "c", "t", "cumulative") == [("a", "d1", 1), ("a", "d2", 1), ("b", "d1", 0), ("b", "d2", 5)]
+
+
+def test_range_summary_empty_is_zero(spark):
+    df = spark.createDataFrame([(D(2024, 1, 1), 5.0), (D(2024, 1, 31), 8.0)], "d date, v double")
+    r = aggs.range_summary(df, "d", "v", "2025-01-01", "2025-12-31").first()
+    assert (r["current"], r["net_change"], r["monthly_avg"]) == (0.0, 0.0, 0.0)
+    r = aggs.range_summary(df, "d", "v").first()
+    assert (r["current"], r["net_change"], r["monthly_avg"]) == (8.0, 3.0, 45.0)
+
+
+def test_chunk_range_single_day_and_tail(spark):
+    b = spark.createDataFrame([(D(2024, 1, 1), D(2024, 1, 1)), (D(2024, 1, 1), D(2024, 4, 5))], "s date, e date")
+    got = rows(loads.chunk_range(b, "s", "e", 90), "chunk_start", "chunk_end")
+    assert got == [(D(2024, 1, 1), D(2024, 1, 1)), (D(2024, 1, 1), D(2024, 3, 30)), (D(2024, 3, 31), D(2024, 4, 5))]
+
+
+def test_human_count_format(spark):
+    df = spark.createDataFrame([(596,), (1000,), (2514,), (244320,), (55602998,)], "n long")
+    assert [r[0] for r in df.select(loads.human_count("n")).collect()] == ["596", "1.0K", "2.5K", "244.3K", "55.6M"]
+
+
+def test_rate_of_change_needs_full_window(spark):
+    df = spark.createDataFrame([(i, float(i * i)) for i in range(31)], "i int, v double")
+    got = series.rate_of_change(df, None, "i", "v", 30).collect()
+    assert len(got) == 1 and got[0]["i"] == 15 and got[0]["rate"] == pytest.approx((30 * 30 - 0) / 30 * 30)
+    assert series.rate_of_change(df.filter("i < 30"), None, "i", "v", 30).count() == 0
+
+
+def test_guarded_ratio_zero_denominator(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (1.0, 3.0), (0.0, 0.0)], "a double, b double")
+    assert [r[0] for r in df.select(aggs.guarded_ratio("a", "b", 1)).collect()] == [0.0, 33.3, 0.0]
+
+
+def test_month_boundary_change_uses_previous_row(spark):
+    df = spark.createDataFrame([(D(2024, 1, 30), 10.0), (D(2024, 1, 31), 12.0), (D(2024, 2, 2), 15.0), (D(2024, 2, 9), 1.0)],
+                               "d date, v double")
+    assert rows(series.month_boundary_change(df, None, "d", "v"), "month", "change", "area") == [(D(2024, 2, 1), 3.0, 15.0)]
