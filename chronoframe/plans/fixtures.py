@@ -13,7 +13,7 @@ import io
 import json
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoframe import functions as fx
 from chronoframe.operators import aggs, joins, loads
 from chronoframe.plans.common import table, trade_pairs
 from tests.conftest import SF_SMALL

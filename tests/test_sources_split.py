@@ -8,7 +8,6 @@ from chronoframe import sources
 from chronoframe.plans import fixtures as fz
 from chronoframe.plans.q_sources import ORDERS_DDL
 from chronoframe.session import scratch_path
-from tests.conftest import SF_SMALL
 
 
 def _orders(spark):
