@@ -7,11 +7,16 @@ import decimal
 import math
 
 
+EXACT = False  # set by tools/oracle_check.py --exact: compare doubles bit for bit
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        if math.isnan(v):
+            return None
+        return v + 0.0 if EXACT else round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6) + 0.0
     if isinstance(v, dt.datetime):
