@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -93,7 +92,9 @@ def write_zipped_csv(df: DataFrame, name: str, member: str, min_files: int = 4)
         with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as zf:
             zf.writestr(member, ("﻿" + "\n".join(csv_lines(pdf)) + "\n").encode("utf-8"))
             zf.writestr("readme.txt", "not data\n")
-        target = f"{path}/part-{uuid.uuid4().hex}.zip"
+        from pyspark import TaskContext
+        # named by partition: a retried task overwrites its own archive instead of adding a duplicate
+        target = f"{path}/part-{TaskContext.get().partitionId():05d}.zip"
         filesystem, p = pafs.FileSystem.from_uri(target if "://" in target else "file://" + target.replace("file:", ""))
         filesystem.create_dir(p.rsplit("/", 1)[0], recursive=True)
         with filesystem.open_output_stream(p) as out:
