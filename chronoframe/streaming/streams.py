@@ -78,10 +78,11 @@ def stream_bucket_count(sdf: DataFrame, ts: str, dims: Sequence[str], size: str
 
 
 def sink_updates(agg: DataFrame, path: str, checkpoint: str):
-    """Update-mode aggregate → append-only log of updated rows per batch id;
+    """Update-mode aggregate → a log of updated rows, one directory per batch
+    id (overwritten on replay, so a re-run batch never duplicates rows);
     ``read_updates`` keeps the latest version of each key."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
 
     return agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
