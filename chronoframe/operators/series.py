@@ -110,8 +110,10 @@ def dense_running_total(df: DataFrame, series: str, order: str, col: str, out: s
 def _dense(df: DataFrame, series: str, order: str, col: str) -> DataFrame:
     """All (order, series) cells with absent = 0, in one pass over ``df``: one
     row per order value holding a series → value map (bounded by the number of
-    series), the series set gathered by a window over those per-order rows
-    (calendar-sized), then exploded with a map lookup."""
+    series), the series set gathered by a window over those per-order rows,
+    then exploded with a map lookup. ``order`` is the time axis of a running
+    total (a calendar: days, weeks, months), so the window holds one row per
+    period; for an unbounded key use ``shape.dense_grid``."""
     cells = df.groupBy(order, series).agg(F.sum(col).alias("__v"))
     per = cells.groupBy(order).agg(F.map_from_entries(F.collect_list(F.struct(series, "__v"))).alias("__m"))
     cats = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("__m")).over(Window.partitionBy()))))

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoframe.functions.common import as_col
 
@@ -23,14 +22,15 @@ def pivot_sum(df: DataFrame, key, category: str, value: str, categories: Sequenc
 
 # R02
 def dense_grid(df: DataFrame, key: str, category: str, value: str, categories: Sequence[str] | None = None) -> DataFrame:
-    """All keys × categories with 0 for gaps (long form), in one pass: cells
-    are summed, folded into one category → value map per key (bounded by the
-    number of categories) and exploded over the category list — a literal
-    array when given, else the set gathered by a window over the per-key rows."""
+    """All keys × categories with 0 for gaps (long form): cells are summed,
+    folded into one category → value map per key (bounded by the number of
+    categories) and exploded over the category list — a literal array when
+    given, else the category set from a distributed ``collect_set`` aggregate
+    attached as a scalar subquery (safe for any number of keys)."""
     cells = df.groupBy(key, category).agg(F.sum(value).alias("__v"))
     per = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(category, "__v"))).alias("__m"))
     if categories is None:
-        cats = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("__m")).over(Window.partitionBy()))))
+        cats = cells.select(F.array_sort(F.collect_set(category))).scalar()
     else:
         cats = F.array(*[F.lit(c) for c in categories]).cast(f"array<{dict(df.dtypes)[category]}>")
     zero = F.lit(0).cast(dict(cells.dtypes)["__v"])
