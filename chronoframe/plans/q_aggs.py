@@ -21,11 +21,13 @@ EVENT_TYPES = ["click", "view", "purchase", "error"]
 SELECT COUNT(*) AS count, MIN(CAST(o_orderdate AS DATE)) AS min_date, MAX(CAST(o_orderdate AS DATE)) AS max_date FROM orders
 """)
 def a01(spark, sf):
+    """Order count with first and last order date, one pass."""
     return aggs.table_stats(orders(spark, sf), "od")
 
 
 @query("A02_table_count", "SELECT COUNT(*) AS count FROM lineitem")
 def a02(spark, sf):
+    """Line item count."""
     return aggs.table_count(table(spark, sf, "lineitem"))
 
 
@@ -34,6 +36,7 @@ SELECT COUNT(DISTINCT CAST(l_shipdate AS DATE)) AS days, COALESCE(SUM(l_quantity
   CAST(COALESCE(SUM(CAST(l_extendedprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS revenue FROM lineitem
 """)
 def a03(spark, sf):
+    """Distinct ship days and coalesced quantity / revenue sums over all line items."""
     li = lineitem(spark, sf).withColumn("ep", dec("l_extendedprice"))
     r = aggs.global_sums(li, "sd", {"qty": "l_quantity", "revenue": "ep"})
     return r.withColumn("revenue", F.col("revenue").cast("double"))
@@ -95,6 +98,7 @@ SELECT CAST(l_shipdate AS DATE) AS sd, SUM(l_quantity) AS launched,
 FROM lineitem GROUP BY 1
 """)
 def a07(spark, sf):
+    """Per ship day: total quantity, returned quantity and returned line count (CASE sums)."""
     li = lineitem(spark, sf)
     r = F.col("l_returnflag") == "R"
     return aggs.conditional_sums(li, "sd", {"launched": (F.lit(True), "l_quantity"), "destroyed": (r, "l_quantity"),
@@ -120,11 +124,13 @@ def a08(spark, sf):
 SELECT event_type, COALESCE(CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value), 0) AS avg FROM events GROUP BY 1
 """)
 def a09(spark, sf):
+    """Average event value per type, 0 when none."""
     return aggs.avg_or_zero(events(spark, sf), "event_type", "v")
 
 
 @query("A10_count_distinct_group", "SELECT event_type, COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def a10(spark, sf):
+    """Distinct users per event type."""
     return aggs.count_distinct_group(table(spark, sf, "events"), "event_type", "user_id", "users")
 
 
@@ -144,6 +150,7 @@ SELECT p_brand, CASE WHEN SUM(l_quantity) > 0 THEN
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 """)
 def a12(spark, sf):
+    """Returned share of quantity per part brand, guarded against a zero total."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     g = li.groupBy("p_brand").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).alias("ret"),
                                   F.sum("l_quantity").alias("tot"))
@@ -155,6 +162,7 @@ SELECT src, dst, COUNT(*) AS n, CAST(SUM(disc) AS DOUBLE) / COUNT(disc) AS avg
 FROM ({SQL_PAIRS}) WHERE src IS NOT NULL AND src <> '' AND dst IS NOT NULL AND dst <> '' AND src <> dst GROUP BY 1, 2
 """)
 def a13(spark, sf):
+    """Per directed nation pair: line count and average discount (blank and self pairs excluded)."""
     return aggs.pair_stats(trade_pairs(spark, sf), "src", "dst", "disc")
 
 
@@ -192,6 +200,7 @@ FROM p WHERE country IS NOT NULL AND country <> '' GROUP BY 1
 ORDER BY out_count + in_count DESC, country LIMIT 25
 """)
 def a15(spark, sf):
+    """Counterparties of the focal nation: out/in counts and averages, top 25 by total."""
     return aggs.bidirectional_counts(trade_pairs(spark, sf), "src", "dst", FOCAL, "disc", 25)
 
 
@@ -206,6 +215,7 @@ SELECT week, direction, COUNT(*) AS count, COALESCE(CAST(SUM(disc) AS DOUBLE) /
 FROM c GROUP BY 1, 2
 """)
 def a16(spark, sf):
+    """Week × direction relative to the focal nation: count, average discount, urgent-order count."""
     return aggs.directional_weekly(trade_pairs(spark, sf), "od", "src", "dst", FOCAL, "disc", "o_orderpriority", "1")
 
 
@@ -214,6 +224,7 @@ SELECT CAST(round(CAST(value AS DECIMAL(38,6)), 0) AS DOUBLE) AS bin, COUNT(*) A
 WHERE value IS NOT NULL GROUP BY 1
 """)
 def a17(spark, sf):
+    """Histogram of event values rounded to whole numbers."""
     return aggs.rounded_histogram(table(spark, sf, "events"), "value", 0)
 
 
@@ -234,6 +245,7 @@ SELECT item, month, COUNT(*) AS count FROM (
   FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2
 """)
 def a18_month(spark, sf):
+    """Words of part names per ship month over all line items."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     return aggs.explode_count(li.select(F.split("p_name", " ").alias("words"), "l_shipdate"), "words", "l_shipdate")
 
@@ -305,6 +317,7 @@ SELECT c_mktsegment, CAST(SUM(CASE WHEN regexp_full_match(txt, '[0-9.]+') THEN C
   ELSE 0 END) AS DOUBLE) AS total, COUNT(*) AS count FROM ({SQL_DIRTY_BALANCE}) GROUP BY 1
 """)
 def a21(spark, sf):
+    """Sum of dirty numeric text per segment (non-numbers count as 0)."""
     r = aggs.value_fallback_sum(_dirty_balance(spark, sf), "c_mktsegment", "txt")
     return r.withColumn("total", F.col("total").cast("double"))
 
@@ -330,6 +343,7 @@ SELECT CAST(date_trunc('month', od) AS DATE) AS month, CAST(SUM(n_orders) AS BIG
   CAST(SUM(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM ({SQL_DAILY_ORDERS}) GROUP BY 1
 """)
 def a23(spark, sf):
+    """Daily order rollup re-summed by month."""
     d = daily_orders(spark, sf).withColumn("revenue", dec("revenue"))
     r = aggs.reaggregate_coarser(d, [], ["n_orders", "revenue"], grain="month", date="od")
     return r.withColumn("revenue", F.col("revenue").cast("double"))
@@ -340,6 +354,7 @@ SELECT event_type, n, round(CAST(n AS DOUBLE) / (SELECT COUNT(*) FROM events) *
 FROM (SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1)
 """)
 def a24(spark, sf):
+    """Share of each event type in all events, in %."""
     r = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return aggs.share_of_total(r, "n", "pct", 1)
 
@@ -378,6 +393,7 @@ SELECT SUM(qty_diff) AS total_change, MAX(qty_diff) AS max_gain, MIN(qty_diff) A
 FROM ({SQL_DAILY_DIFF}) WHERE qty_diff IS NOT NULL
 """)
 def a27(spark, sf):
+    """Summary of day-over-day quantity changes: total, max gain/loss, counts up/down, mean."""
     d = series.diff_lag1(daily_qty(spark, sf), None, "sd", ["qty"])
     return aggs.period_summary(d, "qty_diff")
 
@@ -388,6 +404,7 @@ SELECT COALESCE(arg_max(qty, sd), 0) AS current, COALESCE(arg_max(qty, sd) - arg
 FROM ({SQL_DAILY_QTY}) WHERE sd BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'
 """)
 def a28(spark, sf):
+    """1996 daily quantity: last value, net change, monthly average of the change."""
     return aggs.range_summary(daily_qty(spark, sf), "sd", "qty", "1996-01-01", "1996-12-31")
 
 

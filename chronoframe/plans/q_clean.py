@@ -20,6 +20,7 @@ FOCAL = "NATION_3"
 SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS order_date, o_totalprice AS amount FROM orders
 """)
 def p01(spark, sf):
+    """Orders projected and renamed (id, order_date, amount)."""
     return clean.project_alias(table(spark, sf, "orders"),
                                {"id": "o_orderkey", "order_date": F.to_date("o_orderdate"), "amount": "o_totalprice"})
 
@@ -28,6 +29,7 @@ def p01(spark, sf):
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'fulfilled' WHEN 'O' THEN 'open' ELSE 'other' END AS label FROM orders
 """)
 def p02(spark, sf):
+    """Order status code → label with an ELSE branch (literal map, no join)."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return clean.case_label(o, "o_orderstatus", {"F": "fulfilled", "O": "open"}, "other").drop("o_orderstatus")
 
@@ -64,6 +66,7 @@ FROM ({SQL_PAIRS})
 WHERE (src = '{FOCAL}' OR dst = '{FOCAL}') AND src <> dst AND src IS NOT NULL AND dst IS NOT NULL
 """)
 def p05(spark, sf):
+    """For lines touching the focal nation: the other nation and the direction."""
     p = trade_pairs(spark, sf)
     return clean.counterparty(p, "src", "dst", FOCAL).select("l_orderkey", "l_linenumber", "country", "direction")
 
@@ -87,11 +90,13 @@ SELECT * FROM ({SQL_DIRTY_ORDERS}) WHERE status IS NOT NULL AND status <> '' AND
   AND priority IS NOT NULL AND priority <> '' AND priority <> 'Not available'
 """)
 def p06(spark, sf):
+    """Orders whose status and priority are neither NULL, blank nor the 'Not available' sentinel."""
     return clean.filter_not_blank(_dirty_orders(spark, sf), ["status", "priority"], ["Not available"])
 
 
 @query("P07_filter_equals", "SELECT event_id, CAST(ts AS DATE) AS d, value FROM events WHERE event_type = 'error'")
 def p07(spark, sf):
+    """Events of one type (a pushed-down equality filter)."""
     e = table(spark, sf, "events")
     return clean.filter_equals(e, "event_type", "error").select("event_id", F.to_date("ts").alias("d"), "value")
 
@@ -101,12 +106,14 @@ SELECT * FROM (SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGE
 WHERE od_int BETWEEN 19960101 AND 19961231
 """)
 def p08(spark, sf):
+    """Orders whose YYYYMMDD integer date lies in 1996 (closed range)."""
     o = table(spark, sf, "orders").select("o_orderkey", fx.date_to_int("o_orderdate").alias("od_int"))
     return clean.filter_int_range(o, "od_int", 19960101, 19961231)
 
 
 @query("P09_filter_in_set", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup')")
 def p09(spark, sf):
+    """Events whose type is in a selected set."""
     e = table(spark, sf, "events").select("event_id", "event_type")
     return clean.filter_in_set(e, "event_type", ["error", "signup"])
 
@@ -123,6 +130,7 @@ SELECT o_orderkey, CAST(o_orderdate AS DATE) AS od FROM orders
 WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-06-30'
 """)
 def p10(spark, sf):
+    """Orders inside a closed ISO date window."""
     o = orders(spark, sf).select("o_orderkey", "od")
     return clean.filter_date_range(o, "od", "1996-03-01", "1996-06-30")
 
@@ -143,11 +151,13 @@ def p10_lenient(spark, sf):
 
 @query("P11_filter_prefix", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'PRO%'")
 def p11(spark, sf):
+    """Parts whose type starts with a prefix."""
     return clean.filter_prefix(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", "PRO")
 
 
 @query("P12_filter_icontains", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'RED|Gizmo|bolt', 'i')")
 def p12(spark, sf):
+    """Parts whose name contains one of several words, case-insensitively."""
     return clean.filter_icontains(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "RED|Gizmo|bolt")
 
 
@@ -322,6 +332,7 @@ SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'high' WHEN o_totalpric
        ELSE 'close' END AS band FROM orders
 """)
 def p20(spark, sf):
+    """Order price tiers by descending bounds, and bands on an absolute deviation."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") - 250000).alias("dev"))
     o = clean.tier_bucket(o, "o_totalprice", [300000, 150000], ["high", "mid", "low"], "tier")
     o = clean.tier_bucket(o, "dev", [200000, 100000], ["far", "near", "close"], "band", absolute=True)
@@ -330,11 +341,13 @@ def p20(spark, sf):
 
 @query("P21_clip", "SELECT c_custkey, greatest(-500, least(500, c_acctbal)) AS clipped FROM customer")
 def p21(spark, sf):
+    """Customer balances clamped to ±500."""
     return clean.clip(table(spark, sf, "customer"), "c_acctbal", -500, 500, "clipped").select("c_custkey", "clipped")
 
 
 @query("P22_scale_units", "SELECT o_orderkey, o_totalprice / 1000.0 AS price_k, o_totalprice * 100 AS price_cents FROM orders")
 def p22(spark, sf):
+    """Order prices rescaled (thousands, cents)."""
     o = clean.scale_units(table(spark, sf, "orders"), "o_totalprice", 1000.0, "price_k", divide=True)
     return clean.scale_units(o, "o_totalprice", 100.0, "price_cents").select("o_orderkey", "price_k", "price_cents")
 
@@ -356,6 +369,7 @@ def p23(spark, sf):
 SELECT doc_id, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS snippet FROM documents
 """)
 def p24(spark, sf):
+    """Document text cut to 150 characters + '...' when longer (whole texts are measured)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     return clean.truncate_text(d, "text", 150, out="snippet").select("doc_id", "snippet")
 
@@ -402,6 +416,7 @@ SELECT c_custkey, NULLIF(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 0 ELSE c_acct
   COALESCE(CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_acctbal END, 0) AS amount FROM customer
 """)
 def p27(spark, sf):
+    """Zero/NULL → NULL for a ratio column, NULL → 0 for an amount column."""
     c = table(spark, sf, "customer")
     d = c.select("c_custkey",
                  F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(0.0)).otherwise(F.col("c_acctbal")).alias("share"),
@@ -427,4 +442,5 @@ def p28(spark, sf):
 
 @query("P29_literal_tag", "SELECT o_orderkey, 'orders' AS source FROM orders")
 def p29(spark, sf):
+    """A constant column tagging the branch."""
     return clean.literal_tag(table(spark, sf, "orders").select("o_orderkey"), "source", "orders")

@@ -137,6 +137,7 @@ def j08(spark, sf):
 SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)
 """)
 def j09(spark, sf):
+    """Customers that placed an order above a threshold (semi join)."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
     sel = table(spark, sf, "orders").filter(F.col("o_totalprice") > 490000).select("o_custkey")
     return joins.semi_selected(c, sel, "c_custkey", "o_custkey")

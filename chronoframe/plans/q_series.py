@@ -114,6 +114,7 @@ SELECT l_returnflag, sd, total, total - first_value(total) OVER (PARTITION BY l_
 FROM ({SQL_RUNNING_QTY_FLAG})
 """)
 def w08(spark, sf):
+    """Running total minus its first value, per return flag."""
     r = running_qty(spark, sf, by_flag=True).select("l_returnflag", "sd", "total")
     return series.since_start(r, "l_returnflag", "sd", "total")
 

@@ -132,6 +132,7 @@ def u02(spark, sf):
 
 @query("U03_distinct_values", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS od FROM orders ORDER BY od")
 def u03(spark, sf):
+    """Distinct order days, sorted."""
     return shape.distinct_values(orders(spark, sf), ["od"])
 
 
