@@ -75,9 +75,19 @@ def local_dir(path: str) -> str:
     return path
 
 
+_BOUNDED: dict[tuple[int, int], bool] = {}
+
+
 def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops reading early)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows (stops reading early).
+
+    The answer is remembered per logical plan (``semanticHash``), so a
+    dictionary checked once is not counted again by every query that joins
+    it; a stale answer could only change a join strategy, never a result."""
+    key = (df.semanticHash(), max_rows)
+    if key not in _BOUNDED:
+        _BOUNDED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _BOUNDED[key]
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
