@@ -1,10 +1,11 @@
 """Ordered time-series operators.
 
 All frames are row-based (missing days are not inserted). Inputs are
-rollups — one row per (series, date) — so every window is partitioned by
-the series key and holds a calendar-sized number of rows, never raw events.
-Only the two inherently sequential operators (W09, W15) run Python, as
-``applyInPandas`` per series.
+rollups — one row per (series, date) — so windows are partitioned by the
+series key when there is one, and a single series holds a calendar-sized
+number of rows; no window sees raw events (asserted on every driver query's
+plan in ``tests/test_plans.py``). Only the two inherently sequential
+operators (W09, W15) run Python, as ``applyInPandas`` per series.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from chronoframe.functions.common import as_col
 from chronoframe.functions.numeric import clip as clip_expr
