@@ -57,6 +57,24 @@ def j03(spark, sf):
     return _merged_daily_types(spark, sf)
 
 
+@query("J03_date_merge_fill_sources", """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, COUNT(*) AS n FROM orders GROUP BY 1),
+     l AS (SELECT CAST(l_shipdate AS DATE) AS d, COUNT(*) AS n FROM lineitem GROUP BY 1),
+     e AS (SELECT CAST(ts AS DATE) AS d, COUNT(*) AS n FROM events GROUP BY 1),
+     days AS (SELECT d FROM o UNION SELECT d FROM l UNION SELECT d FROM e)
+SELECT days.d, COALESCE(o.n, 0) AS orders, COALESCE(l.n, 0) AS shipments, COALESCE(e.n, 0) AS events
+FROM days LEFT JOIN o ON days.d = o.d LEFT JOIN l ON days.d = l.d LEFT JOIN e ON days.d = e.d
+""")
+def j03_sources(spark, sf):
+    """Daily series from three different tables merged by date (each table read once), absent = 0."""
+    frames = {
+        "orders": table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("n")),
+        "shipments": table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count(F.lit(1)).alias("n")),
+        "events": table(spark, sf, "events").groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n")),
+    }
+    return joins.date_merge_fill(frames, "d", "n")
+
+
 @query("J04_inverse_pair_join", f"""
 WITH ps AS ({SQL_PAIR_STATS_R})
 SELECT a.src, a.dst, a.n AS n_ab, a.avg AS avg_ab, b.n AS n_ba, b.avg AS avg_ba
