@@ -267,6 +267,32 @@ def name_crosswalk(df: DataFrame, col: str, mapping: DataFrame, src: str, dst: s
     return res
 
 
+def name_crosswalk_select(df: DataFrame, col: str, selection, mapping: DataFrame, src: str, dst: str,
+                          exclude: Iterable[str] = (), include: Iterable[str] = ()) -> DataFrame:
+    """Select rows of ``df`` (names in the target vocabulary in ``col``) by a
+    selection made in the source vocabulary: drop excluded names, map the rest
+    through the crosswalk (identity when unmapped), always add the reference
+    members ``include`` (target vocabulary), then report ``col`` mapped back
+    to the source vocabulary. ``selection`` is a list or a one-column
+    DataFrame; the selected set and the crosswalk are joined with size-checked
+    broadcasts, the target rows are filtered by a semi join."""
+    spark = df.sparkSession
+    sel = selection.select(F.col(selection.columns[0]).alias("__a")) if isinstance(selection, DataFrame) else \
+        spark.createDataFrame([(v,) for v in selection], "__a string")
+    ex = list(exclude)
+    if ex:
+        sel = sel.filter(~F.col("__a").isin(ex))
+    fwd = mapping.select(F.col(src).alias("__a"), F.col(dst).alias("__b")).dropDuplicates(["__a"])
+    wanted = sel.join(maybe_broadcast(fwd), "__a", "left").select(F.coalesce("__b", "__a").alias("__b"))
+    inc = list(include)
+    if inc:
+        wanted = wanted.unionByName(spark.createDataFrame([(v,) for v in inc], "__b string"))
+    picked = df.join(wanted.distinct(), as_col(col) == F.col("__b"), "left_semi")
+    back = mapping.select(F.col(dst).alias("__b"), F.col(src).alias("__a")).dropDuplicates(["__b"])
+    out = picked.join(maybe_broadcast(back), as_col(col) == F.col("__b"), "left")
+    return out.withColumn(col, F.coalesce(F.col("__a"), as_col(col))).drop("__a", "__b")
+
+
 # P27
 def falsy_null(df: DataFrame, col: str, to: str = "null", out: str | None = None) -> DataFrame:
     """0 / NULL → NULL (``to='null'``, ratios) or → 0 (``to='zero'``, amounts)."""

@@ -411,6 +411,39 @@ def p26(spark, sf):
                                 out="country").select("c_custkey", "country")
 
 
+SQL_NATION_YEAR_B = """SELECT CASE WHEN n.n_nationkey < 10 THEN 'N' || CAST(n.n_nationkey AS VARCHAR) ELSE n.n_name END AS country,
+  CAST(year(o.o_orderdate) AS INTEGER) AS year, COUNT(*) AS orders
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2"""
+
+
+@query("P26_name_crosswalk_select", f"""
+WITH xw AS (SELECT n_name AS a, 'N' || CAST(n_nationkey AS VARCHAR) AS b FROM nation WHERE n_nationkey < 10),
+sel AS (SELECT DISTINCT n.n_name AS a FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+        WHERE c.c_acctbal > 9900 AND n.n_name NOT IN ('NATION_24', 'NATION_5')),
+wanted AS (SELECT COALESCE(xw.b, sel.a) AS b FROM sel LEFT JOIN xw ON sel.a = xw.a UNION SELECT 'N5' UNION SELECT 'NATION_24')
+SELECT COALESCE(xw.a, t.country) AS country, t.year, t.orders
+FROM ({SQL_NATION_YEAR_B}) t LEFT JOIN xw ON t.country = xw.b
+WHERE t.country IN (SELECT b FROM wanted)
+""")
+def p26_select(spark, sf):
+    """Nations picked in one vocabulary (rich customers' nations, two excluded), mapped to another,
+    reference members always added, the yearly order table filtered and reported back in the first."""
+    n = table(spark, sf, "nation")
+    xw = n.filter(F.col("n_nationkey") < 10).select(F.col("n_name").alias("a"),
+                                                    F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("b"))
+    names = n.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = table(spark, sf, "customer").join(names, "c_nationkey")
+    selection = c.filter(F.col("c_acctbal") > 9900).select("n_name").distinct()
+    nb = n.select(F.col("n_nationkey").alias("c_nationkey"),
+                  F.when(F.col("n_nationkey") < 10, F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))
+                  .otherwise(F.col("n_name")).alias("country"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey") \
+        .join(nb, "c_nationkey")
+    t = o.groupBy("country", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("orders"))
+    return clean.name_crosswalk_select(t, "country", selection, xw, "a", "b", exclude=["NATION_24", "NATION_5"],
+                                       include=["N5", "NATION_24"])
+
+
 @query("P27_falsy_null", """
 SELECT c_custkey, NULLIF(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 0 ELSE c_acctbal END, 0) AS share,
   COALESCE(CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_acctbal END, 0) AS amount FROM customer

@@ -292,3 +292,11 @@ def test_month_boundary_change_uses_previous_row(spark):
     df = spark.createDataFrame([(D(2024, 1, 30), 10.0), (D(2024, 1, 31), 12.0), (D(2024, 2, 2), 15.0), (D(2024, 2, 9), 1.0)],
                                "d date, v double")
     assert rows(series.month_boundary_change(df, None, "d", "v"), "month", "change", "area") == [(D(2024, 2, 1), 3.0, 15.0)]
+
+
+def test_crosswalk_select_maps_excludes_includes_and_maps_back(spark):
+    xw = spark.createDataFrame([("United States", "USA"), ("Turkiye", "Türkiye")], "a string, b string")
+    target = spark.createDataFrame([("USA", 1), ("Türkiye", 2), ("Germany", 3), ("Russia", 4), ("France", 5)], "country string, v int")
+    out = clean.name_crosswalk_select(target, "country", ["United States", "Turkiye", "Germany", "EU"], xw, "a", "b",
+                                      exclude=["EU"], include=["Russia"])
+    assert rows(out, "country", "v") == [("Germany", 3), ("Russia", 4), ("Turkiye", 2), ("United States", 1)]
