@@ -2,15 +2,15 @@
 
 The S- and X-queries exercise readers of raw files (CSV with a preamble or a
 tag row, zipped CSV, JSON arrays, API pages, GeoJSON, file streams). The
-inputs are rendered from the driver tables by Spark itself — one file per
-partition, written in parallel into the shared scratch folder — so their
-size grows with the tables like everything else.
+inputs are rendered from the driver tables by Spark itself, JVM-side
+(``to_csv`` / ``to_json`` over bounded groups) except the ZIP archives, and
+written in parallel into the shared scratch folder — so their size grows
+with the tables like everything else.
 """
 
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Iterator
 
@@ -29,42 +29,39 @@ def _spread(df: DataFrame, min_files: int) -> DataFrame:
     return df.repartition(min_files) if n < min_files else df
 
 
-def _render_partitions(df: DataFrame, render, whole: bool) -> DataFrame:
-    """Each partition becomes one text file's lines. ``render(pdf, first)``
-    turns an Arrow batch into lines, ``first`` marking the file's first batch
-    (where headers and preambles go), so a partition streams through in
-    batches. ``whole=True`` hands the partition over in one piece, for formats
-    that are one document per file (a JSON array, an API page)."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if whole:
-            frames = list(it)
-            if frames:
-                pdf = pd.concat(frames, ignore_index=True)
-                if len(pdf):
-                    yield pd.DataFrame({"value": render(pdf, True)})
-            return
-        first = True
-        for pdf in it:
-            if len(pdf):
-                yield pd.DataFrame({"value": render(pdf, first)})
-                first = False
-    return df.mapInPandas(run, "value string")
+def write_csv_files(df: DataFrame, name: str, head_lines, files: int | None = None, min_files: int = 4) -> str:
+    """CSV files whose first lines are ``head_lines(header)`` (a preamble,
+    the header, a tag row …), rendered JVM-side: rows become ``to_csv`` text
+    tagged with a file number, each file's head lines are unioned in with a
+    lower sequence, and ``partitionBy`` on the file number writes one file
+    per number with its head first (the rows of a file number are co-located
+    and sorted by sequence)."""
+    spark = df.sparkSession
+    n = files or max(min_files, df.rdd.getNumPartitions())  # planning only
+    cols = df.columns
+    head = head_lines(",".join(cols))
+    body = df.select(F.pmod(F.hash(*cols), F.lit(n)).alias("__f"), F.lit(len(head)).alias("__seq"),
+                     F.to_csv(F.struct(*cols), {"dateFormat": "yyyy-MM-dd"}).alias("value"))
+    heads = spark.createDataFrame([(f, i, line) for f in range(n) for i, line in enumerate(head)],
+                                  "__f int, __seq int, value string")
+    out = heads.unionByName(body).repartition(n, "__f").sortWithinPartitions("__f", "__seq")
+    path = scratch_path(spark, name)
+    out.select("__f", "value").write.partitionBy("__f").text(path)
+    return path
 
 
-def write_lines(df: DataFrame, name: str, render, min_files: int = 4, partition_by: str | None = None,
-                whole: bool = False) -> str:
-    """Render partitions to text files under a fresh scratch directory."""
-    path = scratch_path(df.sparkSession, name)
-    if partition_by:
-        def with_key(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                for key, g in pdf.groupby(partition_by, sort=True):
-                    yield pd.DataFrame({partition_by: [key], "value": ["\n".join(render(g.drop(columns=[partition_by]), True))]})
-        # one file per key value: the rows of a key (one day's features) are co-located first
-        df.repartition(partition_by).mapInPandas(with_key, f"`{partition_by}` string, value string") \
-            .write.partitionBy(partition_by).text(path)
-    else:
-        _render_partitions(_spread(df, min_files), render, whole).write.text(path)
+def write_json_pages(df: DataFrame, name: str, page, rows_per_page: int = 5000) -> str:
+    """JSON documents of at most about ``rows_per_page`` records, one per
+    file (a landed API page): rows are hashed into pages, each page's records
+    are collected (a bounded group) and ``page(records_column, n_pages)``
+    builds the document text."""
+    spark = df.sparkSession
+    n_pages = max(1, -(-df.count() // rows_per_page))
+    cols = df.columns
+    paged = df.withColumn("__p", F.pmod(F.hash(*cols), F.lit(n_pages)))
+    docs = paged.groupBy("__p").agg(F.collect_list(F.struct(*cols)).alias("__rows"))
+    path = scratch_path(spark, name)
+    docs.select("__p", page(F.col("__rows"), n_pages).alias("value")).write.partitionBy("__p").text(path)
     return path
 
 
@@ -103,23 +100,3 @@ def write_zipped_csv(df: DataFrame, name: str, member: str, min_files: int = 4)
 
     _spread(df, min_files).mapInPandas(run, "file string, rows long").collect()  # one row per archive
     return path
-
-
-def json_default(v):
-    if hasattr(v, "isoformat"):
-        return v.isoformat()
-    if hasattr(v, "item"):
-        return v.item()
-    return str(v)
-
-
-def json_records(pdf: pd.DataFrame) -> list[dict]:
-    return [{k: (None if (isinstance(v, float) and v != v) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
-
-
-def json_dump(obj) -> str:
-    return json.dumps(obj, default=json_default)
-
-
-def with_date_text(df: DataFrame, col: str, fmt: str = "yyyy-MM-dd") -> DataFrame:
-    return df.withColumn(col, F.date_format(col, fmt))

@@ -44,23 +44,17 @@ def s02(spark, sf):
 @query("S03_scan_csv_preamble", SQL_ORDERS_TYPED)
 def s03(spark, sf):
     """Each file starts with free-text lines; the header is the first line starting with the marker."""
-    def render(pdf, first):
-        if not first:
-            return fz.csv_lines(pdf, header=False)
-        return ["Daily order report", "generated by the export job, do not edit", ""] + fz.csv_lines(pdf)
-    path = fz.write_lines(_orders_dated(spark, sf), "orders-preamble", render)
+    path = fz.write_csv_files(_orders_dated(spark, sf), "orders-preamble",
+                              lambda header: ["Daily order report", "generated by the export job, do not edit", "", header])
     return sources.scan_csv_preamble(spark, path, "o_orderkey,", ORDERS_DDL)
 
 
 @query("S04_scan_csv_tagrow", SQL_ORDERS_TYPED)
 def s04(spark, sf):
     """Each file's second line is a '#' tag row; only that line is dropped."""
-    def render(pdf, first):
-        if not first:
-            return fz.csv_lines(pdf, header=False)
-        lines = fz.csv_lines(pdf)
-        return [lines[0], ",".join("#" + c.split("_", 1)[-1] for c in pdf.columns)] + lines[1:]
-    path = fz.write_lines(_orders_dated(spark, sf), "orders-tagrow", render)
+    o = _orders_dated(spark, sf)
+    tags = ",".join("#" + c.split("_", 1)[-1] for c in o.columns)
+    path = fz.write_csv_files(o, "orders-tagrow", lambda header: [header, tags])
     return sources.scan_csv_tagrow(spark, path, ORDERS_DDL)
 
 
@@ -78,7 +72,7 @@ CUSTOMER_ODD_KEYS = {"customer key": "c_custkey", "account balance*": "c_acctbal
 def s06(spark, sf):
     """Files holding one JSON array of records with odd keys, renamed on read."""
     c = table(spark, sf, "customer").select(*[F.col(v).alias(k) for k, v in CUSTOMER_ODD_KEYS.items()])
-    path = fz.write_lines(c, "customer-json-array", lambda pdf, first: [fz.json_dump(fz.json_records(pdf))], whole=True)
+    path = fz.write_json_pages(c, "customer-json-array", lambda rows, n: F.to_json(rows))
     return sources.scan_json_array(spark, path, CUSTOMER_ODD_KEYS)
 
 
@@ -86,8 +80,8 @@ def s06(spark, sf):
 def s07(spark, sf):
     """API pages {"data": [...], "maxPages": n} → rows."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    path = fz.write_lines(o, "orders-pages", lambda pdf, first: [fz.json_dump({"data": fz.json_records(pdf), "maxPages": 4})],
-                          whole=True)
+    path = fz.write_json_pages(o, "orders-pages",
+                               lambda rows, n: F.to_json(F.struct(rows.alias("data"), F.lit(n).alias("maxPages"))))
     return sources.scan_json_pages(spark, path, "data")
 
 
@@ -95,8 +89,8 @@ def s07(spark, sf):
 def s07_items(spark, sf):
     """API pages {"items": [...], "maxPages": n} → rows."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    path = fz.write_lines(o, "orders-pages-items",
-                          lambda pdf, first: [fz.json_dump({"items": fz.json_records(pdf), "maxPages": 4})], whole=True)
+    path = fz.write_json_pages(o, "orders-pages-items",
+                               lambda rows, n: F.to_json(F.struct(rows.alias("items"), F.lit(n).alias("maxPages"))))
     return sources.scan_json_pages(spark, path, "items")
 
 
@@ -104,9 +98,10 @@ def s07_items(spark, sf):
 def s07_meta(spark, sf):
     """API pages shaped [meta, [rows]] → rows (row schema declared)."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    path = fz.write_lines(o, "orders-pages-meta",
-                          lambda pdf, first: [fz.json_dump([{"page": 1, "pages": 4, "per_page": len(pdf)}, fz.json_records(pdf)])],
-                          whole=True)
+    def page(rows, n):
+        meta = F.to_json(F.struct(F.lit(1).alias("page"), F.lit(n).alias("pages"), F.size(rows).alias("per_page")))
+        return F.concat(F.lit("["), meta, F.lit(","), F.to_json(rows), F.lit("]"))
+    path = fz.write_json_pages(o, "orders-pages-meta", page)
     return sources.scan_json_pages(spark, path, None, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
 
 
@@ -127,15 +122,18 @@ def s08(spark, sf):
                                                  F.min("user_id").cast("double").alias("y0"),
                                                  F.max("user_id").cast("double").alias("y1"))
 
-    def render(pdf, first):
-        feats = []
-        for r in pdf.sort_values("event_type").itertuples():
-            ring = [[r.x0, r.y0], [r.x1, r.y0], [r.x1, r.y1], [r.x0, r.y1], [r.x0, r.y0]]
-            feats.append({"type": "Feature", "properties": {"event_type": r.event_type},
-                          "geometry": {"type": "Polygon", "coordinates": [ring]}})
-        return [fz.json_dump({"type": "FeatureCollection", "features": feats})]
-
-    path = fz.write_lines(boxes, "events-geojson", render, partition_by="date")
+    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in
+                     [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")]])
+    feature = F.struct(F.col("event_type").alias("__k"),
+                       F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    # one FeatureCollection per day (a handful of features), ordered by type
+    per_day = boxes.groupBy("date").agg(F.sort_array(F.collect_list(feature)).alias("__f"))
+    features = F.transform("__f", lambda f: F.struct(F.lit("Feature").alias("type"),
+                                                      F.create_map(F.lit("event_type"), f["__k"]).alias("properties"),
+                                                      f["geometry"].alias("geometry")))
+    doc = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features")))
+    path = scratch_path(spark, "events-geojson")
+    per_day.select("date", doc.alias("value")).write.partitionBy("date").text(path)
     return sources.scan_geojson(spark, path)
 
 

@@ -26,9 +26,7 @@ def _with_small_splits(spark, fn):
 
 def test_preamble_in_many_splits(spark):
     o = _orders(spark)
-    path = fz.write_lines(o.coalesce(1), "split-preamble",
-                          lambda pdf, first: (["report", "junk line", ""] + fz.csv_lines(pdf)) if first
-                          else fz.csv_lines(pdf, header=False), min_files=1)
+    path = fz.write_csv_files(o, "split-preamble", lambda header: ["report", "junk line", "", header], files=1)
 
     def run():
         assert spark.read.text(path).rdd.getNumPartitions() > 4
@@ -39,13 +37,7 @@ def test_preamble_in_many_splits(spark):
 
 def test_tagrow_in_many_splits(spark):
     o = _orders(spark)
-
-    def render(pdf, first):
-        if not first:
-            return fz.csv_lines(pdf, header=False)
-        lines = fz.csv_lines(pdf)
-        return [lines[0], "#key,#cust,#status,#price,#date,#prio"] + lines[1:]
-    path = fz.write_lines(o.coalesce(1), "split-tagrow", render, min_files=1)
+    path = fz.write_csv_files(o, "split-tagrow", lambda header: [header, "#key,#cust,#status,#price,#date,#prio"], files=1)
 
     def run():
         return sources.scan_csv_tagrow(spark, path, ORDERS_DDL).collect()
