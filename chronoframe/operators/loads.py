@@ -50,7 +50,7 @@ def commit_partitions(df: DataFrame, path: str, partition_by: Sequence[str], sta
     materialised in ``staging`` (a fresh directory) so the job that rewrites
     the partitions never reads the files it replaces."""
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(staging)
-    staged = df.sparkSession.read.parquet(staging)
+    staged = df.sparkSession.read.schema(df.schema).parquet(staging)  # declared: an empty merge writes no files
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
     return path
 
@@ -157,7 +157,7 @@ def upsert(target: DataFrame, batch: DataFrame, keys, order: str | None = None)
 
 
 def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str | None, partition_by: Sequence[str],
-                      staging: str) -> str:
+                      staging: str, schema=None) -> str:
     """Upsert touching only the partitions the batch lands in. The touched
     partition values select the target partitions (a semi join on partition
     columns, pruned at the scan by dynamic partition pruning), those are
@@ -165,7 +165,8 @@ def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str | Non
     overwrite. Requires the partition columns to be a function of the key
     (a key never moves between partitions)."""
     spark = batch.sparkSession
-    target = spark.read.parquet(target_path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    target = reader.parquet(target_path)  # pass ``schema`` when the table may hold no files yet
     touched = batch.select(*partition_by).distinct()
     current = target.join(touched, list(partition_by), "left_semi")
     merged = upsert(current, batch.select(*target.columns, *([order] if order and order not in target.columns else [])),

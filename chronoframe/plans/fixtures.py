@@ -99,4 +99,7 @@ def write_zipped_csv(df: DataFrame, name: str, member: str, min_files: int = 4)
         yield pd.DataFrame({"file": [target], "rows": [len(pdf)]})
 
     _spread(df, min_files).mapInPandas(run, "file string, rows long").collect()  # one row per archive
+    from pyarrow import fs as pafs
+    filesystem, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.replace("file:", ""))
+    filesystem.create_dir(p, recursive=True)  # an empty landing is an empty folder, not a missing one
     return path

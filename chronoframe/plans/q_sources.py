@@ -65,6 +65,7 @@ def s05(spark, sf):
     return sources.scan_csv_in_zip(spark, path, r"^daily_data.*\.csv$", ORDERS_DDL)
 
 
+PAGE_ROWS = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
 CUSTOMER_ODD_KEYS = {"customer key": "c_custkey", "account balance*": "c_acctbal", "market segment": "c_mktsegment"}
 
 
@@ -73,7 +74,8 @@ def s06(spark, sf):
     """Files holding one JSON array of records with odd keys, renamed on read."""
     c = table(spark, sf, "customer").select(*[F.col(v).alias(k) for k, v in CUSTOMER_ODD_KEYS.items()])
     path = fz.write_json_pages(c, "customer-json-array", lambda rows, n: F.to_json(rows))
-    return sources.scan_json_array(spark, path, CUSTOMER_ODD_KEYS)
+    odd_schema = ", ".join(f"`{k}` {t}" for k, t in zip(CUSTOMER_ODD_KEYS, ["bigint", "double", "string"]))
+    return sources.scan_json_array(spark, path, CUSTOMER_ODD_KEYS, schema=odd_schema)
 
 
 @query("S07_scan_json_pages", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -82,7 +84,7 @@ def s07(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     path = fz.write_json_pages(o, "orders-pages",
                                lambda rows, n: F.to_json(F.struct(rows.alias("data"), F.lit(n).alias("maxPages"))))
-    return sources.scan_json_pages(spark, path, "data")
+    return sources.scan_json_pages(spark, path, "data", PAGE_ROWS)
 
 
 @query("S07_scan_json_pages_items", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -91,7 +93,7 @@ def s07_items(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     path = fz.write_json_pages(o, "orders-pages-items",
                                lambda rows, n: F.to_json(F.struct(rows.alias("items"), F.lit(n).alias("maxPages"))))
-    return sources.scan_json_pages(spark, path, "items")
+    return sources.scan_json_pages(spark, path, "items", PAGE_ROWS)
 
 
 @query("S07_scan_json_pages_meta", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -102,7 +104,7 @@ def s07_meta(spark, sf):
         meta = F.to_json(F.struct(F.lit(1).alias("page"), F.lit(n).alias("pages"), F.size(rows).alias("per_page")))
         return F.concat(F.lit("["), meta, F.lit(","), F.to_json(rows), F.lit("]"))
     path = fz.write_json_pages(o, "orders-pages-meta", page)
-    return sources.scan_json_pages(spark, path, None, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
+    return sources.scan_json_pages(spark, path, None, PAGE_ROWS)
 
 
 SQL_GEO_BOXES = """WITH b AS (SELECT CAST(ts AS DATE) AS date, event_type, min(value) AS x0, max(value) AS x1,

@@ -144,9 +144,13 @@ def scan_json_array(spark: SparkSession, path: str, rename: Mapping[str, str] |
 def scan_json_pages(spark: SparkSession, path: str, items_field: str | None = "data", row_schema=None) -> DataFrame:
     """Landed API pages → rows. ``items_field`` names the array in an object
     page (``{"data": [...]}`` / ``{"items": [...], "maxPages": n}``); ``None``
-    means the ``[meta, [rows]]`` page shape, which needs ``row_schema``."""
+    means the ``[meta, [rows]]`` page shape, which needs ``row_schema``
+    (optional for object pages: it skips schema inference)."""
     if items_field is not None:
-        pages = spark.read.option("multiLine", True).json(path)
+        r = spark.read.option("multiLine", True)
+        if row_schema is not None:  # declared: no inference pass, and empty landings read as empty
+            r = r.schema(f"`{items_field}` array<struct<{_ddl_struct(spark, row_schema)}>>")
+        pages = r.json(path)
         return pages.select(F.explode(F.col(items_field)).alias("__r")).select("__r.*")
     raw = spark.read.option("wholetext", True).text(path)
     parts = raw.select(F.from_json("value", "array<string>").alias("__p"))

@@ -61,8 +61,22 @@ def stream_upsert(sdf: DataFrame, target_path: str, keys: Sequence[str], order:
     return sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def read_latest_snapshot(spark: SparkSession, target_path: str) -> DataFrame:
-    snap = spark.read.parquet(target_path)
+def read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream's file sink, or an empty frame of ``schema`` when no batch has
+    written anything yet (no input files)."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_latest_snapshot(spark: SparkSession, target_path: str, schema=None) -> DataFrame:
+    if schema is not None:
+        snap = read_sink(spark, target_path, f"{schema}, batch int" if isinstance(schema, str) else schema)
+    else:
+        snap = spark.read.parquet(target_path)
     return snap.filter(F.col("batch") == snap.select(F.max("batch")).scalar()).drop("batch")
 
 
@@ -87,8 +101,8 @@ def sink_updates(agg: DataFrame, path: str, checkpoint: str):
     return agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    log = spark.read.parquet(path)
+def read_updates(spark: SparkSession, path: str, keys: Sequence[str], schema=None) -> DataFrame:
+    log = read_sink(spark, path, schema) if schema is not None else spark.read.parquet(path)
     cols = [c for c in log.columns if c not in keys and c != "batch"]
     return log.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("__r")).select(*keys, "__r.*")
 
