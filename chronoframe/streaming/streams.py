@@ -84,11 +84,10 @@ def read_latest_snapshot(spark: SparkSession, target_path: str, schema=None) ->
 def stream_bucket_count(sdf: DataFrame, ts: str, dims: Sequence[str], size: str = "1 day", delay: str = "1 day",
                         value: str | None = None) -> DataFrame:
     """Tumbling-window count (and sum) by category under a watermark."""
-    aggs = [F.count(F.lit(1)).alias("count")]
-    if value:
-        aggs.append(F.sum(value).alias("total"))
-    return sdf.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("w"), *dims).agg(*aggs) \
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *dims, *[a for a in ["count", "total"] if a == "count" or value])
+    aggs = [F.count(F.lit(1)).alias("count")] + ([F.sum(value).alias("total")] if value else [])
+    measures = ["count"] + (["total"] if value else [])
+    agg = sdf.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("w"), *dims).agg(*aggs)
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *dims, *measures)
 
 
 def sink_updates(agg: DataFrame, path: str, checkpoint: str):
