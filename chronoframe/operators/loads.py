@@ -244,6 +244,32 @@ def affected_outputs(changes: DataFrame, mapping: DataFrame, always: Sequence[st
     return outs.distinct()
 
 
+def export_outputs(outputs: Mapping[str, DataFrame], base: str, only=None) -> DataFrame:
+    """Write the named rollups as JSON (K01) under ``base/<name>`` — all of
+    them, or only those in ``only`` (the affected outputs of K13) — and
+    return a manifest (output, path, rows) with rows counted back from the
+    written files. The loop runs over output names only; each write is a
+    distributed job."""
+    wanted = None if only is None else set(only)
+    manifest = []
+    for name, df in outputs.items():
+        if wanted is not None and name not in wanted:
+            continue
+        path = sink_json(df, f"{base.rstrip('/')}/{name}")
+        manifest.append((name, path, df.sparkSession.read.schema(_json_schema(df)).json(path).count()))
+    spark = next(iter(outputs.values())).sparkSession
+    return spark.createDataFrame(manifest, "output string, path string, rows long")
+
+
+def _json_schema(df: DataFrame) -> str:
+    """Schema of ``sink_json``'s output (dates as text, decimals as doubles)."""
+    parts = []
+    for c, t in df.dtypes:
+        t = "string" if t == "date" else "double" if t.startswith("decimal") else t
+        parts.append(f"`{c}` {t}")
+    return ", ".join(parts)
+
+
 # K14
 def refresh_rollup(df: DataFrame, series, date: str, value: str) -> DataFrame:
     """Recompute a daily rollup with ``change`` and ``change_pct`` vs the
