@@ -59,6 +59,26 @@ def x02(spark, sf):
     return st.read_latest_snapshot(spark, target, schema).select("c_custkey", "c_name", "c_acctbal")
 
 
+@query("X02_stream_upsert_partitions", """
+SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 20 ELSE c_acctbal END AS c_acctbal,
+  c_mktsegment FROM customer
+""")
+def x02_partitions(spark, sf):
+    """Customer versions arrive as files; each micro-batch rewrites only the segment partitions it touches."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    src = scratch_path(spark, "x02p-landing")
+    _land(c.withColumn("seq", F.lit(0)), src)
+    changed = c.filter(F.col("c_mktsegment") == "MACHINERY")
+    _land(changed.withColumn("c_acctbal", F.col("c_acctbal") + 10).withColumn("seq", F.lit(1)), src)
+    _land(changed.withColumn("c_acctbal", F.col("c_acctbal") + 20).withColumn("seq", F.lit(2)), src)
+    schema = "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string, seq int"
+    sdf = st.read_stream(spark, src, schema, max_files=1)
+    target, ckpt = st.stream_dirs(spark, "x02p")
+    st.run_available(st.stream_upsert(sdf, target, ["c_custkey"], "seq", ckpt, partition_by=["c_mktsegment"]), spark)
+    return st.read_sink(spark, target, "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string") \
+        .select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
 @query("X03_stream_bucket_count", """
 SELECT CAST(ts AS DATE) AS d, event_type, COUNT(*) AS count FROM events GROUP BY 1, 2
 """)

@@ -9,6 +9,7 @@ and checkpoints live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoframe.operators.loads import upsert
+from chronoframe.operators.loads import upsert, upsert_partitions
 from chronoframe.session import scratch_path
 
 
@@ -36,12 +37,33 @@ def stream_ingest_dedup(sdf: DataFrame, keys: Sequence[str], ts: str, delay: str
 
 
 # X02
-def stream_upsert(sdf: DataFrame, target_path: str, keys: Sequence[str], order: str, checkpoint: str):
-    """Micro-batch upsert: batch ``k`` merges into the latest snapshot with a
-    smaller batch id and writes snapshot ``batch=k``. A replayed batch (after a
-    failure) reads the same predecessor and overwrites its own directory, so
-    replays are idempotent and never build on a partial write."""
+def stream_upsert(sdf: DataFrame, target_path: str, keys: Sequence[str], order: str, checkpoint: str,
+                  partition_by: Sequence[str] = ()):
+    """Micro-batch upsert.
+
+    Without ``partition_by``: batch ``k`` merges into the latest snapshot with
+    a smaller batch id and writes snapshot ``batch=k``; a replayed batch reads
+    the same predecessor and overwrites its own directory.
+
+    With ``partition_by`` (the scalable form): each batch is merged into one
+    partitioned table, rewriting only the partitions it touches
+    (``upsert_partitions``); the first batch creates the table. Replays are
+    idempotent because the last row per key wins either way."""
     spark = sdf.sparkSession
+    if partition_by:
+        def merge_partitions(batch: DataFrame, batch_id: int) -> None:
+            staging = f"{checkpoint.rstrip('/')}/staging/{batch_id:09d}-{uuid.uuid4().hex[:8]}"
+            try:
+                spark.read.parquet(target_path)
+            except AnalysisException as e:  # first batch: create the table
+                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                    raise
+                first = upsert(batch.limit(0), batch, keys, order).drop(order)
+                first.write.mode("overwrite").partitionBy(*partition_by).parquet(target_path)
+                return
+            upsert_partitions(target_path, batch, keys, order, list(partition_by), staging)
+
+        return sdf.writeStream.foreachBatch(merge_partitions).option("checkpointLocation", checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         out = f"{target_path}/batch={batch_id:09d}"
