@@ -117,10 +117,15 @@ def filter_in_set(df: DataFrame, col: str, values) -> DataFrame:
 
 # P10
 def filter_date_range(df: DataFrame, col: str, lo: str, hi: str, keep_unparseable: bool = False) -> DataFrame:
-    """Closed ISO-date window. ``keep_unparseable`` keeps rows whose value is
-    not a date (the lenient variant)."""
+    """Closed ISO-date window. ``keep_unparseable`` is the lenient variant:
+    rows whose value is not a parseable date string (NULL, garbage) are kept,
+    and a numeric column (yearly data) is not filtered at all."""
     c = as_col(col)
-    d = F.to_date(c) if dict(df.dtypes).get(col, "") in ("date", "timestamp", "timestamp_ntz") else F.try_to_date(c.cast("string"))
+    dtype = dict(df.dtypes).get(col, "")
+    numeric = dtype in ("int", "bigint", "smallint", "tinyint", "double", "float") or dtype.startswith("decimal")
+    if keep_unparseable and numeric:
+        return df
+    d = F.to_date(c) if dtype in ("date", "timestamp", "timestamp_ntz") else F.try_to_date(c.cast("string"))
     inside = d.between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
     if keep_unparseable:
         return df.filter(d.isNull() | inside)

@@ -300,3 +300,11 @@ def test_crosswalk_select_maps_excludes_includes_and_maps_back(spark):
     out = clean.name_crosswalk_select(target, "country", ["United States", "Turkiye", "Germany", "EU"], xw, "a", "b",
                                       exclude=["EU"], include=["Russia"])
     assert rows(out, "country", "v") == [("Germany", 3), ("Russia", 4), ("Turkiye", 2), ("United States", 1)]
+
+
+def test_lenient_date_filter_keeps_years_and_garbage(spark):
+    txt = spark.createDataFrame([("2024-03",), ("2024-05-02",), ("junk",), (None,), ("2023-12-31",)], "d string")
+    got = sorted((r[0] or "") for r in clean.filter_date_range(txt, "d", "2024-01-01", "2024-03-31", keep_unparseable=True).collect())
+    assert got == ["", "2024-03", "junk"]
+    years = spark.createDataFrame([(2021,), (2024,)], "d int")
+    assert clean.filter_date_range(years, "d", "2024-01-01", "2024-03-31", keep_unparseable=True).count() == 2
