@@ -308,3 +308,10 @@ def test_lenient_date_filter_keeps_years_and_garbage(spark):
     assert got == ["", "2024-03", "junk"]
     years = spark.createDataFrame([(2021,), (2024,)], "d int")
     assert clean.filter_date_range(years, "d", "2024-01-01", "2024-03-31", keep_unparseable=True).count() == 2
+
+
+def test_full_outer_daily_null_dates_never_match(spark):
+    a = spark.createDataFrame([(D(2024, 1, 1), 1), (None, 2)], "d date, x long")
+    b = spark.createDataFrame([(D(2024, 1, 2), 5), (None, 7)], "d date, y long")
+    got = sorted(rows(joins.full_outer_daily(a, b, "d")), key=lambda r: (r[0] is None, r[0] or D(1, 1, 1), r[1], r[2]))
+    assert got == [(D(2024, 1, 1), 1, 0), (D(2024, 1, 2), 0, 5), (None, 0, 7), (None, 2, 0)]
