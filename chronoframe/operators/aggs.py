@@ -89,10 +89,13 @@ def bucket_count(df: DataFrame, date: str, grain: str = "day", dims: Sequence[st
 
 
 # A07
-def conditional_sums(df: DataFrame, keys, spec: Mapping[str, tuple]) -> DataFrame:
-    """``SUM(CASE WHEN cond THEN x ELSE 0 END)`` per output; ``x`` may be 1."""
+def conditional_sums(df: DataFrame, keys, spec: Mapping[str, tuple], extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """``SUM(CASE WHEN cond THEN x ELSE 0 END)`` per output; ``x`` may be 1.
+    ``extra`` adds further aggregates (e.g. a distinct count) to the same
+    single aggregation."""
     exprs = [F.sum(F.when(cond, as_col(x) if isinstance(x, str) else F.lit(x) if not isinstance(x, Column) else x)
                    .otherwise(F.lit(0))).alias(o) for o, (cond, x) in spec.items()]
+    exprs += [e.alias(n) for n, e in (extra or {}).items()]
     return _grouped(df, keys).agg(*exprs)
 
 

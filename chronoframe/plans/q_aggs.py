@@ -105,6 +105,37 @@ def a07(spark, sf):
                                             "returned_lines": (r, 1)})
 
 
+@query("A07_conditional_sums_threats", """
+SELECT sd, CAST(COALESCE(SUM(launched), 0) AS BIGINT) AS total_launched,
+  CAST(COALESCE(SUM(destroyed), 0) AS BIGINT) AS total_destroyed,
+  CAST(COALESCE(SUM(flag_count), 0) AS BIGINT) AS drones_launched,
+  CAST(COALESCE(SUM(CASE WHEN flag_count IS NOT NULL THEN destroyed ELSE 0 END), 0) AS BIGINT) AS drones_destroyed,
+  CAST(COALESCE(SUM(CASE WHEN flag_count IS NULL THEN launched ELSE 0 END), 0) AS BIGINT) AS missiles_launched,
+  CAST(COALESCE(SUM(CASE WHEN flag_count IS NULL THEN destroyed ELSE 0 END), 0) AS BIGINT) AS missiles_destroyed,
+  COUNT(DISTINCT l_orderkey) AS attack_waves
+FROM (SELECT CAST(l_shipdate AS DATE) AS sd, l_orderkey, l_quantity AS launched,
+        CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END AS destroyed,
+        CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS flag_count FROM lineitem)
+GROUP BY 1
+""")
+def a07_threats(spark, sf):
+    """Daily split by a count-in-flag column (a NULL flag means the other kind; when set, the flag
+    itself is the count summed), plus distinct waves — one aggregation."""
+    li = lineitem(spark, sf).select(
+        "sd", "l_orderkey", F.col("l_quantity").alias("launched"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0).alias("destroyed"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_linenumber")).alias("flag_count"))
+    flag = F.col("flag_count").isNotNull()
+    r = aggs.conditional_sums(li, "sd", {
+        "total_launched": (F.lit(True), "launched"), "total_destroyed": (F.lit(True), "destroyed"),
+        "drones_launched": (flag, "flag_count"), "drones_destroyed": (flag, "destroyed"),
+        "missiles_launched": (~flag, "launched"), "missiles_destroyed": (~flag, "destroyed"),
+    }, extra={"attack_waves": F.count_distinct("l_orderkey")})
+    return r.select("sd", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in
+                            ["total_launched", "total_destroyed", "drones_launched", "drones_destroyed",
+                             "missiles_launched", "missiles_destroyed"]], "attack_waves")
+
+
 @query("A08_conditional_avg", """
 SELECT l_linestatus,
   COALESCE(CAST(SUM(CASE WHEN l_returnflag = 'R' THEN CAST(l_discount AS DECIMAL(18,2)) END) AS DOUBLE)
