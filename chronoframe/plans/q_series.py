@@ -85,6 +85,18 @@ SQL_SPARSE_QTY = """SELECT CAST(l_shipdate AS DATE) AS sd, SUM(l_quantity) AS qt
 WHERE l_returnflag = 'R' AND l_discount >= 0.09 GROUP BY 1"""
 
 
+@query("W05_pct_change_k_recent", f"""
+SELECT od, n_orders, CASE WHEN prev > 0 THEN (n_orders - prev) / prev * 100.0 ELSE 0 END AS rate FROM (
+  SELECT *, lag(n_orders, 7) OVER (ORDER BY od) AS prev FROM (
+    SELECT od, n_orders FROM ({SQL_DAILY_ORDERS}) ORDER BY od DESC LIMIT 365))
+WHERE prev IS NOT NULL
+""")
+def w05_recent(spark, sf):
+    """The newest 365 days first (top-k), then the change vs 7 rows back — the rate chart's composition."""
+    recent = series.tail_n(daily_orders(spark, sf).select("od", "n_orders"), "od", 365)
+    return series.pct_change_k(recent, None, "od", "n_orders", 7)
+
+
 @query("W06_pct_change_clipped", f"""
 SELECT sd, qty, greatest(-500, least(500, CASE WHEN prev > 0 THEN (qty - prev) / prev * 100.0 ELSE 0 END)) AS rate FROM (
   SELECT *, lag(qty, 6) OVER (ORDER BY sd) AS prev FROM ({SQL_SPARSE_QTY})) WHERE prev IS NOT NULL
