@@ -188,6 +188,18 @@ def a12(spark, sf):
     return g.select("p_brand", aggs.guarded_ratio("ret", "tot", 1).alias("return_rate"))
 
 
+@query("A12_guarded_ratio_daily", """
+SELECT CAST(l_shipdate AS DATE) AS sd, CASE WHEN SUM(l_quantity) > 0
+  THEN SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / SUM(l_quantity) * 100 ELSE 0 END AS return_rate
+FROM lineitem GROUP BY 1
+""")
+def a12_daily(spark, sf):
+    """The daily, unrounded form of the guarded ratio (returned share of shipped quantity per day)."""
+    g = lineitem(spark, sf).groupBy("sd").agg(
+        F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).alias("ret"), F.sum("l_quantity").alias("tot"))
+    return g.select("sd", aggs.guarded_ratio("ret", "tot", None).alias("return_rate"))
+
+
 @query("A13_pair_stats", f"""
 SELECT src, dst, COUNT(*) AS n, CAST(SUM(disc) AS DOUBLE) / COUNT(disc) AS avg
 FROM ({SQL_PAIRS}) WHERE src IS NOT NULL AND src <> '' AND dst IS NOT NULL AND dst <> '' AND src <> dst GROUP BY 1, 2
