@@ -61,6 +61,24 @@ def w03(spark, sf):
     return series.trailing_mean(d, "o_orderpriority", "od", "n_orders", 7, js_round=True, out="avg_js")
 
 
+@query("W03_trailing_mean_weekly", f"""
+WITH RECURSIVE s AS (SELECT o_orderpriority AS k, od, CAST(n_orders AS DOUBLE) AS v, od + 7 AS due
+                     FROM ({SQL_DAILY_ORDERS_BY_PRIORITY})),
+nxt AS MATERIALIZED (SELECT a.k, a.od, b.od AS nd, b.v AS nv FROM s a ASOF JOIN s b ON a.k = b.k AND a.due <= b.od),
+r AS (SELECT k, od, v, CAST(NULL AS DOUBLE) AS change, false AS emit FROM s
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY od) = 1
+      UNION ALL
+      SELECT r.k, n.nd, n.nv, n.nv - r.v, true FROM r JOIN nxt n ON n.k = r.k AND n.od = r.od)
+SELECT k AS o_orderpriority, od, change, v AS n_orders,
+  AVG(change) OVER (PARTITION BY k ORDER BY od ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS avg_change
+FROM r WHERE emit
+""")
+def w03_weekly(spark, sf):
+    """Weekly (greedy 7-day anchored) changes smoothed by a 4-period trailing mean, per series."""
+    weekly = series.week_anchor_change(daily_orders_by_priority(spark, sf), "o_orderpriority", "od", "n_orders", 7)
+    return series.trailing_mean(weekly, "o_orderpriority", "od", "change", 4, out="avg_change")
+
+
 @query("W04_prior_mean", f"""
 SELECT event_type, d, n, round(SUM(n) OVER (PARTITION BY event_type ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) / 7.0, 2)
   AS rolling_avg
