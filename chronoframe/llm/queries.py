@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import jaccard_join, substring_dedup
+from chronoframe.llm import exact_dedup, jaccard_join, packing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_concat_cut": packing.op3_concat_cut,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
 }
