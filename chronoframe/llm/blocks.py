@@ -102,13 +102,17 @@ def ask(blocks: DataFrame, question: Callable[[int, pa.Table], pa.Table]) -> Dat
     return blocks.groupBy("__blk").applyInArrow(run, MESSAGE)
 
 
-def answer(asked: DataFrame, reply: Callable[[int, list[int], list[bytes]], list[bytes]]) -> DataFrame:
-    """Each group's replies, one for each message it got, in that order."""
+def answer(asked: DataFrame, reply: Callable[[int, list[int], list[bytes]], list[bytes]],
+           totals: int | None = None) -> DataFrame:
+    """Each group's replies, one for each message it got, in that order. With
+    ``totals`` one more follows, about all of them: a message to the block of that number."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("__blk")
         blks = table.column("__blk").to_pylist()
         got = reply(table.column("__grp")[0].as_py(), blks, [x.as_buffer() for x in table.column("__msg")])
-        return pa.table({"__grp": table.column("__grp"), "__blk": table.column("__blk"),
+        group = table.column("__grp")[0].as_py()
+        to = blks if totals is None else [*blks, totals]
+        return pa.table({"__grp": pa.array([group] * len(to), pa.int64()), "__blk": pa.array(to, pa.int64()),
                          "__msg": pa.array(got, pa.binary())})
     return asked.groupBy("__grp").applyInArrow(run, MESSAGE)
 
@@ -119,5 +123,6 @@ def conclude(blocks: DataFrame, answered: DataFrame,
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = dict(zip(right.column("__grp").to_pylist(),
                            [x.as_buffer() for x in right.column("__msg")], strict=True))
-        return verdict(left.column("__blk")[0].as_py(), ordered(left), replies)
+        blk = (left if left.num_rows else right).column("__blk")[0].as_py()
+        return verdict(blk, ordered(left), replies)
     return blocks.groupBy("__blk").cogroup(answered.groupBy("__blk")).applyInArrow(run, schema)

@@ -152,6 +152,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "recipe")
 
 
+def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, all columns as they are."""
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(
+        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("tied").alias("__tied"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    rows = docs.withColumn("__own", sha).join(
+        stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
+    tied = rows.where("__tied").dropDuplicates(["__id", "__sha"])  # rows that share the least id: any one of equals
+    return rows.where("not __tied").unionByName(tied).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents``: equal texts after blank runs became one space."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -74,14 +74,17 @@ def _slices(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def hashed_words(col, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(col, lower: bool = False, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of a string column, and for each row where
-    its words start (length ``rows + 1``). ``lower`` folds A-Z first."""
+    its words start (length ``rows + 1``). ``lower`` folds A-Z first; a
+    ``table`` of 256 bytes replaces every byte first."""
     raw, off = string_buffers(col)
     hashes, counts = [], [np.zeros(0, np.int64)]
     for i, j in _slices(off, SLICE_BYTES):
         part, at = raw[off[i]:off[j]], off[i:j + 1] - off[i]
-        if lower:
+        if table is not None:
+            part = table[part]
+        elif lower:
             part = part + ((part >= 65) & (part <= 90)).astype(np.uint8) * np.uint8(32)
         # a row's text ends its last word: look at each row with a blank behind it
         rows = j - i

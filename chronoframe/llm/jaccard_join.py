@@ -109,7 +109,8 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         for g, a, b in bounds(group[order]):
             pick = order[a:b]
             own, n = np.unique(row[pick], return_counts=True)
-            out.append((g, pack(distinct[pick], key[own], smallest(n), np.packbits(other[pick]))))
+            # half the fingerprint: a false match only keeps a column too many, overlaps compare it whole
+            out.append((g, pack((distinct[pick] >> np.uint64(32)).astype(np.uint32), key[own], smallest(n), np.packbits(other[pick]))))
         return messages([g for g, _ in out], blk, [m for _, m in out])
 
     def reply(_: int, __: list[int], blobs: list) -> list[bytes]:
@@ -289,6 +290,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component, all columns as they are; rows without an id stay."""
+    stay = (jaccard_components(docs, id_col, text_col).where("component_id = doc_id")
+            .select(F.col("doc_id").alias("__id")).distinct())
+    own = F.col(f"`{id_col}`").cast("long")
+    return docs.where(own.isNull()).unionByName(docs.join(stay, own == F.col("__id"), "left_semi"))
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents``: five-word shingles, similarity of 0.8 or more."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

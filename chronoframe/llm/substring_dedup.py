@@ -144,13 +144,14 @@ def _spans_of(gone: np.ndarray, at: np.ndarray) -> list[list[dict]]:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                    group_size: int = GROUP_SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                    group_size: int = GROUP_SIZE, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
     """Remove passages that an earlier document already has.
 
     Returns one row per input row: ``doc_id`` (long), ``n_words``,
     ``n_removed``, ``kept_text`` (kept words joined by one space), ``spans``
     (array of start and length in words: the document's maximal repeats) and
-    ``row`` (struct of all other input columns, so no name can clash).
+    ``row`` (struct of all other input columns, so no name can clash); with
+    ``with_text`` also ``text``, as it was.
 
     A word goes when a window of ``width`` words covers it whose words also
     start in a document with a smaller id. Null and empty texts have no words
@@ -190,7 +191,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
                            T.StructField("spans", T.ArrayType(T.StructType([
                                T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))),
-                           T.StructField("row", row_type)])
+                           T.StructField("row", row_type),
+                           *([T.StructField("text", T.StringType())] if with_text else [])])
 
     def verdict(_: int, table: pa.Table, replies: dict) -> pa.Table:
         path, group, row, words, at, start, of = _paths(table, width, first, parts)
@@ -207,12 +209,38 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"doc_id": table.column("__id"), "n_words": pa.array(np.diff(at)),
                          "n_removed": pa.array(total[at[1:]] - total[at[:-1]]),
                          "kept_text": kept_texts(table.column("__text"), gone, at),
-                         "spans": spans, "row": table.column("__row")})
+                         "spans": spans, "row": table.column("__row"),
+                         **({"text": table.column("__text")} if with_text else {})})
 
     asked = ask(blocks, question)
     return conclude(blocks, answer(asked, reply), verdict, schema)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    length_col: str | None = "n_chars", width: int = WIDTH) -> DataFrame:
+    """``docs`` with repeated passages taken out, its columns as they are.
+
+    Texts that lose nothing stay byte for byte; others become their kept words
+    joined by one space, with ``length_col`` (if there is one) made to match.
+    A document that loses all its words goes.
+    """
+    done = substring_dedup(docs, id_col, text_col, width, with_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    kinds = dict(docs.dtypes)
+    out = []
+    for c in docs.columns:
+        if c == id_col:
+            col = F.col("doc_id").cast(kinds[c])
+        elif c == text_col:
+            col = text
+        elif c == length_col:
+            col = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kinds[c])).otherwise(F.col("row").getField(c))
+        else:
+            col = F.col("row").getField(c)
+        out.append(col.alias(c))
+    return done.where("n_removed = 0 or n_removed < n_words").select(*out)
+
+
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents``: words kept and removed at 13-word windows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
