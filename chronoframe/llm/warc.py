@@ -72,16 +72,14 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = head + 8 + size
 
 
-def _digested(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """``page_id, url, html`` with ``refers_to``: the least id of an equal payload, where it is another row's."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("__size", F.octet_length("html")).withColumn("__sha", F.sha2("html", 256))
+def _revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """``page_id, sha, refers_to`` of the rows whose payload a row with a smaller id has. Only digests are shuffled."""
+    keys = rows.select("page_id", F.octet_length("html").alias("size"), F.sha2("html", 256).alias("sha"))
     # equality by SHA-256 and size: SHA-1, which the format asks for, has known collisions
-    first = (rows.where(F.col("__size") >= least_bytes).groupBy("__size", "__sha")
-             .agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n"))
-    return rows.join(first, ["__size", "__sha"], "left").withColumn(
-        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))).drop("__first", "__sha")
+    first = (keys.where(F.col("size") >= least_bytes).groupBy("size", "sha")
+             .agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return (keys.join(first, ["size", "sha"]).where("refers_to is not null and not page_id <=> refers_to")
+            .select("page_id", "sha", "refers_to").distinct())
 
 
 def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
@@ -108,7 +106,12 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     """
     spark = pages.sparkSession
     bounds = shard_bounds(pages, shard_bytes)
-    rows = _digested(pages, least_bytes)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    # a page's revisit mark travels to its shard as a row of its own and sorts before it: payloads are shuffled once
+    rows = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(
+        _revisits(rows, least_bytes).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
+                                            F.col("sha").alias("html"), "refers_to"))
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
     rows = rows.withColumn("__shard", F.size(F.filter(limits, lambda b: b <= F.coalesce("page_id", F.lit(-(1 << 63))))))
 
@@ -133,17 +136,26 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
             done.append({"file": name, "records": len(held["parts"]), "bytes": len(raw),
                          "sha256": hashlib.sha256(raw).hexdigest(), "first_id": held["first"], "last_id": held["last"]})
 
+        marks: dict[str, int] = {}
+        of = None
         for batch in batches:
-            for shard, page, url, html, refers in zip(*(batch.column(c) for c in (
-                    "__shard", "page_id", "url", "html", "refers_to")), strict=True):
+            for shard, page, kind, url, html, refers in zip(*(batch.column(c) for c in (
+                    "__shard", "page_id", "kind", "url", "html", "refers_to")), strict=True):
                 shard, page = shard.as_py(), page.as_py()
+                if page != of:
+                    marks, of = {}, page
+                if kind.as_py() == 0:
+                    marks[html.as_py()] = refers.as_py()
+                    continue
+                payload = html.as_buffer().to_pybytes()
+                target = marks.get(hashlib.sha256(payload).hexdigest()) if marks else None
                 if held and (held["shard"] != shard or held["size"] >= roll_bytes):
                     close()
                     held = {"shard": shard, "seq": held["seq"] + 1 if held["shard"] == shard else 0, "parts": [], "size": 0,
                             "first": page, "last": page}
                 elif not held:
                     held = {"shard": shard, "seq": 0, "parts": [], "size": 0, "first": page, "last": page}
-                one = gzip.compress(record(page, url.as_py(), html.as_buffer().to_pybytes(), refers.as_py(), date), 6, mtime=0)
+                one = gzip.compress(record(page, url.as_py(), payload, target, date), 6, mtime=0)
                 held["parts"].append(one)
                 held["size"] += len(one)
                 held["last"] = page
@@ -153,8 +165,8 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
             ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
     sorted_rows = (rows.repartition(len(bounds) + 1, "__shard")
-                   .sortWithinPartitions("__shard", "page_id", "url", "html"))
-    manifest = sorted_rows.select("__shard", "page_id", "url", "html", "refers_to").mapInArrow(
+                   .sortWithinPartitions("__shard", "page_id", "kind", "url", "html"))
+    manifest = sorted_rows.select("__shard", "page_id", "kind", "url", "html", "refers_to").mapInArrow(
         write, "file string, records long, bytes long, sha256 string, first_id long, last_id long")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
