@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chronoframe.llm.hashing import SLICE_BYTES, _slices, hashed_words, mix64, string_buffers
 
 DIM_BITS = 20
-SAMPLE = 4000  # labelled texts of each class, at most
+SAMPLE = 2500  # labelled texts of each class, at most
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 20.0, 0.1, 6
 MAX_CLASS_WEIGHT = 10.0
 THRESHOLD = 0.7
@@ -73,19 +73,29 @@ def ftrl(cols: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = DIM_B
     return weights(z, g2), bias
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero coordinates, their weights and the bias, from rows ``id, text,
-    label``. Of each class the ``sample`` rows of least hash are used (all, if
-    there are fewer). Without both classes the model is the constant prior."""
-    rows = labelled.where("label in (0, 1)").withColumn("h", F.xxhash64("id", "text"))
-    both = rows.where("label = 0").orderBy("h", "id").limit(sample).unionByName(
-        rows.where("label = 1").orderBy("h", "id").limit(sample))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-zero coordinates, their weights and the bias, from rows ``doc_id,
+    text`` and ``doc_id, label``. Of each class the ``sample`` labels of least
+    hash of their id are drawn (all, if there are fewer) before any text is
+    read, so what is sent to the scan of the texts is bounded. Without both
+    classes the model is the constant prior."""
+    drawn = labels.where("label in (0, 1) and doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    few = drawn.where("label = 0").orderBy("h", "doc_id").limit(sample).unionByName(
+        drawn.where("label = 1").orderBy("h", "doc_id").limit(sample))
+    both = docs.join(F.broadcast(few), "doc_id")  # 2 * sample rows of three numbers at most
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h", "ascending"), ("id", "ascending"), ("label", "ascending")])
+        table = table.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
         y = table.column("label").to_numpy().astype(float)
-        cols, at = features(table.column("text"), bits)
-        w, bias = ftrl(cols, at, y, bits) if 0 < y.sum() < len(y) else (np.zeros(1 << bits), float(4 * y.mean() - 2))
+        text = table.column("text").combine_chunks()
+        cols, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i, j in _slices(string_buffers(text)[1], SLICE_BYTES):
+            own, at = features(text.slice(i, j - i), bits)
+            cols.append(own.astype(np.int32))
+            n.append(np.diff(at))
+        at = np.concatenate([[0], np.cumsum(np.concatenate(n))])
+        both_seen = 0 < y.sum() < len(y)
+        w, bias = ftrl(np.concatenate(cols), at, y, bits) if both_seen else (np.zeros(1 << bits), float(4 * y.mean() - 2))
         used = np.flatnonzero(w)
         return pa.table({"i": pa.array(np.append(used, -1)), "w": pa.array(np.append(w[used], bias))})
 
@@ -126,9 +136,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).where("label in (0, 1)")
-    taught = known.where(~held).join(rows, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
-    scored = score(rows, fit(taught, sample))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(~held)
+    scored = score(rows, fit(rows, known, sample))
     return scored.select("doc_id", held.alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
