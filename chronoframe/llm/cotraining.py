@@ -144,12 +144,14 @@ def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
                        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
                        F.col("n_chars").cast("long").alias("n_chars"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    taught = drawn.join(known.where("label in (0, 1)").where(~held), "doc_id")
-    free = drawn.join(known, "doc_id", "left_anti").where("doc_id is not null").withColumn("label", F.lit(-1))
-    sample = (taught.where("label = 0").orderBy("h", "doc_id").limit(labelled)
-              .unionByName(taught.where("label = 1").orderBy("h", "doc_id").limit(labelled))
-              .unionByName(free.orderBy("h", "doc_id").limit(pool)))
+    # ids are drawn before any text is read; what is sent to the scan of the texts is bounded
+    taught = known.where("label in (0, 1) and doc_id is not null").where(~held).withColumn("h", F.xxhash64("doc_id"))
+    free = (rows.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti")
+            .select("doc_id", F.lit(-1).alias("label"), F.xxhash64("doc_id").alias("h")))
+    drawn = (taught.where("label = 0").orderBy("h", "doc_id").limit(labelled)
+             .unionByName(taught.where("label = 1").orderBy("h", "doc_id").limit(labelled))
+             .unionByName(free.orderBy("h", "doc_id").limit(pool)))
+    sample = rows.join(F.broadcast(drawn), "doc_id")  # 2 * labelled + pool rows of three numbers at most
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
