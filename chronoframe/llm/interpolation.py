@@ -55,13 +55,13 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _six(x: np.ndarray) -> np.ndarray:
-    """48 bits of each fingerprint; those that choose the group come on top."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+    """48 bits of each fingerprint; those that choose the group come on top. By byte, so ascending ones compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].T)
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, 2:] = x
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, 2:] = x.T
     return out.view("<u8").ravel()
 
 
@@ -102,7 +102,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str, group_size: int, block_
         each = np.add.reduceat(n[order], node)
         total = np.empty(len(path), np.int64)
         total[order] = np.repeat(each, np.diff(np.append(node, len(path))))
-        cut = np.cumsum([len(p) for p, _ in got])[:-1]
+        cut = np.cumsum([len(c) for _, c in got])[:-1]
         return [pack(smallest(x)) for x in np.split(total, cut)] + [
             pack(np.array([np.count_nonzero(each), each.sum()]) if g < groups else np.zeros(2, np.int64))]
 
@@ -123,20 +123,29 @@ def counted(docs: DataFrame, id_col: str, text_col: str, group_size: int, block_
             held = np.array([held_out(i) for i in ids], np.int64)
             types = total = 0
 
-        def small(x):
-            return pa.compress(pack(smallest(np.asarray(x))), codec="zstd", asbytes=True)
-
+        (size1, small1), (size2, small2) = _small(c1), _small(c2)
         return pa.table({"ids": pa.array([list(ids)], pa.list_(pa.int64())), "n": pa.array([pack(n)], pa.binary()),
                          "held": pa.array([pack(held)], pa.binary()),
-                         "raw": pa.array([len(pack(smallest(np.asarray(c1))))], pa.int64()),
-                         "raw2": pa.array([len(pack(smallest(np.asarray(c2))))], pa.int64()),
-                         "c1": pa.array([small(c1)], pa.binary()), "c2": pa.array([small(c2)], pa.binary()),
+                         "raw": pa.array([size1], pa.int64()), "raw2": pa.array([size2], pa.int64()),
+                         "c1": pa.array([small1], pa.binary()), "c2": pa.array([small2], pa.binary()),
                          "types": pa.array([types], pa.int64()), "total": pa.array([total], pa.int64())})
 
     return conclude(blocks, answer(ask(blocks, question), reply, totals=TOTALS), verdict,
                     "ids array<long>, n binary, held binary, raw long, raw2 long, c1 binary, c2 binary, types long, total long")
 
 
+def _small(x: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers by byte, compressed; the size before."""
+    x = smallest(np.asarray(x))
+    raw = pack(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
+    return len(raw), pa.Codec("zstd", 5).compress(raw, asbytes=True)
+
+
+def _large(raw, size: int) -> np.ndarray:
+    planes = unpack(pa.decompress(raw, size, codec="zstd", asbytes=True))[0]
+    return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel().astype(np.int64)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]):
     """Each block's ids, where its documents start, held-out marks, and per token its count, its bigram's and its context's."""
     for batch in batches:
@@ -145,8 +154,7 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             if not ids:
                 continue
             (n,), (held,) = (unpack(batch.column(c)[r].as_buffer()) for c in ("n", "held"))
-            c1, c2 = (unpack(pa.decompress(batch.column(c)[r].as_buffer(), batch.column(s)[r].as_py(), codec="zstd", asbytes=True)
-                             )[0].astype(np.int64) for c, s in (("c1", "raw"), ("c2", "raw2")))
+            c1, c2 = (_large(batch.column(c)[r].as_buffer(), batch.column(s)[r].as_py()) for c, s in (("c1", "raw"), ("c2", "raw2")))
             at = np.concatenate([[0], np.cumsum(n)])
             context = np.empty_like(c1)
             context[1:] = c1[:-1]
