@@ -6,3 +6,10 @@ built from Spark SQL expressions; see ``operators``, ``sources``,
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers are shipped by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

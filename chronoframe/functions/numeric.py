@@ -15,11 +15,12 @@ PLAIN_NUMBER = r"^[0-9.]+$"
 FLOAT_MISSING = ("", "nan", "NaN", "#N/A", "N/A", "None")
 
 
-def guarded_numeric(c, scale: int = 2) -> Column:
+def guarded_numeric(c, scale: int = 18) -> Column:
     """Numeric value if the text matches ``^[0-9.]+$`` (and casts), else 0.
 
     ``'1.2.3'`` passes the pattern but is not a number: ``try_cast`` makes it
     NULL and the guard turns that into 0; negatives and ``1e6`` are 0 too.
+    Up to ``scale`` decimals are kept exactly.
     """
     c = as_col(c)
     val = c.try_cast(f"decimal(38,{scale})")

@@ -251,7 +251,7 @@ def superset_member(df: DataFrame, member: str, members, name: str, dims: Sequen
 
 
 # A21
-def value_fallback_sum(df: DataFrame, keys, text_col: str, out: str = "total", scale: int = 2) -> DataFrame:
+def value_fallback_sum(df: DataFrame, keys, text_col: str, out: str = "total", scale: int = 18) -> DataFrame:
     return _grouped(df, keys).agg(F.sum(fx.guarded_numeric(text_col, scale)).alias(out),
                                   F.count(F.lit(1)).alias("count"))
 

@@ -143,7 +143,7 @@ def filter_icontains(df: DataFrame, col: str, pattern: str) -> DataFrame:
 
 
 # P13
-def guarded_numeric(df: DataFrame, col: str, out: str | None = None, scale: int = 2) -> DataFrame:
+def guarded_numeric(df: DataFrame, col: str, out: str | None = None, scale: int = 18) -> DataFrame:
     return df.withColumn(out or col, fx.guarded_numeric(col, scale))
 
 

@@ -87,10 +87,11 @@ def left_enrich(a: DataFrame, b: DataFrame, key, fill: Mapping[str, object],
 
 # J06
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value: str, lookup_value: str,
-                out: str = "ratio", scale: float = 1e6 * 100) -> DataFrame:
-    """Keyed lookup (duplicates resolved to one row per key first); a missing or
-    zero lookup value gives NULL; ratio = value × scale / lookup."""
-    lk = lookup.groupBy(*keys).agg(F.max(lookup_value).alias("__lv"))
+                out: str = "ratio", scale: float = 1e6 * 100, order: str | None = None) -> DataFrame:
+    """Keyed lookup; of several lookup rows per key the last by ``order`` counts
+    (without an order column the key must be unique, and the largest value is
+    taken); a missing or zero lookup value gives NULL; ratio = value × scale / lookup."""
+    lk = lookup.groupBy(*keys).agg((F.max_by(lookup_value, order) if order else F.max(lookup_value)).alias("__lv"))
     res = df.join(lk, on=list(keys), how="left")  # aggregated side: AQE broadcasts it when small
     ratio = F.try_divide(as_col(value).cast("double") * F.lit(scale), F.nullif(F.col("__lv").cast("double"), F.lit(0.0)))
     return res.withColumn(out, ratio).withColumnRenamed("__lv", lookup_value)

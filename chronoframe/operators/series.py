@@ -40,8 +40,8 @@ def diff_lag1(df: DataFrame, series, order: str, cols: Sequence[str], suffix: st
     """value − previous row (cumulative counter → flow); first row dropped,
     negative corrections kept."""
     w = _w(series, order)
-    res = df.withColumns({f"{c}{suffix}": as_col(c) - F.lag(c, 1).over(w) for c in cols})
-    return res.filter(F.col(f"{cols[0]}{suffix}").isNotNull())
+    res = df.withColumns({**{f"{c}{suffix}": as_col(c) - F.lag(c, 1).over(w) for c in cols}, "__rn": F.row_number().over(w)})
+    return res.filter(F.col("__rn") > 1).drop("__rn")  # the first row goes, rows beside a NULL stay
 
 
 # W02
@@ -80,13 +80,13 @@ def prior_mean(df: DataFrame, series, order: str, col: str, k: int = 7, out: str
 
 # W05
 def pct_change_k(df: DataFrame, series, order: str, col: str, k: int = 7, out: str = "rate") -> DataFrame:
-    """``(x − x[−k]) / x[−k] × 100``, 0 when the lagged value is ≤ 0; the first
-    k rows are dropped."""
+    """``(x − x[−k]) / x[−k] × 100``, 0 when the lagged value is ≤ 0 or NULL; the
+    first k rows are dropped."""
     w = _w(series, order)
     prev = F.lag(col, k).over(w)
-    res = df.withColumn("__prev", prev)
+    res = df.withColumns({"__prev": prev, "__rn": F.row_number().over(w)})
     rate = F.when(F.col("__prev") > 0, (as_col(col) - F.col("__prev")) / F.col("__prev") * 100.0).otherwise(F.lit(0.0))
-    return res.filter(F.col("__prev").isNotNull()).withColumn(out, rate).drop("__prev")
+    return res.filter(F.col("__rn") > k).withColumn(out, rate).drop("__prev", "__rn")
 
 
 # W06

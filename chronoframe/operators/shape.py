@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.common import as_col
@@ -46,11 +46,13 @@ def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str =
 # R04
 def transpose_scores(df: DataFrame, name: str, metrics: Sequence[str], rank_by: str, k: int = 5) -> DataFrame:
     """Metrics as rows, the top-k entities (by ``rank_by``, ties by name) as
-    columns. The entity list is bounded by k."""
-    top = df.orderBy(F.col(rank_by).desc(), F.col(name).asc()).limit(k)
-    long = top.unpivot([name], list(metrics), "metric", "__v")
-    names = [r[0] for r in top.select(name).collect()]  # k values, bounded by the top-k
-    return long.groupBy("metric").pivot(name, names).agg(F.first("__v"))
+    columns ``name_1, value_1 .. name_k, value_k``: known before any job runs."""
+    order = [F.col(rank_by).desc(), F.col(name).asc()]
+    top = df.orderBy(*order).limit(k).withColumn("__rk", F.row_number().over(Window.orderBy(*order)))  # k rows
+    long = top.unpivot([name, "__rk"], list(metrics), "metric", "__v")
+    return long.groupBy("metric").agg(*[
+        F.max(F.when(F.col("__rk") == i, F.col(c))).alias(f"{out}_{i}")
+        for i in range(1, k + 1) for c, out in ((name, "name"), ("__v", "value"))])
 
 
 # R05

@@ -356,7 +356,7 @@ def a20(spark, sf):
 
 
 @query("A21_value_fallback_sum", f"""
-SELECT c_mktsegment, CAST(SUM(CASE WHEN regexp_full_match(txt, '[0-9.]+') THEN COALESCE(TRY_CAST(txt AS DECIMAL(38,2)), 0)
+SELECT c_mktsegment, CAST(SUM(CASE WHEN regexp_full_match(txt, '[0-9.]+') THEN COALESCE(TRY_CAST(txt AS DECIMAL(38,18)), 0)
   ELSE 0 END) AS DOUBLE) AS total, COUNT(*) AS count FROM ({SQL_DIRTY_BALANCE}) GROUP BY 1
 """)
 def a21(spark, sf):

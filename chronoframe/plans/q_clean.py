@@ -174,7 +174,7 @@ def _dirty_balance(spark, sf):
 
 
 @query("P13_guarded_numeric", f"""
-SELECT c_custkey, CAST(CASE WHEN regexp_full_match(txt, '[0-9.]+') THEN COALESCE(TRY_CAST(txt AS DECIMAL(38,2)), 0)
+SELECT c_custkey, CAST(CASE WHEN regexp_full_match(txt, '[0-9.]+') THEN COALESCE(TRY_CAST(txt AS DECIMAL(38,18)), 0)
   ELSE 0 END AS DOUBLE) AS amount FROM ({SQL_DIRTY_BALANCE})
 """)
 def p13(spark, sf):

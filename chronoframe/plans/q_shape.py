@@ -190,8 +190,16 @@ def r03(spark, sf):
 WITH top AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS part, CAST(p_size AS DOUBLE) AS p_size, p_retailprice,
                CAST(p_size AS DOUBLE) * p_retailprice AS score
              FROM part ORDER BY p_retailprice DESC, part LIMIT 5),
-long AS (SELECT part, metric, v FROM top UNPIVOT (v FOR metric IN (p_size, p_retailprice, score)))
-PIVOT long ON part USING first(v) GROUP BY metric
+ranked AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, part) AS rk FROM top),
+long AS (SELECT part, rk, 'p_size' AS metric, p_size AS v FROM ranked
+         UNION ALL SELECT part, rk, 'p_retailprice', p_retailprice FROM ranked
+         UNION ALL SELECT part, rk, 'score', score FROM ranked)
+SELECT metric, MAX(part) FILTER (WHERE rk = 1) AS name_1, MAX(v) FILTER (WHERE rk = 1) AS value_1,
+  MAX(part) FILTER (WHERE rk = 2) AS name_2, MAX(v) FILTER (WHERE rk = 2) AS value_2,
+  MAX(part) FILTER (WHERE rk = 3) AS name_3, MAX(v) FILTER (WHERE rk = 3) AS value_3,
+  MAX(part) FILTER (WHERE rk = 4) AS name_4, MAX(v) FILTER (WHERE rk = 4) AS value_4,
+  MAX(part) FILTER (WHERE rk = 5) AS name_5, MAX(v) FILTER (WHERE rk = 5) AS value_5
+FROM long GROUP BY metric
 """)
 def r04(spark, sf):
     """Metrics as rows, the top-5 parts by price as columns."""

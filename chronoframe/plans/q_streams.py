@@ -87,14 +87,12 @@ def x03(spark, sf):
     e = table(spark, sf, "events")
     src = scratch_path(spark, "x03-landing")
     weeks = [r[0] for r in e.select(F.date_trunc("week", "ts").alias("w")).distinct().orderBy("w").collect()]  # calendar-bounded
-    for chunk in _chunks(weeks, 3):  # land in time order, so no row arrives behind the watermark
-        _land(e.filter(F.date_trunc("week", "ts").isin(chunk)), src)
-    if not weeks:
-        _land(e, src)  # an empty landing still creates the folder
-    sdf = st.read_stream(spark, src, e.schema, max_files=1).withColumn("ts", F.col("ts").cast("timestamp"))
-    agg = st.stream_bucket_count(sdf, "ts", ["event_type"], "1 day", "1 day")
     out, ckpt = st.stream_dirs(spark, "x03")
-    st.run_available(st.sink_updates(agg, out, ckpt), spark)
+    for chunk in _chunks(weeks, 3) or [[]]:  # land in time order, so no row arrives behind the watermark
+        _land(e.filter(F.date_trunc("week", "ts").isin(chunk)) if chunk else e, src)
+        # one micro-batch a landing: the watermark moves between landings, never between the files of one
+        sdf = st.read_stream(spark, src, e.schema, max_files=None).withColumn("ts", F.col("ts").cast("timestamp"))
+        st.run_available(st.sink_updates(st.stream_bucket_count(sdf, "ts", ["event_type"], "1 day", "1 day"), out, ckpt), spark)
     res = st.read_updates(spark, out, ["window_start", "event_type"],
                           "window_start timestamp, window_end timestamp, event_type string, count bigint, batch int")
     return res.select(F.to_date("window_start").alias("d"), "event_type", "count")

@@ -152,12 +152,10 @@ def stream_change_points(sdf: DataFrame, series: str, order: str, value: str, th
     return src.groupBy(series).applyInPandasWithState(step, out_schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(writer, spark: SparkSession, timeout_s: int = 600) -> None:
-    """Run a stream over the files present now, then stop."""
+def run_available(writer, spark: SparkSession) -> None:
+    """Run a stream over all files present now, however long that takes."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
 
