@@ -407,7 +407,7 @@ SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS od, o_totalprice FROM
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
 """)
 def a25(spark, sf):
-    """Latest order per customer (ties on date broken by key) via max_by, no sort."""
+    """Latest order per customer (ties on date broken by key) via max_by."""
     o = orders(spark, sf).select("o_custkey", "o_orderkey", "od", "o_totalprice")
     o = o.withColumn("__ord", F.struct("od", "o_orderkey"))
     return aggs.latest_row(o, "__ord", "o_custkey", ["o_orderkey", "od", "o_totalprice"])
@@ -482,8 +482,8 @@ def a29_by_year(spark, sf):
 
 
 def _merged_daily_types(spark, sf):
-    """Four daily series cut from one (day, type) rollup: the branches share the
-    rollup's exchange, so events are scanned once."""
+    """Four daily series cut from one (day, type) rollup; each branch filters
+    its type before the rollup, so events are scanned once per series."""
     daily = table(spark, sf, "events").groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     frames = {t: daily.filter(F.col("event_type") == t).select("d", "n") for t in EVENT_TYPES}
     return joins.date_merge_fill(frames, "d", "n")
