@@ -288,8 +288,9 @@ def share_of_total(rollup: DataFrame, value: str, out: str = "pct", digits: int
 
 # A25
 def latest_row(df: DataFrame, order: str, keys=(), cols: Sequence[str] | None = None) -> DataFrame:
-    """Last row by ``order`` per key (``max_by`` over a struct: partial
-    aggregation by sorting on the key, no single-task collect)."""
+    """Last row by ``order`` per key: ``max_by`` over a struct. Spark runs it
+    as a sort aggregate, partial before the shuffle, so at most one row per
+    key and input partition is moved and a repeated key is reduced first."""
     k = _keys(keys)
     cols = [c for c in (cols or df.columns) if c not in k]
     picked = _grouped(df, k).agg(F.max_by(F.struct(*cols), as_col(order)).alias("__r"))

@@ -49,6 +49,14 @@ def date_merge_fill(frames: Mapping[str, DataFrame], date: str, value: str) -> D
     return wide.fillna(0, subset=names)
 
 
+def date_merge_rollup(rollup: DataFrame, date: str, series: str, value: str, names: Sequence[str]) -> DataFrame:
+    """``date_merge_fill`` for series that one (date, series) rollup holds:
+    the rollup itself is pivoted, so its source is read once."""
+    some = rollup.filter(F.col(series).isin(list(names)))
+    wide = some.groupBy(date).pivot(series, list(names)).agg(F.sum(value))
+    return wide.fillna(0, subset=list(names))
+
+
 # J04
 def inverse_pair_join(pairs: DataFrame, src: str, dst: str, measures: Sequence[str],
                       left_suffix: str = "_ab", right_suffix: str = "_ba",

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, MapType, StructType
 
 from chronoframe.functions.common import as_col
 from chronoframe.functions.dates import int_to_date
@@ -57,15 +58,31 @@ def commit_partitions(df: DataFrame, path: str, partition_by: Sequence[str], sta
 
 # K01
 def sink_json(df: DataFrame, path: str) -> str:
-    """JSON lines; dates as ISO text, decimals as doubles."""
-    out = df.select(*[
-        F.date_format(F.col(c), "yyyy-MM-dd").alias(c) if t == "date"
-        else F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
-        for c, t in df.dtypes])
-    out.write.mode("errorifexists").json(path)
+    """JSON lines; dates as ISO text, decimals as doubles, at any depth of
+    structs, arrays and map values. A one-row frame (K03) is a single document."""
+    json_ready(df).write.mode("errorifexists").json(path)
     return path
 
 
+def json_ready(df: DataFrame) -> DataFrame:
+    """``df`` with the values ``sink_json`` writes."""
+    return df.select(*[_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def _json_value(c: Column, t: DataType) -> Column:
+    if isinstance(t, DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(t, DecimalType):
+        return c.cast("double")
+    if isinstance(t, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_json_value(c.getField(f.name), f.dataType).alias(f.name) for f in t]))
+    if isinstance(t, ArrayType):
+        return F.transform(c, lambda x: _json_value(x, t.elementType))
+    if isinstance(t, MapType):
+        return F.transform_values(c, lambda _, v: _json_value(v, t.valueType))
+    return c
+
+
 # K02
 def assign_periods(df: DataFrame, int_date: str, periods: Mapping[str, tuple]) -> DataFrame:
     """Tag rows with every named, inclusive period they fall in (overlaps
@@ -175,12 +192,15 @@ def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str | Non
 
 
 # K08
-def update_from(target: DataFrame, side: DataFrame, keys, column: str, side_column: str | None = None) -> DataFrame:
+def update_from(target: DataFrame, side: DataFrame, keys, column: str, side_column: str | None = None,
+                order: str | None = None) -> DataFrame:
     """``UPDATE t SET col = s.col FROM s WHERE key``: matched rows take the
-    side value (even NULL), unmatched keep theirs."""
+    side value (even NULL), unmatched keep theirs. Of several side rows with
+    one key the last by ``order`` counts; without an order, the largest value."""
     k = _k(keys)
     sc = side_column or column
-    s = side.groupBy(*k).agg(F.max(sc).alias("__new")).withColumn("__hit", F.lit(True))
+    new = F.max_by(sc, order) if order else F.max(sc)
+    s = side.groupBy(*k).agg(new.alias("__new")).withColumn("__hit", F.lit(True))
     j = target.join(s, k, "left")  # aggregated side: AQE broadcasts it when small
     return j.withColumn(column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column))).select(*target.columns)
 
@@ -256,18 +276,24 @@ def export_outputs(outputs: Mapping[str, DataFrame], base: str, only=None) -> Da
         if wanted is not None and name not in wanted:
             continue
         path = sink_json(df, f"{base.rstrip('/')}/{name}")
-        manifest.append((name, path, df.sparkSession.read.schema(_json_schema(df)).json(path).count()))
+        manifest.append((name, path, df.sparkSession.read.schema(json_ready(df).schema).json(path).count()))
     spark = next(iter(outputs.values())).sparkSession
     return spark.createDataFrame(manifest, "output string, path string, rows long")
 
 
-def _json_schema(df: DataFrame) -> str:
-    """Schema of ``sink_json``'s output (dates as text, decimals as doubles)."""
-    parts = []
-    for c, t in df.dtypes:
-        t = "string" if t == "date" else "double" if t.startswith("decimal") else t
-        parts.append(f"`{c}` {t}")
-    return ", ".join(parts)
+def export_changed(stats: DataFrame, baseline_path: str, mapping: DataFrame, outputs: Mapping[str, DataFrame], base: str,
+                   new_baseline_path: str, always: Sequence[str] = ()) -> DataFrame:
+    """One export run against a stored baseline: compare ``stats`` with it,
+    write the affected outputs, and only then store ``stats`` as the next
+    run's baseline (a fresh directory). Returns the manifest. A run that
+    fails leaves the old baseline, so the next one exports the same again;
+    without a change nothing but ``always`` is written."""
+    spark = stats.sparkSession
+    baseline = spark.read.schema(stats.schema).parquet(baseline_path)
+    affected = [r[0] for r in affected_outputs(detect_changes(stats, baseline), mapping, always).collect()]  # output names
+    manifest = export_outputs(outputs, base, only=affected)
+    write_snapshot(stats, new_baseline_path)
+    return manifest
 
 
 # K14
@@ -338,12 +364,21 @@ def inventory(frames: Mapping[str, DataFrame], source_of: Mapping[str, str]) ->
 def region_rollup_load(df: DataFrame, region: str, ts_text, measures: Sequence[str], meta: Sequence[str] = (),
                        order: str | None = None) -> DataFrame:
     """API grain → (region, date) sums with missing → 0, date = first 10 chars;
-    metadata from the first-seen row per group (``min_by`` on ``order``)."""
+    metadata from the first-seen row per group (least ``order``, ties by the
+    metadata itself). The raw rows are summed by hash per (region, date,
+    metadata), with the least order of each; only that small rollup is
+    compared row by row. ``order`` should be of fixed width (number, date,
+    decimal) for the hash aggregate."""
     d = F.try_to_date(F.substring(as_col(ts_text).cast("string"), 1, 10), "yyyy-MM-dd")
     src = df.withColumn("date", d)
-    aggs = [F.sum(F.coalesce(as_col(m), F.lit(0))).alias(m) for m in measures]
-    aggs += [F.min_by(as_col(m), as_col(order)).alias(m) for m in meta] if order else [F.first(m).alias(m) for m in meta]
-    return src.groupBy(region, "date").agg(*aggs)
+    sums = [F.sum(F.coalesce(as_col(m), F.lit(0))).alias(m) for m in measures]
+    if not meta:
+        return src.groupBy(region, "date").agg(*sums)
+    seen = F.min(as_col(order)) if order else F.lit(0)
+    fine = src.groupBy(region, "date", *meta).agg(*sums, seen.alias("__seen"))
+    rank = F.when(F.col("__seen").isNotNull(), F.struct("__seen", *meta))
+    return fine.groupBy(region, "date").agg(*[F.sum(m).alias(m) for m in measures],
+                                            *[F.min_by(F.col(m), rank).alias(m) for m in meta])
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from chronoframe.functions.common import as_col
 from chronoframe.functions.numeric import clip as clip_expr
 from chronoframe.functions.numeric import round_to
+from chronoframe.operators.shape import dense_grid
 
 
 def _keys(series) -> list:
@@ -104,22 +105,7 @@ def running_total(df: DataFrame, series, order: str, col: str, out: str = "cumul
 
 def dense_running_total(df: DataFrame, series: str, order: str, col: str, out: str = "cumulative") -> DataFrame:
     """Running total per type on a dense grid of all orders × types (absent = 0)."""
-    return running_total(_dense(df, series, order, col), series, order, col, out)
-
-
-def _dense(df: DataFrame, series: str, order: str, col: str) -> DataFrame:
-    """All (order, series) cells with absent = 0, in one pass over ``df``: one
-    row per order value holding a series → value map (bounded by the number of
-    series), the series set gathered by a window over those per-order rows,
-    then exploded with a map lookup. ``order`` is the time axis of a running
-    total (a calendar: days, weeks, months), so the window holds one row per
-    period; for an unbounded key use ``shape.dense_grid``."""
-    cells = df.groupBy(order, series).agg(F.sum(col).alias("__v"))
-    per = cells.groupBy(order).agg(F.map_from_entries(F.collect_list(F.struct(series, "__v"))).alias("__m"))
-    cats = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("__m")).over(Window.partitionBy()))))
-    grid = per.withColumn("__cats", cats).select(order, "__m", F.explode("__cats").alias(series))
-    zero = F.lit(0).cast(dict(cells.dtypes)["__v"])
-    return grid.select(order, series, F.coalesce(F.element_at("__m", F.col(series)), zero).alias(col))
+    return running_total(dense_grid(df, order, series, col), series, order, col, out)
 
 
 # W08
@@ -199,11 +185,12 @@ def step_interpolate(df: DataFrame, series, order: str, value: str, threshold: f
     cp = (F.col("__i") == 0) | (F.col("__i") == F.col("__n") - 1) | (F.abs(v - F.lag(value).over(w)) > threshold)
     s = s.withColumn("__cp", cp)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = w.rowsBetween(1, Window.unboundedFollowing)
+    # the next change point is the last one met from the other end: a growing frame, one step a row
+    fwd = wk.orderBy(F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("__x0", F.last(F.when(F.col("__cp"), F.col("__i")), True).over(back)) \
         .withColumn("__y0", F.last(F.when(F.col("__cp"), v), True).over(back)) \
-        .withColumn("__x1", F.first(F.when(F.col("__cp"), F.col("__i")), True).over(fwd)) \
-        .withColumn("__y1", F.first(F.when(F.col("__cp"), v), True).over(fwd))
+        .withColumn("__x1", F.last(F.when(F.col("__cp"), F.col("__i")), True).over(fwd)) \
+        .withColumn("__y1", F.last(F.when(F.col("__cp"), v), True).over(fwd))
     lerp = F.col("__y0") + (F.col("__y1") - F.col("__y0")) * (F.col("__i") - F.col("__x0")) / (F.col("__x1") - F.col("__x0"))
     val = F.when((F.col("__n") < 2) | F.col("__x1").isNull(), v.cast("double")).otherwise(lerp)
     return s.withColumn(out, val).drop("__i", "__n", "__cp", "__x0", "__y0", "__x1", "__y1")
@@ -286,23 +273,17 @@ def tail_n(df: DataFrame, order, n: int, newest_first: bool = False) -> DataFram
 def latest_per_series(df: DataFrame, series: str, date: str, value: str, out: str = "latest") -> DataFrame:
     """Each series' value on the *global* latest date (0 when absent there).
 
-    One pass: (series, date) sums (no extra shuffle on a rollup already
-    partitioned by those keys), then per series its last date and the value
-    there; the global latest date is a window over those per-series rows
-    (one row per series)."""
-    cells = df.groupBy(series, date).agg(F.sum(value).alias("__v"))
-    per = cells.groupBy(series).agg(F.max(date).alias("__last"), F.max_by("__v", date).alias("__v"))
-    top = F.max("__last").over(Window.partitionBy())
-    res = per.withColumn(out, F.when(F.col("__last") == top, F.col("__v")).otherwise(F.lit(0)))
-    return res.select(series, F.coalesce(F.col(out), F.lit(0)).cast(dict(cells.dtypes)["__v"]).alias(out))
+    The latest date is a one-row aggregate (a scalar subquery over the pruned
+    date column); the sums are one hash aggregate per series, of any number."""
+    top = df.select(F.max(date)).scalar()
+    per = df.groupBy(series).agg(F.sum(F.when(F.col(date) == top, F.col(value))).alias(out))
+    return per.select(series, F.coalesce(F.col(out), F.lit(0).cast(dict(per.dtypes)[out])).alias(out))
 
 
 # W20
 def top_n_latest_year(df: DataFrame, year: str, measure: str, n: int = 10, tie: str | None = None) -> DataFrame:
-    """Top n rows of the latest year present. ``df`` is a (entity, year)
-    rollup: the latest year is a window over its rows, so the source behind
-    the rollup is read once (a scalar subquery would re-derive the rollup)."""
-    latest = F.max(year).over(Window.partitionBy())
-    top = df.withColumn("__latest", latest).filter(F.col(year) == F.col("__latest")).drop("__latest")
+    """Top n rows of the latest year present; that year is a one-row
+    aggregate, so no task sees more than its share of the rows."""
+    top = df.filter(F.col(year) == df.select(F.max(year)).scalar())
     order = [F.col(measure).desc()] + ([F.col(tie).asc()] if tie else [])
     return top.orderBy(*order).limit(n)

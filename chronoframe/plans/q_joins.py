@@ -53,7 +53,7 @@ def j02(spark, sf):
     f"COUNT(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)
     + " FROM events WHERE event_type IN (" + ", ".join(f"'{t}'" for t in EVENT_TYPES) + ") GROUP BY 1")
 def j03(spark, sf):
-    """Four daily series merged by date in one union + pivot, absent = 0."""
+    """Four daily series of one table merged by date in one scan and a pivot, absent = 0."""
     return _merged_daily_types(spark, sf)
 
 

@@ -381,6 +381,26 @@ def k13_export(spark, sf):
     return manifest.select("output", "rows")
 
 
+@query("K13_second_run", SQL_CHANGES + """, affected AS (
+  SELECT DISTINCT output FROM (VALUES """ + ", ".join(f"('{k}', '{o}')" for k, o in OUTPUTS)
+       + """) m(key, output) WHERE key IN (SELECT key FROM c WHERE reason <> 'unchanged'))
+SELECT 1 AS run, COUNT(*) AS outputs FROM affected UNION ALL SELECT 2, CAST(0 AS BIGINT)
+""")
+def k13_second_run(spark, sf):
+    """Two export runs against the stored baseline: the first writes what changed and stores the new
+    baseline, the second finds no change and writes nothing."""
+    mapping = spark.createDataFrame(OUTPUTS, "key string, output string")
+    paths = [loads.write_snapshot(_baseline(spark, sf), scratch_path(spark, "baseline"))]
+    runs = None
+    for run in (1, 2):
+        paths.append(scratch_path(spark, "baseline"))
+        manifest = loads.export_changed(_stats(spark, sf), paths[-2], mapping, _outputs(spark, sf),
+                                        scratch_path(spark, "export"), paths[-1])
+        row = manifest.agg(F.count(F.lit(1)).alias("outputs")).select(F.lit(run).alias("run"), "outputs")
+        runs = row if runs is None else runs.unionByName(row)
+    return runs
+
+
 @query("K14_refresh_rollup", f"""
 SELECT l_returnflag, sd, qty, qty - lag(qty) OVER w AS change,
   CASE WHEN lag(qty) OVER w <> 0 THEN (qty - lag(qty) OVER w) / lag(qty) OVER w * 100.0 END AS change_pct
@@ -454,6 +474,7 @@ def k17(spark, sf):
                     F.col("l_quantity").alias("tonnes"), dec("l_extendedprice").alias("eur"),
                     F.when(F.col("l_returnflag") == "N", F.lit(None)).otherwise(dec("l_tax")).alias("usd"),
                     F.col("l_linestatus").alias("status"),
-                    F.struct("l_orderkey", "l_linenumber", "l_linestatus").alias("seen"))  # total order: keys repeat in the data
+                    (F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)")
+                     + F.col("l_linenumber").cast("decimal(10,0)")).alias("seen"))  # (order, line) as one number; ties by status
     r = loads.region_rollup_load(api, "region", "ts_text", ["tonnes", "eur", "usd"], ["status"], order="seen")
     return r.withColumn("eur", F.col("eur").cast("double")).withColumn("usd", F.col("usd").cast("double"))

@@ -243,19 +243,21 @@ def w14(spark, sf):
 
 
 @query("W15_change_points", f"""
-WITH RECURSIVE s AS (SELECT sd, CAST(n_lines AS DOUBLE) AS v, row_number() OVER (ORDER BY sd) AS rn FROM ({SQL_DAILY_QTY})),
-r AS (SELECT rn, sd, v, v AS last, true AS emit FROM s WHERE rn = 1
+WITH RECURSIVE s AS (SELECT o_orderpriority, od, CAST(n_orders AS DOUBLE) AS v,
+                            row_number() OVER (PARTITION BY o_orderpriority ORDER BY od) AS rn
+                     FROM ({SQL_DAILY_ORDERS_BY_PRIORITY})),
+r AS (SELECT o_orderpriority, rn, od, v, v AS last, true AS emit FROM s WHERE rn = 1
       UNION ALL
-      SELECT s.rn, s.sd, s.v,
-        CASE WHEN abs(s.v - r.last) > 10 OR r.last < 0 THEN s.v ELSE r.last END,
-        abs(s.v - r.last) > 10 OR r.last < 0
-      FROM r JOIN s ON s.rn = r.rn + 1)
-SELECT sd, v AS n_lines FROM r WHERE emit
+      SELECT s.o_orderpriority, s.rn, s.od, s.v,
+        CASE WHEN abs(s.v - r.last) > 1 OR r.last < 0 THEN s.v ELSE r.last END,
+        abs(s.v - r.last) > 1 OR r.last < 0
+      FROM r JOIN s ON s.o_orderpriority = r.o_orderpriority AND s.rn = r.rn + 1)
+SELECT o_orderpriority, od, v AS n_orders FROM r WHERE emit
 """)
 def w15(spark, sf):
-    """Rows differing by > 10 from the last *emitted* value (sequential state; applyInPandas)."""
-    d = daily_qty(spark, sf).select("sd", F.col("n_lines").cast("double").alias("n_lines"))
-    return series.change_points(d, None, "sd", "n_lines", 10.0)
+    """Per priority, days differing by > 1 from the last *emitted* value (sequential state; applyInPandas per series)."""
+    d = daily_orders_by_priority(spark, sf).withColumn("n_orders", F.col("n_orders").cast("double"))
+    return series.change_points(d, "o_orderpriority", "od", "n_orders", 1.0)
 
 
 @query("W16_max_normalise", "WITH m AS (SELECT CAST(ts AS DATE) AS d, " + ", ".join(

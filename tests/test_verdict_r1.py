@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chronoframe.functions import numeric as fx
-from chronoframe.operators import aggs, joins, series
+from chronoframe.operators import aggs, joins, loads, series
 from chronoframe.sources import files
 from tests.conftest import SF_SMALL
 
@@ -72,3 +72,26 @@ def test_workers_need_no_package(spark, tmp_path):
     code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as e; q = e.queries(); "
             "assert 'pipeline' not in q and 'X03_stream_bucket_count' in q and set(e.oracle_sql()) <= set(q)" % str(tmp_path))
     subprocess.run([sys.executable, "-c", code], check=True, cwd="/tmp")
+
+
+def test_json_sink_converts_nested_values(spark, tmp_path):
+    df = spark.sql("""SELECT named_struct('d', DATE'2024-01-02', 'x', CAST(1.50 AS DECIMAL(9,2))) AS s,
+      array(DATE'2024-01-03', NULL) AS a, map('k', CAST(2 AS DECIMAL(5,1))) AS m, CAST(NULL AS STRUCT<d: DATE>) AS n, 7 AS i""")
+    path = loads.sink_json(df, str(tmp_path / "out"))
+    text = spark.read.text(path).first()[0]
+    assert text == '{"s":{"d":"2024-01-02","x":1.5},"a":["2024-01-03",null],"m":{"k":2.0},"i":7}'
+
+
+def test_update_from_last_wins(spark):
+    target = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 9.0)], "k int, v double")
+    side = spark.createDataFrame([(1, 5.0, 1), (1, 3.0, 2), (2, 4.0, 1), (2, None, 2)], "k int, v double, o int")
+    got = {r["k"]: r["v"] for r in loads.update_from(target, side, "k", "v", order="o").collect()}
+    assert got == {1: 3.0, 2: None, 3: 9.0}
+
+
+def test_region_rollup_metadata_of_the_first_seen(spark):
+    rows = [("r", "2024-01-01T00", 1.0, "b", 2), ("r", "2024-01-01T05", None, "a", 3), ("r", "2024-01-01T09", 2.0, "c", 1),
+            ("r", "2024-01-01T09", 4.0, "d", None), ("q", "2024-01-01", None, None, None)]
+    df = spark.createDataFrame(rows, "region string, ts string, v double, m string, o int")
+    got = {r["region"]: (r["v"], r["m"]) for r in loads.region_rollup_load(df, "region", "ts", ["v"], ["m"], "o").collect()}
+    assert got == {"r": (7.0, "c"), "q": (0.0, None)}
