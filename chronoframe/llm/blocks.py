@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm.hashing import give_back
+
 BLOCK_BYTES = 8 << 20
 ID_NULL = np.iinfo(np.int64).max  # a null id sorts behind all others
 
@@ -98,7 +100,10 @@ def bounds(sorted_groups: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def ask(blocks: DataFrame, question: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
     """Each block's messages: ``question(block, rows in fixed order)``."""
     def run(table: pa.Table) -> pa.Table:
-        return question(table.column("__blk")[0].as_py(), ordered(table))
+        try:
+            return question(table.column("__blk")[0].as_py(), ordered(table))
+        finally:
+            give_back()
     return blocks.groupBy("__blk").applyInArrow(run, MESSAGE)
 
 
@@ -109,7 +114,10 @@ def answer(asked: DataFrame, reply: Callable[[int, list[int], list[bytes]], list
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("__blk")
         blks = table.column("__blk").to_pylist()
-        got = reply(table.column("__grp")[0].as_py(), blks, [x.as_buffer() for x in table.column("__msg")])
+        try:
+            got = reply(table.column("__grp")[0].as_py(), blks, [x.as_buffer() for x in table.column("__msg")])
+        finally:
+            give_back()
         group = table.column("__grp")[0].as_py()
         to = blks if totals is None else [*blks, totals]
         return pa.table({"__grp": pa.array([group] * len(to), pa.int64()), "__blk": pa.array(to, pa.int64()),
@@ -124,5 +132,8 @@ def conclude(blocks: DataFrame, answered: DataFrame,
         replies = dict(zip(right.column("__grp").to_pylist(),
                            [x.as_buffer() for x in right.column("__msg")], strict=True))
         blk = (left if left.num_rows else right).column("__blk")[0].as_py()
-        return verdict(blk, ordered(left), replies)
+        try:
+            return verdict(blk, ordered(left), replies)
+        finally:
+            give_back()
     return blocks.groupBy("__blk").cogroup(answered.groupBy("__blk")).applyInArrow(run, schema)

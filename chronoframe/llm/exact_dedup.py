@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.hashing import SLICE_BYTES, mix64
+from chronoframe.llm.hashing import SLICE_BYTES, give_back, mix64
 from chronoframe.session import cut_lineage
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
@@ -110,6 +110,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [pa.array(np.arange(seen, seen + n)), batch.column(0), pa.array(shas, pa.string()),
                  pa.array(chunks, _CHUNK_PA)], ["__row", "doc_id", "text_sha256", "chunks"])
             seen += n
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
                        ).mapInArrow(run, f"__row long, doc_id long, text_sha256 string, chunks {CHUNK}")

@@ -8,6 +8,7 @@ arrays stay small however large the batch or a single text is.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,15 @@ _BASE = 0x9E3779B97F4A7C55  # odd: a unit modulo 2**64
 _MUL1, _MUL2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on, idle or for
+    other stages, and would hold the most that any of their tasks needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser: spreads every input bit over the 64 output bits."""
     x = x.astype(np.uint64, copy=True)

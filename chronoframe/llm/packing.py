@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm.hashing import give_back
 from chronoframe.session import scratch_path
 
 WINDOW = 4096
@@ -96,6 +97,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n),
                      pa.array(ids, pa.binary())], ["doc_id", "part", "start", "n", "ids"])
+        del words
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
                        ).mapInArrow(run, "doc_id long, part long, start long, n long, ids binary")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.hashing import SLICE_BYTES, _slices, hashed_words, string_buffers
+from chronoframe.llm.hashing import SLICE_BYTES, _slices, give_back, hashed_words, string_buffers
 
 MIN_WORDS = 50  # a shorter text fails
 WINDOW, MAX_WINDOW_PERCENT = 3, 50  # share of words in windows found twice
@@ -154,6 +154,7 @@ def repetition_filter(docs: DataFrame, text_col: str = "text", **limits: int) ->
             _, off = string_buffers(text)
             for i, j in _slices(off, SLICE_BYTES):
                 yield batch.slice(i, j - i).filter(pa.array(measures(text.slice(i, j - i), **limits)["kept"]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -177,13 +177,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         got = [unpack(x) for x in blobs]
         path = np.concatenate([p for p, _, _ in got])
         doc = np.concatenate([np.repeat(np.cumsum(i), n) for _, i, n in got])
+        cut = np.cumsum([len(p) for p, _, _ in got])[:-1]
+        del got
         order = np.argsort(path, kind="stable")
-        leaf = path[order]
-        node = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
-        least = np.minimum.reduceat(doc[order], node)
+        path, doc = path[order], doc[order]
+        node = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        least = np.minimum.reduceat(doc, node)
         later = np.empty(len(path), bool)
-        later[order] = doc[order] > np.repeat(least, np.diff(np.append(node, len(leaf))))
-        cut = np.cumsum([len(p) for p, _, _ in got])[:-1]
+        later[order] = doc > np.repeat(least, np.diff(np.append(node, len(path))))
         return [pack(np.packbits(x)) for x in np.split(later, cut)]
 
     row_type = blocks.schema["__row"].dataType
