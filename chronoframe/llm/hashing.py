@@ -84,10 +84,12 @@ def _slices(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def hashed_words(col, lower: bool = False, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(col, lower: bool = False, table: np.ndarray | None = None,
+                 head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of a string column, and for each row where
     its words start (length ``rows + 1``). ``lower`` folds A-Z first; a
-    ``table`` of 256 bytes replaces every byte first."""
+    ``table`` of 256 bytes replaces every byte first. With ``head`` only the
+    first so many bytes of a word count."""
     raw, off = string_buffers(col)
     hashes, counts = [], [np.zeros(0, np.int64)]
     for i, j in _slices(off, SLICE_BYTES):
@@ -105,7 +107,7 @@ def hashed_words(col, lower: bool = False, table: np.ndarray | None = None) -> t
         upto = np.searchsorted(start, ends_at, "left")
         counts.append(np.diff(upto, prepend=0))
         if len(start):
-            length = end - start
+            length = end - start if head is None else np.minimum(end - start, head)
             inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
             value = padded[np.repeat(start, length) + inside].astype(np.uint64) + np.uint64(1)
             value *= powers(_BASE, int(length.max()))[inside]

@@ -1,7 +1,10 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
 Features are the distinct words, word pairs and skip-grams (a word and the
-next but one) of a text, hashed. Learning rates are kept per coordinate and
+next but one) of a text, hashed. Inflected forms of one word would each be a
+feature of its own, so the words are counted by their stems too (their first
+``STEMS`` bytes): a stem is a feature, and again at twice, four times and
+eight times. Learning rates are kept per coordinate and
 the L1 term leaves most weights exactly zero, so the model that is sent to the
 executors is a short list of coordinates, ``2 ** DIM_BITS`` at the very most.
 The model is fitted on a bounded, evenly drawn sample of labelled texts, in
@@ -24,6 +27,7 @@ SAMPLE = 2500  # labelled texts of each class, at most
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 20.0, 0.1, 6
 MAX_CLASS_WEIGHT = 10.0
 THRESHOLD = 0.7
+STEMS, STEM_LEVELS = (5, 7), 4
 _WORD_BYTES = np.array([32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256)],
                        np.uint8)  # lower case, ASCII punctuation as blanks
 
@@ -39,7 +43,14 @@ def features(column, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray]:
             same = row[gap:] == row[:-gap]
             cols.append(mix64(words[:-gap] * np.uint64(3) + words[gap:] * np.uint64(5) + np.uint64(seed))[same])
             rows.append(row[gap:][same])
-    key = (np.concatenate(rows).astype(np.int64) << bits) | (np.concatenate(cols) >> np.uint64(64 - bits)).astype(np.int64)
+    for head in STEMS:
+        short, _ = hashed_words(column, table=_WORD_BYTES, head=head)
+        stem, times = np.unique((row.astype(np.uint64) << np.uint64(40)) | (short >> np.uint64(24)), return_counts=True)
+        for level in range(STEM_LEVELS):
+            stem, times = stem[times >= 1 << level], times[times >= 1 << level]
+            cols.append(mix64((stem & np.uint64((1 << 40) - 1)) * np.uint64(7) + np.uint64(0x2F0B4C7 + 64 * head + level)))
+            rows.append((stem >> np.uint64(40)).astype(np.int64))
+    key = (np.concatenate(rows) << bits) | (np.concatenate(cols) >> np.uint64(64 - bits)).astype(np.int64)
     key = np.unique(key)
     return key & ((1 << bits) - 1), np.searchsorted(key >> bits, np.arange(n + 1))
 
