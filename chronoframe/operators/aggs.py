@@ -232,11 +232,10 @@ def superset_member(df: DataFrame, member: str, members, name: str, dims: Sequen
     a member is emitted under its own name and under ``name`` (``explode``),
     and one aggregation by (dims, member) reproduces the original rows and
     builds the synthetic ones. ``members`` is a list (literal ``isin``) or a
-    one-column DataFrame (left join, broadcast after a size check)."""
-    from chronoframe.session import maybe_broadcast
+    one-column DataFrame (left join; the planner broadcasts it below its size threshold)."""
     if isinstance(members, DataFrame):
         m = members.select(F.col(members.columns[0]).alias("__m")).distinct().withColumn("__in", F.lit(True))
-        flagged = df.join(maybe_broadcast(m), as_col(member) == F.col("__m"), "left") \
+        flagged = df.join(m, as_col(member) == F.col("__m"), "left") \
             .withColumn("__in", F.coalesce("__in", F.lit(False))).drop("__m")
     else:
         flagged = df.withColumn("__in", as_col(member).isin(list(members)))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from chronoframe import functions as fx
 from chronoframe.functions.common import as_col
 from chronoframe.functions.dates import DOTTED_DMY, ISO_PREFIX
-from chronoframe.session import maybe_broadcast
 
 
 # P01
@@ -44,12 +43,11 @@ def dict_label(df: DataFrame, code: str, dictionary: DataFrame, dict_code: str,
                out: str = "label", fallback: str = "Code ") -> DataFrame:
     """Dictionary lookup with a fallback of ``fallback || code``.
 
-    The dictionary side is broadcast only after a bounded row count proves it
-    small; a large dictionary falls back to a planner-chosen join.
+    Of several labels of one code the least counts. The planner broadcasts the
+    dictionary when its statistics are below the threshold.
     """
-    d = dictionary.select(F.col(dict_code).alias("__code"), F.col(dict_label_col).alias("__label")) \
-        .dropDuplicates(["__code"])
-    joined = df.join(maybe_broadcast(d), as_col(code) == F.col("__code"), "left")
+    d = dictionary.groupBy(F.col(dict_code).alias("__code")).agg(F.min(dict_label_col).alias("__label"))
+    joined = df.join(d, as_col(code) == F.col("__code"), "left")
     return joined.withColumn(out, F.coalesce(F.col("__label"), F.concat(F.lit(fallback), as_col(code).cast("string")))) \
         .drop("__code", "__label")
 
@@ -105,7 +103,7 @@ def filter_int_range(df: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
 # P09
 def filter_in_set(df: DataFrame, col: str, values) -> DataFrame:
     """Set membership; an empty set selects nothing. A DataFrame of values is
-    applied as a semi join (broadcast only when proven small)."""
+    applied as a semi join (AQE broadcasts a small set)."""
     if isinstance(values, DataFrame):
         v = values.select(F.col(values.columns[0]).alias("__v")).distinct()
         return df.join(v, as_col(col) == F.col("__v"), "left_semi")  # AQE broadcasts a small set
@@ -262,9 +260,10 @@ def trim_key(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def name_crosswalk(df: DataFrame, col: str, mapping: DataFrame, src: str, dst: str, exclude: Iterable[str] = (),
                    out: str | None = None) -> DataFrame:
     """Map names through a crosswalk (identity when unmapped), then drop the
-    excluded names. The crosswalk is data, joined with a size-checked broadcast."""
-    m = mapping.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).dropDuplicates(["__src"])
-    res = df.join(maybe_broadcast(m), as_col(col) == F.col("__src"), "left") \
+    excluded names. The crosswalk is data; of several targets of one name the
+    least counts."""
+    m = mapping.groupBy(F.col(src).alias("__src")).agg(F.min(dst).alias("__dst"))
+    res = df.join(m, as_col(col) == F.col("__src"), "left") \
         .withColumn(out or col, F.coalesce(F.col("__dst"), as_col(col))).drop("__src", "__dst")
     ex = list(exclude)
     if ex:
@@ -279,22 +278,22 @@ def name_crosswalk_select(df: DataFrame, col: str, selection, mapping: DataFrame
     through the crosswalk (identity when unmapped), always add the reference
     members ``include`` (target vocabulary), then report ``col`` mapped back
     to the source vocabulary. ``selection`` is a list or a one-column
-    DataFrame; the selected set and the crosswalk are joined with size-checked
-    broadcasts, the target rows are filtered by a semi join."""
+    DataFrame; the target rows are filtered by a semi join. Of several names
+    that one name maps to, either way, the least counts."""
     spark = df.sparkSession
     sel = selection.select(F.col(selection.columns[0]).alias("__a")) if isinstance(selection, DataFrame) else \
         spark.createDataFrame([(v,) for v in selection], "__a string")
     ex = list(exclude)
     if ex:
         sel = sel.filter(~F.col("__a").isin(ex))
-    fwd = mapping.select(F.col(src).alias("__a"), F.col(dst).alias("__b")).dropDuplicates(["__a"])
-    wanted = sel.join(maybe_broadcast(fwd), "__a", "left").select(F.coalesce("__b", "__a").alias("__b"))
+    fwd = mapping.groupBy(F.col(src).alias("__a")).agg(F.min(dst).alias("__b"))
+    wanted = sel.join(fwd, "__a", "left").select(F.coalesce("__b", "__a").alias("__b"))
     inc = list(include)
     if inc:
         wanted = wanted.unionByName(spark.createDataFrame([(v,) for v in inc], "__b string"))
     picked = df.join(wanted.distinct(), as_col(col) == F.col("__b"), "left_semi")
-    back = mapping.select(F.col(dst).alias("__b"), F.col(src).alias("__a")).dropDuplicates(["__b"])
-    out = picked.join(maybe_broadcast(back), as_col(col) == F.col("__b"), "left")
+    back = mapping.groupBy(F.col(dst).alias("__b")).agg(F.min(src).alias("__a"))
+    out = picked.join(back, as_col(col) == F.col("__b"), "left")
     return out.withColumn(col, F.coalesce(F.col("__a"), as_col(col))).drop("__a", "__b")
 
 

@@ -1,8 +1,8 @@
 """Join operators.
 
 Both sides are pre-aggregated before outer joins (Catalyst does not push an
-aggregate below a full outer join). Dictionary sides are broadcast only
-behind a bounded row count; everything else is left to the planner / AQE.
+aggregate below a full outer join). No side is hinted: the planner and
+AQE broadcast what their sizes allow.
 """
 
 from __future__ import annotations

@@ -114,29 +114,23 @@ def nested_document(parts: Mapping[str, tuple]) -> DataFrame:
 
 
 # K04
-def append_ignore(target: DataFrame, batch: DataFrame, keys, order: str | None = None) -> DataFrame:
+def append_ignore(target: DataFrame, batch: DataFrame, keys, order: str) -> DataFrame:
     """``INSERT … ON CONFLICT DO NOTHING``: the first batch row per key (by
     ``order``) is kept, keys already in the target are skipped. Dedupe is a
     ``min_by`` aggregation, so a key repeated in a third of the batch is
     reduced map-side instead of sorted in one task."""
     k = _k(keys)
     cols = [c for c in batch.columns if c not in k]
-    if order:
-        first = batch.groupBy(*k).agg(F.min_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
-    else:
-        first = batch.dropDuplicates(k)
+    first = batch.groupBy(*k).agg(F.min_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
     fresh = first.join(target.select(*k), k, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
-def append_ignore_delta(target: DataFrame, batch: DataFrame, keys, order: str | None = None) -> DataFrame:
+def append_ignore_delta(target: DataFrame, batch: DataFrame, keys, order: str) -> DataFrame:
     """Only the rows ``append_ignore`` would add (first per new key)."""
     k = _k(keys)
     cols = [c for c in batch.columns if c not in k]
-    if order:
-        first = batch.groupBy(*k).agg(F.min_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
-    else:
-        first = batch.dropDuplicates(k)
+    first = batch.groupBy(*k).agg(F.min_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
     return first.join(target.select(*k), k, "left_anti").select(*target.columns)
 
 
@@ -161,19 +155,16 @@ def delete_range_load(target: DataFrame, batch: DataFrame, date: str) -> DataFra
 
 
 # K07
-def upsert(target: DataFrame, batch: DataFrame, keys, order: str | None = None) -> DataFrame:
+def upsert(target: DataFrame, batch: DataFrame, keys, order: str) -> DataFrame:
     """Insert-or-update by key; the last batch row per key (by ``order``) wins."""
     k = _k(keys)
     cols = [c for c in batch.columns if c not in k]
-    if order:
-        last = batch.groupBy(*k).agg(F.max_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
-    else:
-        last = batch.dropDuplicates(k)
+    last = batch.groupBy(*k).agg(F.max_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
     kept = target.join(last.select(*k), k, "left_anti")
     return kept.unionByName(last.select(*target.columns))
 
 
-def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str | None, partition_by: Sequence[str],
+def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str, partition_by: Sequence[str],
                       staging: str, schema=None) -> str:
     """Upsert touching only the partitions the batch lands in. The touched
     partition values select the target partitions (a semi join on partition
@@ -186,7 +177,7 @@ def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str | Non
     target = reader.parquet(target_path)  # pass ``schema`` when the table may hold no files yet
     touched = batch.select(*partition_by).distinct()
     current = target.join(touched, list(partition_by), "left_semi")
-    merged = upsert(current, batch.select(*target.columns, *([order] if order and order not in target.columns else [])),
+    merged = upsert(current, batch.select(*target.columns, *([order] if order not in target.columns else [])),
                     keys, order)
     return commit_partitions(merged, target_path, partition_by, staging)
 

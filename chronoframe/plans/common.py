@@ -117,13 +117,11 @@ def sql_daily_events(event_type: str | None = None) -> str:
 def trade_pairs(spark, sf) -> DataFrame:
     """Directed (customer nation → supplier nation) pairs, one per line item:
     the reference's actor1 → actor2 event shape. Fact ⋈ fact on the order key
-    shuffles; dimensions are joined by the planner (AQE picks broadcast from
-    runtime sizes); the 25-row nation dictionary is broadcast after a check."""
-    from chronoframe.session import bounded
+    shuffles; dimensions are joined by the planner (statistics and AQE decide on
+    a broadcast)."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    hint = F.broadcast if bounded(n) else (lambda d: d)  # one size check serves both roles of the dictionary
-    cn = hint(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")))
-    sn = hint(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst")))
+    cn = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src"))
+    sn = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst"))
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity",
                                              "l_discount", "l_returnflag")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey",

@@ -11,7 +11,6 @@ from chronoframe.plans.common import (
     events, lineitem, orders, query, running_qty, table, trade_pairs,
 )
 from chronoframe.plans.q_clean import SQL_DIRTY_BALANCE, _dirty_balance
-from chronoframe.session import maybe_broadcast
 
 FOCAL = "NATION_3"
 EVENT_TYPES = ["click", "view", "purchase", "error"]
@@ -332,7 +331,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_
 def _nation_month(spark, sf):
     o = orders(spark, sf)
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    n = maybe_broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation")))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
     j = o.join(c, "o_custkey").join(n, "c_nationkey")
     return j.groupBy("nation", F.trunc("od", "month").alias("month")).agg(F.count(F.lit(1)).alias("orders"),
                                                                         F.sum("price").alias("revenue"))

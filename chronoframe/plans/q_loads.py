@@ -14,7 +14,7 @@ from chronoframe.operators import aggs, loads
 from chronoframe.plans.common import (
     SQL_DAILY_QTY_FLAG, daily_qty, dec, orders, query, table,
 )
-from chronoframe.session import maybe_broadcast, scratch_path
+from chronoframe.session import scratch_path
 
 ASOF = "2002-01-01"
 
@@ -339,8 +339,7 @@ def k13(spark, sf):
 def _outputs(spark, sf) -> dict:
     """The rollups the export writes, keyed by the output names of OUTPUTS."""
     o, e = orders(spark, sf), table(spark, sf, "events").withColumn("d", F.to_date("ts"))
-    n = maybe_broadcast(table(spark, sf, "nation").join(table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey"),
-                                                      "n_regionkey"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
     by_region = o.join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey") \
         .join(n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
     return {
@@ -465,8 +464,7 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey =
 def k17(spark, sf):
     """API grain (one row per line) rolled to (region, day): sums with missing → 0,
     date from the first 10 characters of a text timestamp, first-seen metadata."""
-    n = maybe_broadcast(table(spark, sf, "nation").join(table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey"),
-                                                      "n_regionkey"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
     li = table(spark, sf, "lineitem").join(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey") \
         .join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey") \
         .join(n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")

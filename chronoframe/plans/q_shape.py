@@ -8,7 +8,6 @@ from chronoframe.operators import aggs, shape
 from chronoframe.plans.common import dsum, events, lineitem, orders, query, table
 from chronoframe.plans.q_aggs import SQL_PAIR_STATS_R, _pair_stats_r
 from chronoframe.operators import joins
-from chronoframe.session import maybe_broadcast
 
 STATUSES = ["F", "O", "P"]
 EVENT_TYPES_ALL = ["click", "error", "purchase", "signup", "view"]
@@ -87,7 +86,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_
 
 def _nation_status(spark, sf):
     o = orders(spark, sf).join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
-    o = o.join(maybe_broadcast(table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")), "c_nationkey")
+    o = o.join(table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
     return o.groupBy(F.col("n_name").alias("nation"), F.col("o_orderstatus").alias("status")).agg(F.sum("price").alias("revenue"))
 
 

@@ -1,4 +1,4 @@
-"""Session helpers: builder defaults, shared scratch space, size-checked broadcast."""
+"""Session helpers: builder defaults, shared scratch space, size-bounded broadcast."""
 
 from __future__ import annotations
 
@@ -9,10 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Dictionaries and other lookup sides are broadcast only when a cheap
-# bounded count proves they are below this many rows; above it the join
-# is left to the planner (sort-merge / AQE).
-BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "chronoframe") -> SparkSession:
@@ -77,23 +74,12 @@ def local_dir(path: str) -> str:
     return path
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops reading early)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast hint behind a size check; beyond it the planner decides.
-
-    Use it for small stored dictionaries (the check scans them once), or pass
-    ``known_rows`` when the size is known without a job (e.g. one row per
-    input file). Sides *derived* from fact tables are not checked this way —
-    that would cost an extra pass over the facts — they are left to AQE,
-    which measures the shuffled size at runtime and switches to a broadcast
-    join below ``spark.sql.adaptive.autoBroadcastJoinThreshold``."""
-    if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
-    return F.broadcast(df) if bounded(df, max_rows) else df
+def broadcast_below(df: DataFrame, size: int, limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint for a side whose ``size`` in bytes is known without a
+    job (e.g. from the file listing); above ``limit`` the planner decides.
+    All other sides are left to the planner and AQE, which broadcast below
+    ``spark.sql.autoBroadcastJoinThreshold``."""
+    return F.broadcast(df) if size <= limit else df
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

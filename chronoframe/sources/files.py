@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from chronoframe.session import maybe_broadcast
+from chronoframe.session import broadcast_below
 
 
 def _ddl(schema) -> str:
@@ -85,14 +85,20 @@ def _parse(lines: DataFrame, schema, value: str = "value") -> DataFrame:
     return parsed.select("__r.*")
 
 
+def _per_file(spark: SparkSession, path: str, side: DataFrame, rows: int) -> DataFrame:
+    """``side`` has at most ``rows`` rows a file, each a path and a position, so
+    the listing bounds its size in bytes. Broadcast, it spares the lines a
+    shuffle by file."""
+    return broadcast_below(side, rows * sum(len(f.encode()) + 64 for f in spark.read.text(path).inputFiles()))
+
+
 # S03
 def scan_csv_preamble(spark: SparkSession, path: str, marker: str, schema) -> DataFrame:
     """Skip everything up to and including the first line starting with
     ``marker`` (the header) in each file, parse the rest."""
     lines = _lines(spark, path)
     first = lines.filter(F.col("value").startswith(marker)).groupBy("__file").agg(F.min("__pos").alias("__hdr"))
-    n_files = len(spark.read.text(path).inputFiles())  # one marker row per file: size known from the listing
-    body = lines.join(maybe_broadcast(first, 1_000_000, n_files), "__file", "inner").filter(F.col("__pos") > F.col("__hdr"))
+    body = lines.join(_per_file(spark, path, first, 1), "__file", "inner").filter(F.col("__pos") > F.col("__hdr"))
     return _parse(body.filter(F.length("value") > 0), schema)
 
 
@@ -104,8 +110,7 @@ def scan_csv_tagrow(spark: SparkSession, path: str, schema, tag: str = "#") -> D
     w = Window.partitionBy("__file").orderBy("__pos")
     head = lines.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 2)  # per-file top-2 (group limit)
     drop = head.filter((F.col("__rn") == 1) | ((F.col("__rn") == 2) & F.col("value").startswith(tag))).select("__file", "__pos")
-    n_files = len(spark.read.text(path).inputFiles())  # at most two rows per file
-    body = lines.join(maybe_broadcast(drop, 2_000_000, 2 * n_files), ["__file", "__pos"], "left_anti")
+    body = lines.join(_per_file(spark, path, drop, 2), ["__file", "__pos"], "left_anti")
     return _parse(body.filter(F.length("value") > 0), schema)
 
 

@@ -129,8 +129,8 @@ def test_window_detector_is_not_vacuous(spark):
 
 
 def test_broadcast_hints_only_behind_a_size_check():
-    """``F.broadcast`` is used only inside ``session.maybe_broadcast`` (which
-    checks the size first); everything else goes through that helper or AQE.
+    """``F.broadcast`` is used only inside ``session.broadcast_below`` (for a
+    size in bytes known beforehand); everything else is left to the planner.
     The optional training-data folder hints only samples cut by a limit."""
     import pathlib
     root = pathlib.Path(__file__).resolve().parents[1] / "chronoframe"

@@ -6,13 +6,16 @@ import shutil
 import zipfile
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chronoframe.functions import numeric as fx
-from chronoframe.operators import aggs, joins, loads, series
+from chronoframe.operators import aggs, clean, joins, loads, series
+from chronoframe.session import broadcast_below
 from chronoframe.sources import files
 from tests.conftest import SF_SMALL
+from tests.plan_util import plan_text
 
 QUOTED = 'id,name,n\n1,"Acme ""East"", Ltd",5\n2,"two\nlines",6\n3,plain,7\n'
 EXPECTED = [(1, 'Acme "East", Ltd', 5), (2, "two\nlines", 6), (3, "plain", 7)]
@@ -95,3 +98,23 @@ def test_region_rollup_metadata_of_the_first_seen(spark):
     df = spark.createDataFrame(rows, "region string, ts string, v double, m string, o int")
     got = {r["region"]: (r["v"], r["m"]) for r in loads.region_rollup_load(df, "region", "ts", ["v"], ["m"], "o").collect()}
     assert got == {"r": (7.0, "c"), "q": (0.0, None)}
+
+
+def test_duplicate_dictionary_labels_give_one_row_each(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "code string")
+    labels = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "k string, name string")
+    assert sorted(r["label"] for r in clean.dict_label(df, "code", labels, "k", "name").collect()) == ["Code c", "x", "z"]
+    assert sorted(r["code"] for r in clean.name_crosswalk(df, "code", labels, "k", "name").collect()) == ["c", "x", "z"]
+
+
+def test_first_and_last_need_an_order(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, v int")
+    for load in (loads.append_ignore, loads.append_ignore_delta, loads.upsert):
+        with pytest.raises(TypeError):
+            load(df, df, "k")
+
+
+def test_only_a_side_of_known_size_is_hinted(spark):
+    df = spark.range(10)
+    assert "broadcast" in plan_text(df.join(broadcast_below(df, 10), "id"), "extended").lower().split("analyzed")[0]
+    assert broadcast_below(df, 11, limit=10) is df
