@@ -387,6 +387,30 @@ def test_quality_held_out(spark, nothing):
     assert quality(nothing, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_quality_hands_over_rows_of_the_whole_corpus(spark):
+    """A source without labels, whose ids have the largest hashes of 9,000: its metadata are learnt from pseudo-labels alone."""
+    rng = random.Random(5)
+    words = ["river", "stone", "market", "letter", "window", "garden", "winter", "answer", "people", "morning"]
+
+    def text(good: bool) -> str:
+        if good:
+            return " ".join(rng.choice(words) + str(rng.choice("abcdefghij")) * 2 for _ in range(40)) + "."
+        return "\n".join(["BUY NOW!!! $$$ 100% FREE ||| 555"] * 12)
+
+    order = [r["id"] for r in spark.range(9000).orderBy(F.xxhash64("id")).collect()]
+    rare, some = set(order[-300:]), set(order[:800])
+    rows = []
+    for i in range(9000):
+        source = "rare" if i in rare else rng.choice(["fine", "poor"])
+        good = rng.random() < {"rare": 0, "fine": 0.9, "poor": 0.1}[source]
+        rows.append((i, text(good), "en", source, 300, int(good)))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows if r[0] in some], "doc_id long, quality int")
+    got = {r["source"]: r["m"] for r in quality(docs, labels).join(docs.select("doc_id", "source"), "doc_id")
+           .groupBy("source").agg(F.avg("meta_score").alias("m")).collect()}
+    assert got["rare"] < 0.2 and got["poor"] < 0.2 and got["fine"] > 0.8
+
+
 def test_warc_round_trip(spark):
     rnd = random.Random(6)
     bodies = [None, "", "<p>x</p>", "é" * 50] + ["<p>%d</p>" % rnd.randrange(30) * rnd.randrange(1, 60) for _ in range(200)]
