@@ -8,7 +8,9 @@ eight times. Learning rates are kept per coordinate and
 the L1 term leaves most weights exactly zero, so the model that is sent to the
 executors is a short list of coordinates, ``2 ** DIM_BITS`` at the very most.
 The model is fitted on a bounded, evenly drawn sample of labelled texts, in
-one task and in a fixed order; every document is scored, in one scan.
+one task and in a fixed order; the scan turns these into coordinates, which are
+at most ``2 ** DIM_BITS`` bits of a text however long it is. Every document is
+scored, in one scan.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ _WORD_BYTES = np.array([32 if b < 128 and not chr(b).isalnum() else b + 32 if 65
                        np.uint8)  # lower case, ASCII punctuation as blanks
 
 
-def features(column, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(column, bits: int = DIM_BITS, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature coordinates of each text, and where each text's start."""
     words, at = hashed_words(column, table=_WORD_BYTES)
     n = len(at) - 1
@@ -43,7 +46,7 @@ def features(column, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray]:
             same = row[gap:] == row[:-gap]
             cols.append(mix64(words[:-gap] * np.uint64(3) + words[gap:] * np.uint64(5) + np.uint64(seed))[same])
             rows.append(row[gap:][same])
-    for head in STEMS:
+    for head in stems:
         short, _ = hashed_words(column, table=_WORD_BYTES, head=head)
         stem, times = np.unique((row.astype(np.uint64) << np.uint64(40)) | (short >> np.uint64(24)), return_counts=True)
         for level in range(STEM_LEVELS):
@@ -55,14 +58,29 @@ def features(column, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray]:
     return key & ((1 << bits) - 1), np.searchsorted(key >> bits, np.arange(n + 1))
 
 
+def packed(cols: np.ndarray, bits: int = DIM_BITS) -> bytes:
+    """Ascending coordinates as they are or as a bit for each of all, whichever is shorter."""
+    if 4 * len(cols) < 1 << bits >> 3:
+        return cols.astype("<i4").tobytes()
+    mask = np.zeros(1 << bits, bool)
+    mask[cols] = True
+    return np.packbits(mask).tobytes()
+
+
+def unpacked(raw, bits: int = DIM_BITS) -> np.ndarray:
+    if len(raw) < 1 << bits >> 3:
+        return np.frombuffer(raw, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
 def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def ftrl(cols: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = DIM_BITS, epochs: int = EPOCHS,
+def ftrl(rows: list, labels: np.ndarray, bits: int = DIM_BITS, epochs: int = EPOCHS,
          alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2,
          max_weight: float = MAX_CLASS_WEIGHT) -> tuple[np.ndarray, float]:
-    """Weights and bias after passes over the rows in their order. The rarer class weighs as much as the other, up to ``max_weight`` a row."""
+    """Weights and bias after passes over the packed rows in their order. The rarer class weighs as much as the other, up to ``max_weight`` a row."""
     ones = max(labels.sum(), 1.0)
     heavy = np.clip((len(labels) - ones) / ones, 1 / max_weight, max_weight)
     z, g2 = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -73,7 +91,7 @@ def ftrl(cols: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = DIM_B
 
     for _ in range(epochs):
         for r in range(len(labels)):
-            i = cols[at[r]:at[r + 1]]
+            i = unpacked(rows[r], bits)
             zi, ni = z[i], g2[i]
             w = weights(zi, ni)
             g = (_sigmoid(w.sum() + bias) - labels[r]) * (heavy if labels[r] else 1.0)
@@ -84,33 +102,44 @@ def ftrl(cols: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = DIM_B
     return weights(z, g2), bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero coordinates, their weights and the bias, from rows ``doc_id,
-    text`` and ``doc_id, label``. Of each class the ``sample`` labels of least
-    hash of their id are drawn (all, if there are fewer) before any text is
-    read, so what is sent to the scan of the texts is bounded. Without both
-    classes the model is the constant prior."""
+def coordinates(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = DIM_BITS) -> DataFrame:
+    """``doc_id, label, h, packed`` of the sample. Of each class the ``sample``
+    labels of least hash of their id are drawn (all, if there are fewer) before
+    any text is read, so what is sent to the scan of the texts is bounded; what
+    comes out of it is too, in rows and in bytes a row."""
     drawn = labels.where("label in (0, 1) and doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
     few = drawn.where("label = 0").orderBy("h", "doc_id").limit(sample).unionByName(
         drawn.where("label = 1").orderBy("h", "doc_id").limit(sample))
     both = docs.join(F.broadcast(few), "doc_id")  # 2 * sample rows of three numbers at most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, off = string_buffers(batch.column("text"))
+            for i, j in _slices(off, SLICE_BYTES):
+                own = batch.slice(i, j - i)
+                cols, at = features(own.column("text"), bits)
+                blobs = [packed(cols[a:b], bits) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "label", "h")), pa.array(blobs, pa.binary())],
+                                                 ["doc_id", "label", "h", "packed"])
+
+    return both.select("doc_id", "label", "h", "text").mapInArrow(run, "doc_id long, label int, h long, packed binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-zero coordinates, their weights and the bias, from rows ``doc_id,
+    text`` and ``doc_id, label``. Without both classes the model is the
+    constant prior."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
-        y = table.column("label").to_numpy().astype(float)
-        text = table.column("text").combine_chunks()
-        cols, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for i, j in _slices(string_buffers(text)[1], SLICE_BYTES):
-            own, at = features(text.slice(i, j - i), bits)
-            cols.append(own.astype(np.int32))
-            n.append(np.diff(at))
-        at = np.concatenate([[0], np.cumsum(np.concatenate(n))])
+        order = pc.sort_indices(table, [("h", "ascending"), ("doc_id", "ascending"), ("label", "ascending")]).to_pylist()
+        y = table.column("label").to_numpy()[order].astype(float)
+        blobs = [x.as_buffer() for x in table.column("packed")]
         both_seen = 0 < y.sum() < len(y)
-        w, bias = ftrl(np.concatenate(cols), at, y, bits) if both_seen else (np.zeros(1 << bits), float(4 * y.mean() - 2))
+        w, bias = ftrl([blobs[i] for i in order], y, bits) if both_seen else (np.zeros(1 << bits), float(4 * y.mean() - 2))
         used = np.flatnonzero(w)
         return pa.table({"i": pa.array(np.append(used, -1)), "w": pa.array(np.append(w[used], bias))})
 
-    got = both.groupBy(F.lit(1).alias("one")).applyInArrow(run, "i long, w double").collect()
+    got = coordinates(docs, labels, sample, bits).groupBy(F.lit(1).alias("one")).applyInArrow(run, "i long, w double").collect()
     pairs = sorted((r["i"], r["w"]) for r in got) or [(-1, 0.0)]
     return np.array([i for i, _ in pairs[1:]], np.int64), np.array([w for _, w in pairs[1:]]), pairs[0][1]
 

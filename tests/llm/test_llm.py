@@ -377,6 +377,22 @@ def test_toxicity_counts_stems():
     assert own("Governor!") == one and own("") == set()
 
 
+def test_samples_travel_as_bounded_features(spark):
+    """What reaches the fitting step has no texts: of one of 2 MB, the bits of its coordinates and 34 bytes of views."""
+    from chronoframe.llm import cotraining, toxicity as tox
+    rng = random.Random(9)
+    rows = [(0, " ".join(str(rng.random()) for _ in range(110_000))), (1, "some words"), (2, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, label int")
+    got = {r["doc_id"]: r for r in tox.coordinates(docs.select("doc_id", "text"), labels).collect()}
+    assert set(got[0].asDict()) == {"doc_id", "label", "h", "packed"} and len(rows[0][1]) > 1_900_000
+    assert len(got[0]["packed"]) == 1 << tox.DIM_BITS >> 3 and len(got[2]["packed"]) == 0
+    for i, text in rows:
+        assert np.array_equal(tox.unpacked(got[i]["packed"]), features(pa.array([text], pa.string()))[0])
+    seen = cotraining._written(docs, labels)
+    assert {len(r["view"]) for r in seen.collect()} == {cotraining.VIEW_BYTES} and "text" not in seen.columns
+
+
 def test_quality_held_out(spark, nothing):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
