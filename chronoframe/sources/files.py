@@ -14,6 +14,7 @@ import csv
 import io
 import itertools
 import re
+import sys
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -126,6 +127,7 @@ def scan_csv_in_zip(spark: SparkSession, path: str, member_regex: str, schema, e
         def line(record: list[str]) -> str:
             return ",".join('"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\r\n') else x for x in record)
 
+        csv.field_size_limit(sys.maxsize)  # a field may be as long as its member
         for pdf in it:
             for p, blob in zip(pdf["path"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(blob)) as zf:

@@ -41,6 +41,13 @@ def test_scan_zip_quoting(spark, tmp_path):
     assert sorted(map(tuple, files.scan_csv_in_zip(spark, str(tmp_path), r"\.csv$", DDL).collect())) == EXPECTED
 
 
+def test_scan_zip_long_field(spark, tmp_path):
+    long = "x," * 100_000
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.csv", f'a,b\n1,"{long}"\n')
+    assert list(map(tuple, files.scan_csv_in_zip(spark, str(tmp_path), r"\.csv$", "a int, b string").collect())) == [(1, long)]
+
+
 def test_line_readers_keep_doubled_quotes(spark, tmp_path):
     (tmp_path / "p.csv").write_text('note\nType,x\nA,"say ""hi"", you"\n')
     assert [tuple(r) for r in files.scan_csv_preamble(spark, str(tmp_path / "p.csv"), "Type,", "t string, x string").collect()] == [
