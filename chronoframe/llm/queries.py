@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoframe.llm import (bpe, cotraining, exact_dedup, interpolation, jaccard_join, packing, repetition,
+from chronoframe.llm import (bpe, centroids, cotraining, exact_dedup, interpolation, jaccard_join, packing, repetition,
                              substring_dedup, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op13_centroids": centroids.op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
