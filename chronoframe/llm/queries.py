@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoframe.llm import (bpe, centroids, cotraining, exact_dedup, interpolation, jaccard_join, packing, repetition,
-                             substring_dedup, suffix_dedup, toxicity, warc)
+from chronoframe.llm import (alignment, bpe, centroids, cotraining, exact_dedup, interpolation, jaccard_join, packing,
+                             repetition, substring_dedup, suffix_dedup, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_alignment": alignment.op11_alignment,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_centroids": centroids.op13_centroids,
     "pipeline": corpus_pipeline.run,
