@@ -86,9 +86,10 @@ def segments_of(raw: np.ndarray, at: np.ndarray, min_bytes: int, gram: int
 
 
 def anchored(texts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
-    """``t, copies, lo, n, anchor, seg``: the segments of each text, named by a digest of their bytes."""
-    schema = pa.schema([("t", pa.binary()), ("copies", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()),
-                        ("anchor", pa.int64()), ("seg", pa.binary())])
+    """``t1, t2, copies, at, anchor, s1, s2``: the segments of each text. ``at`` is the first
+    window and, in its low 16 bits, how many there are; ``s1, s2`` a digest of the segment's bytes."""
+    names = ["t1", "t2", "copies", "at", "anchor", "s1", "s2"]
+    schema = pa.schema([(k, pa.int64()) for k in names])
 
     def pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
         for i, j in _slices(off, PIECE_BYTES):
@@ -102,22 +103,23 @@ def anchored(texts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = string_buffers(batch.column(1))
+            raw, off = string_buffers(batch.column(0))
             for part, at, i, shift in pieces(raw, off):
-                row, first, counts, names = segments_of(part, at, min_bytes, gram)
+                row, first, counts, grams = segments_of(part, at, min_bytes, gram)
                 if not len(row):
                     continue
                 body = part.tobytes()
-                seg = [hashlib.blake2b(body[a:b], digest_size=16).digest()
-                       for a, b in zip(first.tolist(), (first + counts + min_bytes - 1).tolist(), strict=True)]
+                digests = [hashlib.blake2b(body[a:b], digest_size=16).digest()
+                           for a, b in zip(first.tolist(), (first + counts + min_bytes - 1).tolist(), strict=True)]
+                s = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 which = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(which), batch.column(2).take(which), pa.array(first - at[row] + shift),
-                     pa.array(counts.astype(np.int32)), pa.array(names), pa.array(seg, pa.binary())], schema=schema)
+                    [*(batch.column(k).take(which) for k in (1, 2, 3)),
+                     pa.array((first - at[row] + shift << 16) + counts), pa.array(grams),
+                     pa.array(np.ascontiguousarray(s[:, 0])), pa.array(np.ascontiguousarray(s[:, 1]))], schema=schema)
         give_back()
 
-    return texts.select("t", "text", "copies").mapInArrow(
-        run, "t binary, copies long, lo long, n int, anchor long, seg binary")
+    return texts.select("text", "t1", "t2", "copies").mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 RANGES = "array<struct<a:int,b:int>>"
@@ -125,7 +127,8 @@ _RANGES_PA = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def sorted_group(table: pa.Table, min_bytes: int) -> pa.Table:
-    """Segments of one group -> ``seg, ranges``: windows that occur again, found in its suffix array."""
+    """Segments of one group -> ``s1, s2, ranges``: windows that occur again, found in its suffix
+    array, of the segments that occur once as a whole."""
     weight = table.column("mult").to_numpy()
     counts = table.column("n").to_numpy().astype(np.int64)
     bodies = table.column("body").to_pylist()
@@ -136,7 +139,7 @@ def sorted_group(table: pa.Table, min_bytes: int) -> pa.Table:
     run = np.cumsum(shared < min_bytes) - 1
     segment = np.searchsorted(starts, order, "right") - 1
     total = np.bincount(run, weights=weight[segment].astype(np.float64))
-    again = np.sort(order[total[run] > 1])
+    again = np.sort(order[(total[run] > 1) & (weight[segment] == 1)])
     owner = np.searchsorted(starts, again, "right") - 1
     edge = np.ones(len(again), bool)
     edge[1:] = (again[1:] != again[:-1] + 1) | (owner[1:] != owner[:-1])
@@ -147,21 +150,30 @@ def sorted_group(table: pa.Table, min_bytes: int) -> pa.Table:
     b = pa.array((again[last] - starts[owner[first]] + 1).astype(np.int32))
     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)),
                                      pa.StructArray.from_arrays([a, b], ["a", "b"]))
-    return pa.table({"seg": table.column("seg").combine_chunks().take(pa.array(rows)), "ranges": lists.cast(_RANGES_PA)})
+    own = table.select(["s1", "s2"]).take(pa.array(rows, pa.int64()))
+    return own.append_column("ranges", lists.cast(_RANGES_PA))
 
 
 def repeated_windows(texts: DataFrame, groups: int, min_bytes: int, gram: int, class_segments: int) -> DataFrame:
-    """``t, lo, ranges``: ranges of windows, counted from ``lo``, that occur anywhere else."""
+    """``t1, t2, lo, ranges``: ranges of windows, counted from ``lo``, that occur anywhere else."""
     found = anchored(texts, min_bytes, gram)
-    one = found.groupBy("anchor", "seg").agg(F.sum("copies").alias("mult"), F.min(F.struct("t", "lo", "n")).alias("at"))
+    # most anchors are met once: eight bytes of each, combined before the shuffle, tell them apart
+    often = found.groupBy("anchor").agg(F.sum("copies").alias("uses")).where("uses > 1").select("anchor")
+    shared = found.join(often, "anchor")
+    one = shared.groupBy("s1", "s2").agg(F.sum("copies").alias("mult"),
+                                         *[F.first(k).alias(k) for k in ("anchor", "t1", "t2", "at")])
     kinds = one.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    known = one.join(kinds, "anchor").where("kinds > 1 OR mult > 1")
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").alias("b"))).cast(RANGES)
-    counted = known.where("mult > 1").select("seg", whole.alias("ranges"))  # every window of it occurs again
-    asked = known.where("kinds > 1").select("anchor", "seg", "mult", "kinds", "at.t", "at.lo", "at.n")
-    body = F.substring(F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), F.col("n") + (min_bytes - 1))
-    bodies = (texts.where("copies > 0").join(asked, "t")
-              .select("anchor", "seg", "mult", "kinds", "n", body.alias("body")))
+    known = one.join(kinds, "anchor")
+    n = F.col("at").bitwiseAND(0xFFFF).cast("int")
+    whole = F.array(F.struct(F.lit(0).alias("a"), n.alias("b"))).cast(RANGES)
+    counted = known.where("mult > 1").select("s1", "s2", whole.alias("ranges"))  # every window of it occurs again
+    asked = known.where("kinds > 1").select("anchor", "s1", "s2", "mult", "kinds", "t1", "t2",
+                                            F.shiftright("at", 16).alias("lo"), n.alias("n"))
+
+    def bodies(asked: DataFrame) -> DataFrame:
+        body = F.substring(F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), F.col("n") + (min_bytes - 1))
+        return (texts.where("copies > 0").join(asked, ["t1", "t2"])
+                .select("anchor", "s1", "s2", "mult", "n", body.alias("body")))
 
     def group(table: pa.Table) -> pa.Table:
         try:
@@ -169,31 +181,32 @@ def repeated_windows(texts: DataFrame, groups: int, min_bytes: int, gram: int, c
         finally:
             give_back()
 
-    in_groups = (bodies.where(F.col("kinds") <= class_segments)
-                 .withColumn("grp", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-                 .select("grp", "seg", "mult", "n", "body").groupBy("grp").applyInArrow(group, f"seg binary, ranges {RANGES}"))
+    in_groups = (bodies(asked.where(F.col("kinds") <= class_segments))
+                 .withColumn("grp", F.pmod(F.xxhash64("anchor"), F.lit(groups))).drop("anchor")
+                 .groupBy("grp").applyInArrow(group, f"s1 long, s2 long, ranges {RANGES}"))
     # anchors with more segments: each window by the digest of all its bytes, counted before any shuffle
-    single = (bodies.where(F.col("kinds") > class_segments)
-              .select("seg", "mult", "body", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
-              .select("seg", "mult", "a", F.sha2(F.substring("body", F.col("a") + 1, F.lit(min_bytes)), 256).alias("w")))
-    often = single.groupBy("w").agg(F.sum("mult").alias("uses")).where("uses > 1").select("w")
-    by_name = (single.join(often, "w").groupBy("seg")
+    single = (bodies(asked.where(F.col("kinds") > class_segments))
+              .select("s1", "s2", "mult", "body", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
+              .select("s1", "s2", "mult", "a", F.sha2(F.substring("body", F.col("a") + 1, F.lit(min_bytes)), 256).alias("w")))
+    repeated = single.groupBy("w").agg(F.sum("mult").alias("uses")).where("uses > 1").select("w")
+    by_name = (single.where("mult = 1").join(repeated, "w").groupBy("s1", "s2")
                .agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).cast(RANGES).alias("ranges")))
-    hits = counted.unionByName(in_groups.join(counted, "seg", "left_anti")).unionByName(
-        by_name.join(counted, "seg", "left_anti"))
-    return found.select("t", "lo", "seg").join(hits, "seg").select("t", "lo", "ranges")
+    hits = counted.unionByName(in_groups).unionByName(by_name)
+    # copies are read here too, so that this side of the join is the exchange that ``one`` reads
+    return shared.join(hits, ["s1", "s2"]).select("t1", "t2", F.shiftright("at", 16).alias("lo"),
+                                                  F.when(F.col("copies") > 0, F.col("ranges")).alias("ranges"))
 
 
 def without_spans(rows: DataFrame, min_bytes: int, keep_text: bool) -> DataFrame:
-    """``t, n_bytes, n_removed, spans, kept_sha256[, kept]`` of ``t, text, hits``."""
-    schema = pa.schema([("t", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+    """``t1, t2, n_bytes, n_removed, spans, kept_sha256[, kept]`` of ``t1, t2, text, hits``."""
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                         ("kept_sha256", pa.string()), *([("kept", pa.binary())] if keep_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = string_buffers(batch.column(1))
-            hits = batch.column(2)
+            raw, off = string_buffers(batch.column(2))
+            hits = batch.column(3)
             bound = hits.offsets.to_numpy()
             lows = hits.values.field("lo").to_numpy(zero_copy_only=False)
             ranges = hits.values.field("ranges")
@@ -222,12 +235,12 @@ def without_spans(rows: DataFrame, min_bytes: int, keep_text: bool) -> DataFrame
                 out[3].append(hashlib.sha256(kept).hexdigest())
                 out[4].append(kept)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, schema.field(k + 1).type) for k, v in enumerate(out[:5 if keep_text else 4]))],
+                [batch.column(0), batch.column(1), *(pa.array(v, schema.field(k + 2).type) for k, v in enumerate(out[:5 if keep_text else 4]))],
                 schema=schema)
         give_back()
 
-    return rows.select("t", "text", "hits").mapInArrow(
-        run, "t binary, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
+    return rows.select("t1", "t2", "text", "hits").mapInArrow(
+        run, "t1 long, t2 long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
         + (", kept binary" if keep_text else ""))
 
 
@@ -247,17 +260,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are not read. Segments of an anchor that more than ``class_segments``
     distinct ones share are decided by digests of their windows.
     """
+    name = F.sha2("text", 256)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                       F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-                      ).withColumn("t", F.unhex(F.sha2("text", 256)))
+                      ).select("doc_id", "text", *[F.conv(F.substring(name, k, 16), 16, -10).cast("long").alias(t)
+                                                   for t, k in (("t1", 1), ("t2", 17))])  # half of a SHA-256 in two numbers
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    texts = own.groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = own.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     windows = repeated_windows(texts, 1 + size // group_bytes, min_bytes, gram, class_segments)
-    per_text = windows.groupBy("t").agg(F.collect_list(F.struct("lo", "ranges")).alias("hits"))
+    per_text = windows.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "ranges")).alias("hits"))
     empty = F.array().cast(f"array<struct<lo:long,ranges:{RANGES}>>")
-    cut = without_spans(texts.where("copies > 0").join(per_text, "t", "left")
+    cut = without_spans(texts.where("copies > 0").join(per_text, ["t1", "t2"], "left")
                         .withColumn("hits", F.coalesce("hits", empty)), min_bytes, keep_text)
-    return own.select("doc_id", "t").join(cut, "t").drop("t")
+    return own.select("doc_id", "t1", "t2").join(cut, ["t1", "t2"]).drop("t1", "t2")
 
 
 def op12_suffix_dedup(spark, sf_dir: str) -> DataFrame:
