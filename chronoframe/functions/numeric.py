@@ -8,24 +8,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronoframe.functions.common import as_col
+from chronoframe.functions.exact import exact_number
 
-# Fixed value: the "looks numeric" pattern of the dirty-amount guard.
-PLAIN_NUMBER = r"^[0-9.]+$"
 # Text the float caster treats as missing.
 FLOAT_MISSING = ("", "nan", "NaN", "#N/A", "N/A", "None")
 
 
-def guarded_numeric(c, scale: int = 18) -> Column:
-    """Numeric value if the text matches ``^[0-9.]+$`` (and casts), else 0.
+def guarded_numeric(c, scale: int | None = None) -> Column:
+    """Numeric value if the text matches ``^[0-9.]+$`` (and is a number), else 0.
 
-    ``'1.2.3'`` passes the pattern but is not a number: ``try_cast`` makes it
-    NULL and the guard turns that into 0; negatives and ``1e6`` are 0 too.
-    Up to ``scale`` decimals are kept exactly.
+    ``'1.2.3'`` passes the pattern but is no number, so it is 0; negatives and
+    ``1e6`` are 0 too. The value is canonical decimal text, exact at any
+    length. With ``scale`` it is DECIMAL(38, scale), and NULL where that type
+    would lose a digit.
     """
-    c = as_col(c)
-    val = c.try_cast(f"decimal(38,{scale})")
-    return F.when(c.rlike(PLAIN_NUMBER), F.coalesce(val, F.lit(0).cast(f"decimal(38,{scale})"))) \
-        .otherwise(F.lit(0).cast(f"decimal(38,{scale})"))
+    exact = exact_number(c)
+    if scale is None:
+        return exact
+    decimals = F.length(exact) - F.length(F.substring_index(exact, ".", 1)) - 1  # -1 without a point
+    return F.when(decimals <= scale, exact.try_cast(f"decimal(38,{scale})"))
 
 
 def round_to(c, digits: int = 0, mode: str = "half_up") -> Column:

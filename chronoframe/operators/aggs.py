@@ -250,9 +250,28 @@ def superset_member(df: DataFrame, member: str, members, name: str, dims: Sequen
 
 
 # A21
-def value_fallback_sum(df: DataFrame, keys, text_col: str, out: str = "total", scale: int = 18) -> DataFrame:
-    return _grouped(df, keys).agg(F.sum(fx.guarded_numeric(text_col, scale)).alias(out),
-                                  F.count(F.lit(1)).alias("count"))
+def value_fallback_sum(df: DataFrame, keys, text_col: str, out: str = "total") -> DataFrame:
+    """Exact sum of plain decimal text (other text counts as 0) and the row count
+    of each group. ``out`` is canonical decimal text of any length; cast it to
+    double for the nearest double. Limbs of nine digits are summed, those that
+    nearly all numbers have as columns of one hash aggregate, further ones as
+    rows of their own; carries move once on the sums of a group."""
+    keyed = df.select(*_keys(keys), fx.exact_number(text_col).alias("__x"))
+    names = [f"`{c}`" for c in keyed.columns[:-1]]
+    inner = F.struct(F.lit(None).cast("int").alias("i"), *[fx.limb("__x", i).cast(fx.exact.SUM).alias(f"l{k}")
+                                                           for k, i in enumerate(fx.exact.INNER)])
+    zero = F.lit(0).cast(fx.exact.SUM)
+    more = F.transform(fx.outer_limbs("__x"), lambda e: F.struct(
+        e["i"].alias("i"), e["s"].alias("l0"), *[zero.alias(f"l{k}") for k in range(1, len(fx.exact.INNER))]))
+    sums = (keyed.select(*names, F.explode(F.concat(F.array(inner), more)).alias("e")).groupBy(*names, F.col("e.i").alias("__i"))
+            .agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"e.l{k}").cast(fx.exact.SUM).alias(f"__l{k}")
+                                                   for k in range(len(fx.exact.INNER))]))
+    entries = F.when(F.col("__i").isNull(), F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"__l{k}").alias("s")) for k, i in enumerate(fx.exact.INNER)])
+    ).otherwise(F.array(F.struct(F.col("__i").alias("i"), F.col("__l0").alias("s"))))
+    total = (sums.groupBy(*names) if names else sums.groupBy()).agg(
+        F.flatten(F.collect_list(entries)).alias("__e"), F.sum(F.when(F.col("__i").isNull(), F.col("__n"))).alias("count"))
+    return total.select(*names, fx.carried("__e").alias(out), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 # A22

@@ -41,7 +41,8 @@ def write_csv_files(df: DataFrame, name: str, head_lines, files: int | None = No
     cols = df.columns
     head = head_lines(",".join(cols))
     body = df.select(F.pmod(F.hash(*cols), F.lit(n)).alias("__f"), F.lit(len(head)).alias("__seq"),
-                     F.to_csv(F.struct(*cols), {"dateFormat": "yyyy-MM-dd"}).alias("value"))
+                     F.to_csv(F.struct(*cols), {"dateFormat": "yyyy-MM-dd", "escape": '"',
+                                                   "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("value"))
     heads = spark.range(n).select(F.col("id").cast("int").alias("__f"),  # generated on the executors, not the driver
                                   F.posexplode(F.array(*[F.lit(line) for line in head])).alias("__seq", "value"))
     out = heads.unionByName(body).repartition(n, "__f").sortWithinPartitions("__f", "__seq")

@@ -10,7 +10,7 @@ from chronoframe.plans.common import (
     SQL_DAILY_ORDERS, SQL_DAILY_QTY, SQL_PAIRS, SQL_RUNNING_QTY, daily_orders, daily_qty, dec, dsum,
     events, lineitem, orders, query, running_qty, table, trade_pairs,
 )
-from chronoframe.plans.q_clean import SQL_DIRTY_BALANCE, _dirty_balance
+from chronoframe.plans.q_clean import SQL_DIRTY_BALANCE, SQL_LONG_SIDES, _dirty_balance, long_amounts
 
 FOCAL = "NATION_3"
 EVENT_TYPES = ["click", "view", "purchase", "error"]
@@ -364,6 +364,20 @@ def a21(spark, sf):
     return r.withColumn("total", F.col("total").cast("double"))
 
 
+SQL_SHIFT = "CAST('1000000000000000000000000000000' AS HUGEINT)"  # 10^30: the decimals of long_amounts
+
+
+@query("A21_value_fallback_sum_long", f"""
+SELECT o_orderpriority, CAST(w + f // {SQL_SHIFT} AS VARCHAR) ||
+  CASE WHEN f % {SQL_SHIFT} = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(f % {SQL_SHIFT} AS VARCHAR), 30, '0'), '0') END AS total, count
+FROM (SELECT o_orderpriority, SUM(CAST(w AS HUGEINT)) AS w, SUM(CAST(rpad(f, 30, '0') AS HUGEINT)) AS f, COUNT(*) AS count
+  FROM ({SQL_LONG_SIDES}) GROUP BY 1)
+""")
+def a21_long(spark, sf):
+    """Exact sums of amounts beyond 10^20 and of 30 decimals, per priority."""
+    return aggs.value_fallback_sum(long_amounts(spark, sf), "o_orderpriority", "txt")
+
+
 @query("A22_reaggregate_selected", """
 WITH r AS (SELECT CAST(o_orderdate AS DATE) AS od, o_orderstatus, '  ' || o_orderpriority AS prio, COUNT(*) AS n,
   SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue FROM orders GROUP BY 1, 2, 3)

@@ -183,6 +183,32 @@ def p13(spark, sf):
     return d.select("c_custkey", F.col("amount").cast("double").alias("amount"))
 
 
+SQL_LONG_AMOUNT = """SELECT o_orderkey, o_orderpriority, CASE o_orderstatus
+  WHEN 'F' THEN '98765432109876543210' || printf('%.2f', o_totalprice)
+  WHEN 'O' THEN printf('%.2f', o_totalprice) || '0000000000000000000000000012' ELSE '1.2.3' END AS txt FROM orders"""
+SQL_LONG_SIDES = f"""SELECT *, split_part(n, '.', 1) AS w, split_part(n, '.', 2) AS f FROM (
+  SELECT *, CASE WHEN regexp_full_match(txt, '[0-9]*[.]?[0-9]*') THEN txt ELSE '0' END AS n FROM ({SQL_LONG_AMOUNT}))"""
+
+
+def long_amounts(spark, sf):
+    """Amounts beyond 10^20 (status F), of 30 decimals (O), and text that is no number (P)."""
+    price = F.format_string("%.2f", "o_totalprice")
+    txt = (F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("98765432109876543210"), price))
+           .when(F.col("o_orderstatus") == "O", F.concat(price, F.lit("0000000000000000000000000012"))).otherwise("1.2.3"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", txt.alias("txt"))
+
+
+@query("P13_guarded_numeric_long", f"""
+SELECT o_orderkey, CASE WHEN ltrim(w, '0') = '' THEN '0' ELSE ltrim(w, '0') END
+  || CASE WHEN rtrim(f, '0') = '' THEN '' ELSE '.' || rtrim(f, '0') END AS amount, CAST(n AS DOUBLE) AS nearest
+FROM ({SQL_LONG_SIDES})
+""")
+def p13_long(spark, sf):
+    """Amounts longer than any DECIMAL: every digit, and the nearest double."""
+    d = clean.guarded_numeric(long_amounts(spark, sf), "txt", "amount")
+    return d.select("o_orderkey", "amount", F.col("amount").cast("double").alias("nearest"))
+
+
 SQL_DOTTED_TXT = """SELECT o_orderkey, CASE o_orderpriority
   WHEN '1-URGENT' THEN strftime(o_orderdate, '%d.%m.%Y') WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%dT10:00')
   WHEN '3-MEDIUM' THEN 'Not available' WHEN '4-NOT SPECIFIED' THEN '99.99.' || strftime(o_orderdate, '%Y')

@@ -58,6 +58,41 @@ def s04(spark, sf):
     return sources.scan_csv_tagrow(spark, path, ORDERS_DDL)
 
 
+NOTES_DDL = "o_orderkey bigint, note string, o_totalprice double"
+SQL_NOTES = """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_orderpriority || chr(10) || 'said "' || o_orderstatus || '", twice' || chr(10)
+  WHEN 'O' THEN 'a "quoted" word, ' || o_orderpriority ELSE o_orderpriority END AS note, o_totalprice FROM orders"""
+
+
+def _notes(spark, sf):
+    """Orders with a free-text note: line breaks, quotes and commas inside a field."""
+    p, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    note = (F.when(status == "F", F.concat(p, F.lit('\nsaid "'), status, F.lit('", twice\n')))
+            .when(status == "O", F.concat(F.lit('a "quoted" word, '), p)).otherwise(p))
+    return table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+
+
+@query("S02_scan_csv_quoted", SQL_NOTES)
+def s02_quoted(spark, sf):
+    """Header CSV with line breaks, doubled quotes and commas inside quoted fields."""
+    path = fz.write_csv_files(_notes(spark, sf), "notes-csv", lambda header: [header])
+    return sources.scan_csv(spark, path, NOTES_DDL)
+
+
+@query("S03_scan_csv_preamble_quoted", SQL_NOTES)
+def s03_quoted(spark, sf):
+    """Whole records behind a preamble that itself holds a stray quote."""
+    path = fz.write_csv_files(_notes(spark, sf), "notes-preamble",
+                              lambda header: ['Notes, 5" paper', "generated by the export job", "", header])
+    return sources.scan_csv_preamble(spark, path, "o_orderkey,", NOTES_DDL)
+
+
+@query("S04_scan_csv_tagrow_quoted", SQL_NOTES)
+def s04_quoted(spark, sf):
+    """Whole records behind a header and a '#' tag row."""
+    path = fz.write_csv_files(_notes(spark, sf), "notes-tagrow", lambda header: [header, "#key,#note,#price"])
+    return sources.scan_csv_tagrow(spark, path, NOTES_DDL)
+
+
 @query("S05_scan_csv_in_zip", SQL_ORDERS_TYPED)
 def s05(spark, sf):
     """ZIP archives with a BOM-prefixed CSV member picked by name; other members ignored."""

@@ -3,9 +3,9 @@
 Text-shaped inputs (CSV with a preamble or a tag row) are read with the
 splittable ``text`` source; the position of a line inside its file is the
 pair (split start offset, row id), so the header / marker search is a
-per-file aggregate instead of a whole-file read in one task. Archives are
-unpacked with ``mapInPandas`` (one archive per task). Quoted fields that
-span lines are not supported on the text route.
+per-file aggregate instead of a whole-file read in one task. Files that hold
+quotes are cut into records by ``records.csv_records``, which reads a file in
+many tasks whatever its quoted fields hold.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from chronoframe.session import broadcast_below
+from chronoframe.sources.records import csv_records
 
 
 def _ddl(schema) -> str:
@@ -61,13 +61,35 @@ def scan_table(spark: SparkSession, source: str, columns: Sequence[str] | None =
     return df
 
 
+def _parse(lines: DataFrame, schema, value: str = "value") -> DataFrame:
+    ddl = _ddl(schema)
+    parsed = lines.select(F.from_csv(F.col(value), ddl, {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true"}).alias("__r"))
+    return parsed.select("__r.*")
+
+
+def _bytes(text: str) -> int:
+    """A size setting of Spark in bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", text.lower()).groups()
+    return int(number) << (10 * "kmgt".index(unit) + 10 if unit else 0)
+
+
+def _any_quote(spark: SparkSession, path: str) -> bool:
+    return not spark.read.text(path).filter(F.col("value").contains('"')).isEmpty()
+
+
 # S02
 def scan_csv(spark: SparkSession, path: str, schema, header: bool = True) -> DataFrame:
     """Header CSV (RFC 4180: doubled quotes, line breaks inside quotes) typed by
-    a declared schema; malformed fields become NULL. A quoted line break may
-    stand anywhere, so a file is read by one task; many files scale out."""
+    a declared schema; malformed fields become NULL. Files of one split are
+    read by one task each. Larger ones are read by many: as lines when they
+    hold no quote, else as records whose starts a scan over all quotes has found."""
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0  # the listing; no content
+    quoted = largest > split and _any_quote(spark, path)
+    if quoted:
+        return _parse(csv_records(spark, path).filter((F.col("rec") > int(header) - 1) & (F.length("value") > 0)), schema)
     return spark.read.csv(path, schema=_struct(spark, schema), header=header, mode="PERMISSIVE",
-                          quote='"', escape='"', multiLine=True)
+                          quote='"', escape='"', multiLine=largest <= split)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -80,12 +102,6 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("__pos", F.struct("__blk", "__id"))
 
 
-def _parse(lines: DataFrame, schema, value: str = "value") -> DataFrame:
-    ddl = _ddl(schema)
-    parsed = lines.select(F.from_csv(F.col(value), ddl, {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true"}).alias("__r"))
-    return parsed.select("__r.*")
-
-
 def _per_file(spark: SparkSession, path: str, side: DataFrame, rows: int) -> DataFrame:
     """``side`` has at most ``rows`` rows a file, each a path and a position, so
     the listing bounds its size in bytes. Broadcast, it spares the lines a
@@ -96,7 +112,10 @@ def _per_file(spark: SparkSession, path: str, side: DataFrame, rows: int) -> Dat
 # S03
 def scan_csv_preamble(spark: SparkSession, path: str, marker: str, schema) -> DataFrame:
     """Skip everything up to and including the first line starting with
-    ``marker`` (the header) in each file, parse the rest."""
+    ``marker`` (the header) in each file, parse the records behind it. Quotes
+    above the header mean nothing; below it they may hold line breaks."""
+    if _any_quote(spark, path):
+        return _parse(csv_records(spark, path, marker).filter(F.length("value") > 0), schema)
     lines = _lines(spark, path)
     first = lines.filter(F.col("value").startswith(marker)).groupBy("__file").agg(F.min("__pos").alias("__hdr"))
     body = lines.join(_per_file(spark, path, first, 1), "__file", "inner").filter(F.col("__pos") > F.col("__hdr"))
@@ -105,13 +124,17 @@ def scan_csv_preamble(spark: SparkSession, path: str, marker: str, schema) -> Da
 
 # S04
 def scan_csv_tagrow(spark: SparkSession, path: str, schema, tag: str = "#") -> DataFrame:
-    """Header CSV whose *second* line may be a tag row (``#…``): that one line
+    """Header CSV whose *second* record may be a tag row (``#…``): that one
     is dropped; a ``#`` data row further down is kept."""
+    if _any_quote(spark, path):
+        tagged = (F.col("rec") == 1) & F.col("value").startswith(tag)
+        return _parse(csv_records(spark, path).filter((F.col("rec") > 0) & ~tagged & (F.length("value") > 0)), schema)
     lines = _lines(spark, path)
-    w = Window.partitionBy("__file").orderBy("__pos")
-    head = lines.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 2)  # per-file top-2 (group limit)
-    drop = head.filter((F.col("__rn") == 1) | ((F.col("__rn") == 2) & F.col("value").startswith(tag))).select("__file", "__pos")
-    body = lines.join(_per_file(spark, path, drop, 2), ["__file", "__pos"], "left_anti")
+    first = lines.groupBy("__file").agg(F.min("__pos").alias("__hdr"))
+    body = lines.join(_per_file(spark, path, first, 1), "__file").filter(F.col("__pos") > F.col("__hdr"))
+    second = body.groupBy("__file").agg(F.min(F.struct("__pos", "value")).alias("__s")).filter(
+        F.col("__s.value").startswith(tag)).select("__file", F.col("__s.__pos").alias("__pos"))
+    body = body.join(_per_file(spark, path, second, 1), ["__file", "__pos"], "left_anti")
     return _parse(body.filter(F.length("value") > 0), schema)
 
 
