@@ -10,20 +10,18 @@ many tasks whatever its quoted fields hold.
 
 from __future__ import annotations
 
-import csv
 import io
-import itertools
 import re
-import sys
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from chronoframe.session import broadcast_below
+from chronoframe.sources.archives import ZippedCsv, filesystem, records_of
 from chronoframe.sources.records import csv_records
 
 
@@ -88,8 +86,10 @@ def scan_csv(spark: SparkSession, path: str, schema, header: bool = True) -> Dat
     quoted = largest > split and _any_quote(spark, path)
     if quoted:
         return _parse(csv_records(spark, path).filter((F.col("rec") > int(header) - 1) & (F.length("value") > 0)), schema)
-    return spark.read.csv(path, schema=_struct(spark, schema), header=header, mode="PERMISSIVE",
-                          quote='"', escape='"', multiLine=largest <= split)
+    declared = _struct(spark, schema)
+    read = spark.read.csv(path, schema=declared, header=header, mode="PERMISSIVE", quote='"', escape='"',
+                          multiLine=largest <= split)
+    return read.select(*[f"`{c}`" for c in declared.names])  # a folder's partition columns are not the file's
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -142,30 +142,28 @@ def scan_csv_tagrow(spark: SparkSession, path: str, schema, tag: str = "#") -> D
 def scan_csv_in_zip(spark: SparkSession, path: str, member_regex: str, schema, encoding: str = "utf-8-sig") -> DataFrame:
     """CSV members of ZIP archives: pick members by regex, decode (BOM
     stripped, undecodable bytes replaced), drop each member's header, parse.
-    Members are streamed record by record, line breaks inside quotes included;
-    many archives scale out."""
-    pat = re.compile(member_regex)
-
-    def unzip(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def line(record: list[str]) -> str:
-            return ",".join('"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\r\n') else x for x in record)
-
-        csv.field_size_limit(sys.maxsize)  # a field may be as long as its member
-        for pdf in it:
-            for p, blob in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(blob)) as zf:
-                    for name in zf.namelist():
-                        if not pat.search(name.rsplit("/", 1)[-1]):
-                            continue
-                        with io.TextIOWrapper(zf.open(name), encoding, errors="replace", newline="") as text:
-                            records = csv.reader(text)
-                            next(records, None)
-                            while rows := [line(r) for r in itertools.islice(records, 10_000)]:
-                                yield pd.DataFrame({"member": f"{p}!{name}", "value": rows})
+    Members are streamed record by record, line breaks inside quotes included.
+    Each member is a task of its own, planned from the archive's directory,
+    whatever the archive's size; where only Spark's readers reach the path, an
+    archive is one task and 2 GB at most."""
+    if filesystem(path) is not None:
+        spark.dataSource.register(ZippedCsv)
+        lines = (spark.read.format("zipped_csv").option("path", path).option("member", member_regex)
+                 .option("encoding", encoding).load())
+        return _parse(lines, schema)
+    pattern = re.compile(member_regex)
+
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(blob.as_buffer())) as z:
+                    for name in z.namelist():
+                        if pattern.search(name.rsplit("/", 1)[-1]):
+                            with io.TextIOWrapper(z.open(name), encoding, errors="replace", newline="") as text:
+                                yield from records_of(text, f"{p}!{name}")
 
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    lines = blobs.mapInPandas(unzip, "member string, value string")
-    return _parse(lines.filter(F.length("value") > 0), schema)
+    return _parse(blobs.mapInArrow(unzip, "member string, value string"), schema)
 
 
 # S06
