@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.functions.common import as_col
+from chronoframe.functions.common import as_col, last_of_key
+from chronoframe.operators.keyfilter import possible_keys
 
 
 def _keys(k) -> list:
@@ -95,11 +96,12 @@ def left_enrich(a: DataFrame, b: DataFrame, key, fill: Mapping[str, object],
 
 # J06
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value: str, lookup_value: str,
-                out: str = "ratio", scale: float = 1e6 * 100, order: str | None = None) -> DataFrame:
-    """Keyed lookup; of several lookup rows per key the last by ``order`` counts
-    (without an order column the key must be unique, and the largest value is
-    taken); a missing or zero lookup value gives NULL; ratio = value × scale / lookup."""
-    lk = lookup.groupBy(*keys).agg((F.max_by(lookup_value, order) if order else F.max(lookup_value)).alias("__lv"))
+                out: str = "ratio", scale: float = 1e6 * 100, order=None) -> DataFrame:
+    """Keyed lookup; of several lookup rows per key the last by ``order`` (a
+    column or expression) counts, even when its value is NULL; without an
+    order, several rows for a key are an error. A missing or zero lookup value
+    gives NULL; ratio = value × scale / lookup."""
+    lk = lookup.groupBy(*keys).agg(last_of_key(lookup_value, order).alias("__lv"))
     res = df.join(lk, on=list(keys), how="left")  # aggregated side: AQE broadcasts it when small
     ratio = F.try_divide(as_col(value).cast("double") * F.lit(scale), F.nullif(F.col("__lv").cast("double"), F.lit(0.0)))
     return res.withColumn(out, ratio).withColumnRenamed("__lv", lookup_value)
@@ -107,9 +109,11 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value: st
 
 # J07
 def anti_existing(batch: DataFrame, target: DataFrame, keys) -> DataFrame:
-    """Rows of ``batch`` whose key is not yet in ``target``."""
+    """Rows of ``batch`` whose key is not yet in ``target``. A filter of the
+    batch's keys meets the target at its scan, so only keys that may be in
+    the batch are shuffled, however large the target is."""
     k = _keys(keys)
-    return batch.join(target.select(*k), on=k, how="left_anti")
+    return batch.join(possible_keys(target, batch, k), on=k, how="left_anti")
 
 
 # J08

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, MapType, StructType
 
-from chronoframe.functions.common import as_col
+from chronoframe.functions.common import as_col, last_of_key
 from chronoframe.functions.dates import int_to_date
+from chronoframe.operators.keyfilter import flag_possible, possible_keys
 from chronoframe.session import scratch_path
 
 
@@ -122,7 +123,7 @@ def append_ignore(target: DataFrame, batch: DataFrame, keys, order: str) -> Data
     k = _k(keys)
     cols = [c for c in batch.columns if c not in k]
     first = batch.groupBy(*k).agg(F.min_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
-    fresh = first.join(target.select(*k), k, "left_anti")
+    fresh = first.join(possible_keys(target, first, k), k, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
@@ -131,7 +132,7 @@ def append_ignore_delta(target: DataFrame, batch: DataFrame, keys, order: str) -
     k = _k(keys)
     cols = [c for c in batch.columns if c not in k]
     first = batch.groupBy(*k).agg(F.min_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
-    return first.join(target.select(*k), k, "left_anti").select(*target.columns)
+    return first.join(possible_keys(target, first, k), k, "left_anti").select(*target.columns)
 
 
 def _is_empty(df: DataFrame) -> Column:
@@ -156,11 +157,15 @@ def delete_range_load(target: DataFrame, batch: DataFrame, date: str) -> DataFra
 
 # K07
 def upsert(target: DataFrame, batch: DataFrame, keys, order: str) -> DataFrame:
-    """Insert-or-update by key; the last batch row per key (by ``order``) wins."""
+    """Insert-or-update by key; the last batch row per key (by ``order``) wins.
+    Target rows whose key the batch certainly lacks go straight from the scan
+    to the result; only the others are compared by key."""
     k = _k(keys)
     cols = [c for c in batch.columns if c not in k]
     last = batch.groupBy(*k).agg(F.max_by(F.struct(*cols), as_col(order)).alias("__r")).select(*k, "__r.*")
-    kept = target.join(last.select(*k), k, "left_anti")
+    flagged = flag_possible(target, last, k)
+    kept = flagged.filter("NOT __possible").drop("__possible").unionByName(
+        flagged.filter("__possible").drop("__possible").join(last.select(*k), k, "left_anti"))
     return kept.unionByName(last.select(*target.columns))
 
 
@@ -184,14 +189,14 @@ def upsert_partitions(target_path: str, batch: DataFrame, keys, order: str, part
 
 # K08
 def update_from(target: DataFrame, side: DataFrame, keys, column: str, side_column: str | None = None,
-                order: str | None = None) -> DataFrame:
+                order=None) -> DataFrame:
     """``UPDATE t SET col = s.col FROM s WHERE key``: matched rows take the
     side value (even NULL), unmatched keep theirs. Of several side rows with
-    one key the last by ``order`` counts; without an order, the largest value."""
+    one key the last by ``order`` (a column or expression) counts; without an
+    order, several side rows for a key are an error."""
     k = _k(keys)
     sc = side_column or column
-    new = F.max_by(sc, order) if order else F.max(sc)
-    s = side.groupBy(*k).agg(new.alias("__new")).withColumn("__hit", F.lit(True))
+    s = side.groupBy(*k).agg(last_of_key(sc, order).alias("__new")).withColumn("__hit", F.lit(True))
     j = target.join(s, k, "left")  # aggregated side: AQE broadcasts it when small
     return j.withColumn(column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column))).select(*target.columns)
 

@@ -164,12 +164,13 @@ def month_boundary_change(df: DataFrame, series, date: str, value: str) -> DataF
 # W11
 def monthly_change(df: DataFrame, series, date: str, value: str) -> DataFrame:
     """Last value of a month − last value of the previous present month; the
-    first month is dropped."""
+    first month is dropped. A month whose last row holds NULL stays, with a
+    NULL change, and so does the month behind it."""
     k = _keys(series)
     monthly = df.groupBy(*k, F.date_format(date, "yyyy-MM").alias("month")).agg(F.max_by(value, date).alias("__last"))
     w = _w(series, "month")
-    res = monthly.withColumn("change", F.col("__last") - F.lag("__last").over(w))
-    return res.filter(F.col("change").isNotNull()).drop("__last")
+    res = monthly.withColumns({"change": F.col("__last") - F.lag("__last").over(w), "__rn": F.row_number().over(w)})
+    return res.filter(F.col("__rn") > 1).drop("__last", "__rn")
 
 
 # W12
@@ -210,13 +211,16 @@ def rolling_median(df: DataFrame, series, order: str, value: str, window: int =
 def rate_of_change(df: DataFrame, series, order: str, value: str, window: int = 30, out: str = "rate") -> DataFrame:
     """Mean daily difference over ±window//2 rows × 30, only where the full
     window exists. The mean of differences telescopes to an end-point
-    difference, so this is two offsets, not a window of lists."""
+    difference, so this is two offsets, not a window of lists. A row whose
+    window ends at a NULL stays, with a NULL rate; a window of fewer than two
+    rows has no differences, so its rates are NULL."""
     half = window // 2
     w = _w(series, order)
-    ahead, behind = F.lead(value, half).over(w), F.lag(value, half).over(w)
-    res = df.withColumn("__a", ahead).withColumn("__b", behind)
-    res = res.filter(F.col("__a").isNotNull() & F.col("__b").isNotNull())
-    return res.withColumn(out, (F.col("__a") - F.col("__b")) / float(2 * half) * 30.0).drop("__a", "__b")
+    ends = {"__a": F.lead(value, half).over(w), "__b": F.lag(value, half).over(w), "__i": F.row_number().over(w),
+            "__left": F.lead(F.lit(1), half).over(w)}  # a literal: NULL only where the series has ended
+    res = df.withColumns(ends).filter((F.col("__i") > half) & F.col("__left").isNotNull())
+    rate = (F.col("__a") - F.col("__b")) / F.lit(float(2 * half) or None).cast("double") * 30.0
+    return res.withColumn(out, rate).drop(*ends)
 
 
 # W15

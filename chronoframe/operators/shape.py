@@ -154,13 +154,17 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # U04
 def overlay_by_key(frames: Sequence[DataFrame], key) -> DataFrame:
-    """Keyed union where a later frame replaces earlier rows with the same key:
-    ``max_by`` on the frame's rank — an aggregation (partial before the
-    shuffle), so a heavily repeated key is not sorted in one task."""
+    """Keyed union where a later frame's record set replaces the earlier rows of
+    the same key: all rows of the last frame that has the key stay, however
+    many. NULL is a key like any other. Each frame is anti-joined with the
+    distinct keys of the later ones; a hot key is split like any skewed join."""
     keys = [key] if isinstance(key, str) else list(key)
-    u = None
-    for i, df in enumerate(frames):
-        part = df.withColumn("__src", F.lit(i))
-        u = part if u is None else u.unionByName(part)
-    cols = [c for c in u.columns if c not in keys and c != "__src"]
-    return u.groupBy(*keys).agg(F.max_by(F.struct(*cols), "__src").alias("__r")).select(*keys, "__r.*")
+    out, later = frames[-1], None
+    for i in range(len(frames) - 2, -1, -1):
+        named = frames[i + 1].select(*[F.col(f"`{k}`").alias(f"__later{j}") for j, k in enumerate(keys)])
+        later = (named if later is None else later.union(named)).distinct()
+        same = F.lit(True)
+        for j, k in enumerate(keys):
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__later{j}"))
+        out = frames[i].join(later, same, "left_anti").unionByName(out)
+    return out

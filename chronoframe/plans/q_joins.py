@@ -124,6 +124,30 @@ def j06(spark, sf):
     return joins.lookup_join(rev, sup, ["nation", "year"], "revenue", "supply", "ratio", scale=100.0)
 
 
+SQL_SHIP_QTY = """SELECT n.n_name AS nation, CAST(year(l.l_shipdate) AS INTEGER) AS year, l.l_orderkey, l.l_linenumber,
+  CASE WHEN l.l_quantity = 1 THEN NULL ELSE l.l_quantity END AS qty
+FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey"""
+
+
+@query("J06_lookup_join_last", f"""
+SELECT r.nation, r.year, r.revenue, k.qty, r.revenue * 100.0 / NULLIF(k.qty, 0) AS ratio
+FROM ({SQL_NATION_YEAR_REVENUE}) r LEFT JOIN (SELECT * FROM ({SQL_SHIP_QTY})
+  QUALIFY row_number() OVER (PARTITION BY nation, year ORDER BY l_orderkey DESC, l_linenumber DESC) = 1) k
+  ON r.nation = k.nation AND r.year = k.year
+""")
+def j06_last(spark, sf):
+    """Every line is a lookup row: of the many for a (nation, year) the last one counts, also when it is NULL."""
+    n = table(spark, sf, "nation")
+    o = orders(spark, sf).join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey") \
+        .join(n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
+    rev = o.groupBy(F.col("n_name").alias("nation"), F.year("od").alias("year")).agg(F.sum("price").cast("double").alias("revenue"))
+    ship = table(spark, sf, "lineitem").join(table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey") \
+        .join(n.withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+    ship = ship.select(F.col("n_name").alias("nation"), F.year("l_shipdate").alias("year"),
+                       F.struct("l_orderkey", "l_linenumber").alias("line"), F.nullif(F.col("l_quantity"), F.lit(1.0)).alias("qty"))
+    return joins.lookup_join(rev, ship, ["nation", "year"], "revenue", "qty", "ratio", scale=100.0, order="line")
+
+
 @query("J07_anti_existing", """
 SELECT c_custkey, c_name FROM customer c
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= TIMESTAMP '2001-01-01')

@@ -201,6 +201,20 @@ def k08(spark, sf):
     return _snap(loads.update_from(target, side, "s_suppkey", "s_acctbal"), "k08-result")
 
 
+@query("K08_update_from_last", """
+SELECT s_suppkey, s_name, CASE WHEN l.l_suppkey IS NULL THEN s_acctbal ELSE l.price END AS s_acctbal
+FROM supplier s LEFT JOIN (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_extendedprice END AS price FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1) l ON s.s_suppkey = l.l_suppkey
+""")
+def k08_last(spark, sf):
+    """Many side rows a key: the supplier's last line sets the value, NULL included."""
+    target = _snap(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "k08-last-target")
+    side = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("s_suppkey"), F.struct("l_orderkey", "l_linenumber").alias("line"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("s_acctbal"))
+    return _snap(loads.update_from(target, side, "s_suppkey", "s_acctbal", order="line"), "k08-last-result")
+
+
 @query("K09_high_water_mark", """
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS od FROM orders
 WHERE o_orderdate >= TIMESTAMP '1999-06-01' AND CAST(o_orderdate AS DATE) > (

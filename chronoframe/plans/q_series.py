@@ -186,6 +186,28 @@ def w11(spark, sf):
     return series.monthly_change(r, "l_returnflag", "sd", "total")
 
 
+# a counter with gaps: NULL on Sundays and on the last day of every even month
+SQL_GAPS = f"""SELECT l_returnflag, sd, CASE WHEN dayofweek(sd) = 0 OR (sd = last_day(sd) AND month(sd) % 2 = 0) THEN NULL
+  ELSE total END AS total FROM ({SQL_RUNNING_QTY_FLAG})"""
+
+
+def _gaps(spark, sf):
+    r = running_qty(spark, sf, by_flag=True).select("l_returnflag", "sd", "total")
+    missing = (F.dayofweek("sd") == 1) | ((F.col("sd") == F.last_day("sd")) & (F.month("sd") % 2 == 0))
+    return r.withColumn("total", F.when(~missing, F.col("total")))
+
+
+@query("W11_monthly_change_gaps", f"""
+SELECT l_returnflag, month, last_total - lag(last_total) OVER (PARTITION BY l_returnflag ORDER BY month) AS change FROM (
+  SELECT l_returnflag, strftime(sd, '%Y-%m') AS month, total AS last_total FROM ({SQL_GAPS})
+  QUALIFY row_number() OVER (PARTITION BY l_returnflag, strftime(sd, '%Y-%m') ORDER BY sd DESC) = 1)
+QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY month) > 1
+""")
+def w11_gaps(spark, sf):
+    """Months that end on a missing value stay, with an unknown change."""
+    return series.monthly_change(_gaps(spark, sf), "l_returnflag", "sd", "total")
+
+
 def _held(spark, sf, by_flag=False):
     r = running_qty(spark, sf, by_flag)
     return r.withColumn("held", F.floor(F.col("total") / 10000) * 10000.0)
@@ -241,6 +263,17 @@ def w14(spark, sf):
     return series.rate_of_change(r, None, "sd", "total", 30)
 
 
+@query("W14_rate_of_change_gaps", f"""
+SELECT l_returnflag, sd, total, (a - b) / 30.0 * 30.0 AS rate FROM (
+  SELECT *, lead(total, 15) OVER w AS a, lag(total, 15) OVER w AS b, row_number() OVER w AS i,
+    count(*) OVER (PARTITION BY l_returnflag) AS n FROM ({SQL_GAPS}) WINDOW w AS (PARTITION BY l_returnflag ORDER BY sd))
+WHERE i > 15 AND i <= n - 15
+""")
+def w14_gaps(spark, sf):
+    """Rows whose window ends at a missing value stay, with an unknown rate."""
+    return series.rate_of_change(_gaps(spark, sf), "l_returnflag", "sd", "total", 30)
+
+
 @query("W15_change_points", f"""
 WITH RECURSIVE s AS (SELECT o_orderpriority, od, CAST(n_orders AS DOUBLE) AS v,
                             row_number() OVER (PARTITION BY o_orderpriority ORDER BY od) AS rn

@@ -146,6 +146,27 @@ def u04(spark, sf):
     return shape.overlay_by_key([c, fresh], "c_custkey")
 
 
+@query("U04_overlay_by_key_sets", """
+WITH a AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) < 2001),
+b AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) >= 2001 AND o_orderstatus = 'F'),
+c AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_custkey END AS o_custkey, o_orderkey, -o_totalprice AS o_totalprice
+  FROM orders WHERE o_orderstatus = 'P')
+SELECT * FROM c UNION ALL
+SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.o_custkey IS NOT DISTINCT FROM b.o_custkey) UNION ALL
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.o_custkey IS NOT DISTINCT FROM a.o_custkey)
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.o_custkey IS NOT DISTINCT FROM a.o_custkey)
+""")
+def u04_sets(spark, sf):
+    """Record sets of three frames: all orders of a customer from the last frame that has the customer."""
+    o = table(spark, sf, "orders")
+    cols = ["o_custkey", "o_orderkey", "o_totalprice"]
+    year, status = F.year("o_orderdate"), F.col("o_orderstatus")
+    last = o.filter(status == "P").select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("o_custkey"),
+                                          "o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice"))
+    frames = [o.filter(year < 2001).select(*cols), o.filter((year >= 2001) & (status == "F")).select(*cols), last]
+    return shape.overlay_by_key(frames, "o_custkey")
+
+
 SQL_MONTH_STATUS = ("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, " + ", ".join(
     f"COUNT(*) FILTER (WHERE o_orderstatus = '{s}') AS {s}" for s in STATUSES) + " FROM orders GROUP BY 1")
 
