@@ -4,8 +4,9 @@ All frames are row-based (missing days are not inserted). Inputs are
 rollups — one row per (series, date) — so windows are partitioned by the
 series key when there is one, and a single series holds a calendar-sized
 number of rows; no window sees raw events (asserted on every driver query's
-plan in ``tests/test_plans.py``). Only the two inherently sequential
-operators (W09, W15) run Python, as ``applyInPandas`` per series.
+plan in ``tests/test_plans.py``). Of the two inherently sequential operators
+W09 is a fold over calendar blocks, and W15 runs Python, as ``applyInPandas``
+per series.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from chronoframe.functions.common import as_col
@@ -115,38 +115,70 @@ def since_start(df: DataFrame, series, order: str, col: str, out: str = "since_s
 
 
 # W09
-def week_anchor_change(df: DataFrame, series, date: str, value: str, days: int = 7) -> DataFrame:
+def week_anchor_change(df: DataFrame, series, date: str, value: str, days: int = 7, block_days: int = 512) -> DataFrame:
     """Greedy anchoring: the first row is the anchor; a row at least ``days``
     after the anchor is emitted with its change against the anchor and becomes
-    the new anchor. Sequential, so it runs per series with ``applyInPandas``
-    over the rollup (calendar-sized groups)."""
+    the new anchor.
+
+    The calendar is cut into blocks. What a block does depends on one number,
+    the day from which a row is due, and that is one of the block's first
+    ``days`` days: a fold over the block's rows answers each of them. These
+    answers are chained along a series, one step a block, and a second fold
+    emits the rows of every block at once. Blocks, not series, are the unit of
+    work, so one long series without a key spans tasks. Of several rows on one
+    date the least value counts; rows without a date are left out.
+    """
+    if dict(df.dtypes)[date] != "date":
+        raise ValueError(f"{date} must be a date")
     k = _keys(series)
-    key_cols = k or ["__g"]
-    src = df.select(*k, date, F.col(value).cast("double").alias(value))
-    if not k:
-        src = src.withColumn("__g", F.lit(0))
-    out_schema = StructType([src.schema[c] for c in key_cols] + [src.schema[date], StructField("change", DoubleType()),
-                                                                   StructField(value, DoubleType())])
-    step = pd.Timedelta(days=days)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date, kind="mergesort").reset_index(drop=True)
-        ds = pd.to_datetime(pdf[date])
-        vs = pdf[value].to_numpy()
-        keep, change = [], []
-        a_d, a_v = ds.iloc[0], vs[0]
-        for i in range(len(pdf)):
-            if ds.iloc[i] - a_d >= step:
-                keep.append(i)
-                change.append(vs[i] - a_v)
-                a_d, a_v = ds.iloc[i], vs[i]
-        res = pdf.loc[keep, key_cols + [date]].copy()
-        res["change"] = change
-        res[value] = vs[keep]
-        return res
-
-    out = src.groupBy(*key_cols).applyInPandas(run, out_schema)
-    return out if k else out.drop("__g")
+    v = as_col(value).cast("double")
+    daily = df.filter(F.col(date).isNotNull()).groupBy(*k, F.unix_date(date).alias("__d")).agg(F.min(v).alias("__v"))
+    block = F.floor(F.col("__d") / block_days).cast("int")
+    blocks = daily.groupBy(*k, block.alias("__b")).agg(F.sort_array(F.collect_list(F.struct("__d", "__v"))).alias("__r"))
+
+    def step(s: Column, r: Column) -> Column:
+        return F.when(r["__d"] >= s["due"], F.struct((r["__d"] + days).alias("due"), r["__v"].alias("val"), F.lit(True).alias("moved"))
+                      ).otherwise(s)
+
+    def from_day(t: Column) -> Column:
+        start = F.struct((F.col("__b") * block_days + t).alias("due"), F.lit(None).cast("double").alias("val"),
+                         F.lit(False).alias("moved"))
+        return F.aggregate("__r", start, step)
+
+    answers = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), from_day)
+    chain = blocks.select(*k, F.struct(F.col("__b").alias("b"), answers.alias("a")).alias("__x"),
+                          F.element_at("__r", 1)["__d"].alias("__d0"))
+    chain = (chain.groupBy(*k) if k else chain.groupBy()).agg(F.sort_array(F.collect_list("__x")).alias("__c"),
+                                                             F.min("__d0").alias("__first"))
+    entry = "array<struct<b:int,due:int,val:double>>"
+
+    def along(s: Column, x: Column) -> Column:
+        start = x["b"] * block_days
+        due = F.greatest(s["due"], start)  # the first row is due at once: it is the first anchor, and not emitted
+        got = F.get(x["a"], due - start)
+        return F.struct(got["due"].alias("due"), F.when(got["moved"], got["val"]).otherwise(s["val"]).alias("val"),
+                        F.concat(s["out"], F.array(F.struct(x["b"].alias("b"), due.alias("due"), s["val"].alias("val"))).cast(entry)
+                                 ).alias("out"))
+
+    begin = F.struct(F.lit(-(1 << 31)).cast("int").alias("due"), F.lit(None).cast("double").alias("val"),
+                     F.array().cast(entry).alias("out"))
+    entries = chain.filter(F.size("__c") > 0).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(k)], "__first",
+                                                    F.explode(F.aggregate("__c", begin, along)["out"]).alias("__e"))
+    same = F.col("__b") == F.col("__e.b")
+    for i, c in enumerate(k):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    emitted = "array<struct<d:int,change:double,v:double>>"
+
+    def emit(s: Column, r: Column) -> Column:
+        one = F.array(F.struct(r["__d"].alias("d"), (r["__v"] - s["val"]).alias("change"), r["__v"].alias("v"))).cast(emitted)
+        return F.when(r["__d"] >= s["due"], F.struct((r["__d"] + days).alias("due"), r["__v"].alias("val"),
+                                                     F.concat(s["out"], one).alias("out"))).otherwise(s)
+
+    start = F.struct(F.col("__e.due").alias("due"), F.col("__e.val").alias("val"), F.array().cast(emitted).alias("out"))
+    out = (blocks.join(entries, same).select(*k, "__first", F.explode(F.aggregate("__r", start, emit)["out"]).alias("__o"))
+           .filter(F.col("__o.d") != F.col("__first")))
+    return out.select(*k, F.date_from_unix_date("__o.d").alias(date), F.col("__o.change").alias("change"),
+                      F.col("__o.v").alias(value))
 
 
 # W10
