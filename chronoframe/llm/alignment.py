@@ -327,10 +327,12 @@ def aligned_documents(docs: DataFrame, byte_level: str, pieces: str, id_col: str
 
     import sentencepiece
     width = sentencepiece.SentencePieceProcessor(model_file=pieces).get_piece_size()
-    # one exchange for the totals and for the way back to the blocks: each of its readers reads all of its columns
-    partial = texts.groupBy("blk").applyInArrow(counted, "blk long, pair long, n long").repartition("pair")
+    # one exchange for the totals and for the way back to the blocks: each of its readers reads all of its
+    # columns, and none adds a filter for nulls, as there can be none
+    partial = (texts.groupBy("blk").applyInArrow(counted, "blk long, pair long, n long")
+               .select("blk", F.coalesce("pair", F.lit(0)).alias("pair"), "n").repartition("pair"))
     totals = partial.groupBy("pair").agg(F.sum(F.when(F.col("blk") >= 0, F.col("n"))).alias("total"))
-    second = F.pmod("pair", F.lit(width))
+    second = F.coalesce(F.pmod("pair", F.lit(width)), F.lit(0))
     highest = totals.groupBy(second.alias("b")).agg(F.max("total").alias("top"))  # a row for each id of the vocabulary
     judged = totals.withColumn("b", second).join(highest, "b").select("pair", "total", (F.col("total") == F.col("top")).alias("best"))
     answers = partial.join(judged, "pair").select("blk", "pair", "n", "total", "best")
