@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +128,14 @@ _RANGES_PA = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def sorted_group(table: pa.Table, min_bytes: int) -> pa.Table:
-    """Segments of one group -> ``s1, s2, ranges``: windows that occur again, found in its suffix
-    array, of the segments that occur once as a whole."""
+    """Segments of one group -> ``s1, s2, ranges``: windows that occur again, all those of a segment
+    that does, and otherwise those found in the group's suffix array."""
+    often = table.filter(pc.greater(table.column("mult"), 1))
+    whole = pa.StructArray.from_arrays([pa.array(np.zeros(often.num_rows, np.int32)), often.column("n").combine_chunks()],
+                                       ["a", "b"])
+    decided = often.select(["s1", "s2"]).append_column("ranges", pa.ListArray.from_arrays(
+        pa.array(np.arange(often.num_rows + 1, dtype=np.int32)), whole).cast(_RANGES_PA))
+    table = table.filter(pc.greater(pc.binary_length(table.column("body")), 0))
     weight = table.column("mult").to_numpy()
     counts = table.column("n").to_numpy().astype(np.int64)
     bodies = table.column("body").to_pylist()
@@ -151,7 +158,7 @@ def sorted_group(table: pa.Table, min_bytes: int) -> pa.Table:
     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)),
                                      pa.StructArray.from_arrays([a, b], ["a", "b"]))
     own = table.select(["s1", "s2"]).take(pa.array(rows, pa.int64()))
-    return own.append_column("ranges", lists.cast(_RANGES_PA))
+    return pa.concat_tables([decided, own.append_column("ranges", lists.cast(_RANGES_PA))])
 
 
 def repeated_windows(texts: DataFrame, groups: int, min_bytes: int, gram: int, class_segments: int) -> DataFrame:
@@ -162,18 +169,16 @@ def repeated_windows(texts: DataFrame, groups: int, min_bytes: int, gram: int, c
     shared = found.join(often, "anchor")
     one = shared.groupBy("s1", "s2").agg(F.sum("copies").alias("mult"),
                                          *[F.first(k).alias(k) for k in ("anchor", "t1", "t2", "at")])
-    kinds = one.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    known = one.join(kinds, "anchor")
+    # whoever reads ``one`` reads all of its columns, so that its exchanges, and the scan of the texts below, happen once
+    kinds = one.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.hash("mult", "t1", "t2", "at")).alias("read"))
+    known = one.join(kinds, "anchor").where("read IS NOT NULL AND (kinds > 1 OR mult > 1)")
+    # segments of an anchor without others are decided by their number: they travel without text, dealt evenly
     n = F.col("at").bitwiseAND(0xFFFF).cast("int")
-    whole = F.array(F.struct(F.lit(0).alias("a"), n.alias("b"))).cast(RANGES)
-    counted = known.where("mult > 1").select("s1", "s2", whole.alias("ranges"))  # every window of it occurs again
-    asked = known.where("kinds > 1").select("anchor", "s1", "s2", "mult", "kinds", "t1", "t2",
-                                            F.shiftright("at", 16).alias("lo"), n.alias("n"))
-
-    def bodies(asked: DataFrame) -> DataFrame:
-        body = F.substring(F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), F.col("n") + (min_bytes - 1))
-        return (texts.where("copies > 0").join(asked, ["t1", "t2"])
-                .select("anchor", "s1", "s2", "mult", "n", body.alias("body")))
+    text = F.substring(F.col("text").cast("binary"), (F.shiftright("at", 16) + 1).cast("int"), n + (min_bytes - 1))
+    bodies = (texts.where("copies > 0").join(known, ["t1", "t2"])
+              .select("s1", "s2", "mult", "kinds", n.alias("n"), F.when(F.col("kinds") > 1, text).otherwise(F.lit(b"")).alias("body"),
+                      F.pmod(F.when(F.col("kinds") > 1, F.xxhash64("anchor")).otherwise(F.col("s1")), F.lit(groups)).alias("grp")))
+    together = F.when(F.col("kinds") <= class_segments, F.length("body"))  # needs the text: not tested before the join
 
     def group(table: pa.Table) -> pa.Table:
         try:
@@ -181,17 +186,16 @@ def repeated_windows(texts: DataFrame, groups: int, min_bytes: int, gram: int, c
         finally:
             give_back()
 
-    in_groups = (bodies(asked.where(F.col("kinds") <= class_segments))
-                 .withColumn("grp", F.pmod(F.xxhash64("anchor"), F.lit(groups))).drop("anchor")
+    in_groups = (bodies.where(together.isNotNull()).select("grp", "s1", "s2", "mult", "n", "body")
                  .groupBy("grp").applyInArrow(group, f"s1 long, s2 long, ranges {RANGES}"))
     # anchors with more segments: each window by the digest of all its bytes, counted before any shuffle
-    single = (bodies(asked.where(F.col("kinds") > class_segments))
+    single = (bodies.where(together.isNull())
               .select("s1", "s2", "mult", "body", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
               .select("s1", "s2", "mult", "a", F.sha2(F.substring("body", F.col("a") + 1, F.lit(min_bytes)), 256).alias("w")))
     repeated = single.groupBy("w").agg(F.sum("mult").alias("uses")).where("uses > 1").select("w")
-    by_name = (single.where("mult = 1").join(repeated, "w").groupBy("s1", "s2")
+    by_name = (single.join(repeated, "w").groupBy("s1", "s2")
                .agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).cast(RANGES).alias("ranges")))
-    hits = counted.unionByName(in_groups).unionByName(by_name)
+    hits = in_groups.unionByName(by_name)
     # copies are read here too, so that this side of the join is the exchange that ``one`` reads
     return shared.join(hits, ["s1", "s2"]).select("t1", "t2", F.shiftright("at", 16).alias("lo"),
                                                   F.when(F.col("copies") > 0, F.col("ranges")).alias("ranges"))
@@ -263,8 +267,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name = F.sha2("text", 256)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                       F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-                      ).select("doc_id", "text", *[F.conv(F.substring(name, k, 16), 16, -10).cast("long").alias(t)
-                                                   for t, k in (("t1", 1), ("t2", 17))])  # half of a SHA-256 in two numbers
+                      ).select("doc_id", "text", *[
+                          # half of a SHA-256 in two numbers, never null: no join adds a filter to the texts' exchange
+                          F.coalesce(F.conv(F.substring(name, k, 16), 16, -10).cast("long"), F.lit(0)).alias(t)
+                          for t, k in (("t1", 1), ("t2", 17))])
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = own.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     windows = repeated_windows(texts, 1 + size // group_bytes, min_bytes, gram, class_segments)
