@@ -18,17 +18,20 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.session import scratch_path
 
 ROLL_BYTES = 4 << 20  # compressed size at which a file is complete
 SHARD_BYTES = 32 << 20  # payload bytes of a shard, about
+MOST_SHARDS = 100_000  # beyond, shards grow: a shard is streamed, so its size costs no memory
 DRAWN_PER_SHARD = 64
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -83,15 +86,35 @@ def _revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
-    """Upper ids of all shards but the last. The same for equal input; at most ``DRAWN_PER_SHARD`` ids a shard reach the driver."""
+    """Upper ids of all shards but the last. The same for equal input. At most
+    ``DRAWN_PER_SHARD`` ids a shard, 51 MB for all, reach the driver."""
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = min(max(1, -(-total // shard_bytes)), MOST_SHARDS)
+    if shards == 1:
+        return []
     drawn = (pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("i"))
-             .select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(shards * DRAWN_PER_SHARD).collect())
-    ids = sorted(r["i"] for r in drawn)
+             .select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(shards * DRAWN_PER_SHARD).select("i").toArrow())
+    ids = np.sort(drawn.column("i").to_numpy()).tolist()
     return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
 
 
+def shard_of(bounds: list[int]) -> Column:
+    """Number of bounds up to ``page_id``, in two steps of about the root of their number each; a null id is in the first shard."""
+    page = F.coalesce("page_id", F.lit(-(1 << 63)))
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds) - 1) + 1
+    rows = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+
+    def upto(array: Column) -> Column:
+        return F.size(F.filter(array, lambda b: b <= page))
+
+    heads = F.expr("array(" + ", ".join(f"{r[0]}L" for r in rows) + ")")
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{b}L" for b in r) + ")" for r in rows) + ")")
+    step = upto(heads)
+    return F.when(step == 0, 0).otherwise((step - 1) * width + upto(F.get(table, step - 1)))
+
+
 def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES,
                least_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write ``page_id, url, html`` as WARC files below ``path`` and return the
@@ -112,8 +135,7 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     rows = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(
         _revisits(rows, least_bytes).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
                                             F.col("sha").alias("html"), "refers_to"))
-    limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    rows = rows.withColumn("__shard", F.size(F.filter(limits, lambda b: b <= F.coalesce("page_id", F.lit(-(1 << 63))))))
+    rows = rows.withColumn("__shard", shard_of(bounds))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import posixpath
@@ -164,7 +186,7 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
             ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()),
             ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
-    sorted_rows = (rows.repartition(len(bounds) + 1, "__shard")
+    sorted_rows = (rows.repartitionById(len(bounds) + 1, F.col("__shard"))  # a task each; hashed numbers would share tasks
                    .sortWithinPartitions("__shard", "page_id", "kind", "url", "html"))
     manifest = sorted_rows.select("__shard", "page_id", "kind", "url", "html", "refers_to").mapInArrow(
         write, "file string, records long, bytes long, sha256 string, first_id long, last_id long")
@@ -172,18 +194,20 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     return spark.read.parquet(f"{path}/manifest")
 
 
-def read_warc(spark, path: str) -> DataFrame:
+def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
     """The records of the files that the manifest below ``path`` names.
 
     Returns ``page_id, url, record_type, refers_to, payload_digest,
-    payload_bytes`` and, for responses, ``payload``. A file whose bytes differ
-    from the manifest, or a payload from its header, is an error.
+    payload_bytes`` and, with ``payloads``, ``payload`` of the responses. A file
+    whose bytes differ from the manifest, or a payload from its header, is an
+    error, whether payloads are returned or not.
     """
     manifest = spark.read.parquet(f"{path}/manifest").select("file", "sha256")
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.warc.gz").load(path)
              .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
-                        ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+                        ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
+                        *([("payload", pa.binary())] if payloads else [])])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +215,7 @@ def read_warc(spark, path: str) -> DataFrame:
                 raw = content.as_buffer().to_pybytes()
                 if hashlib.sha256(raw).hexdigest() != sha.as_py():
                     raise ValueError(f"{name} differs from the manifest")
-                out, size = [], 0
+                out, size = [[] for _ in schema], 0
                 for fields, block in parse(gzip.decompress(raw)):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -200,19 +224,19 @@ def read_warc(spark, path: str) -> DataFrame:
                         raise ValueError(f"{fields['WARC-Record-ID']}: payload differs from its digest")
                     length = int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
                     refers = fields.get("X-Refers-To-Page")
-                    out.append({"page_id": int(fields["X-Page-Id"]) if fields["X-Page-Id"] else None,
-                                "url": fields["WARC-Target-URI"], "record_type": kind,
-                                "refers_to": int(refers) if refers else None, "payload_digest": digest,
-                                "payload_bytes": length, "payload": payload if kind == "response" else None})
-                    size += len(block)
+                    values = (int(fields["X-Page-Id"]) if fields["X-Page-Id"] else None, fields["WARC-Target-URI"], kind,
+                              int(refers) if refers else None, digest, length, payload if kind == "response" else None)
+                    for column, value in zip(out, values, strict=False):
+                        column.append(value)
+                    size += len(block) if payloads else 0
                     if size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out, size = [], 0
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                        out, size = [[] for _ in schema], 0
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return files.join(manifest, "file").mapInArrow(
-        read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, "
-              "payload binary")
+        read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
+        + (", payload binary" if payloads else ""))
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
@@ -220,5 +244,5 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     path = path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}"
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
