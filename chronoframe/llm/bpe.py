@@ -25,14 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.hashing import powers
+from chronoframe.llm.hashing import _slices, give_back, powers, string_buffers
 
 NEVER = 1 << 60
 SHORT = 48  # bytes of a piece that is encoded together with others
-KEPT = 300_000  # pieces, and segments, whose encodings are kept; then afresh
+KEPT = 300_000  # pieces, and parts of texts, whose encodings are kept; then afresh
+SLICE_BYTES = 2 << 20  # of text encoded at once, one text at least
+# First bytes of the UTF-8 forms of blanks beyond ASCII
+_WIDE_BLANK = (0xC2, 0xE1, 0xE2, 0xE3)
 _BASE = 0x9E3779B97F4A7C55
 # The code points of the Unicode property White_Space, which \s means to the tokeniser
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -52,7 +56,8 @@ class Ranks:
         self.bytes = {b: a for a, b in self.rank.items()}
         self.longest = max(map(len, self.rank))
         self.parts: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
         self._table()
 
     def _table(self) -> None:
@@ -88,16 +93,29 @@ class Ranks:
 
     def edge(self, token: int, side: int) -> list[int]:
         """The tokens at one end of this one, from its single byte up to itself."""
-        out = [token]
-        while len(self.bytes[out[-1]]) > 1:
-            out.append(self.split(out[-1])[side])
-        return out[::-1]
+        got = self.edges.get(2 * token + side)
+        if got is None:
+            got = [token]
+            while len(self.bytes[got[-1]]) > 1:
+                got.append(self.split(got[-1])[side])
+            got = self.edges[2 * token + side] = got[::-1]
+        return got
 
     def valid(self, a: int, b: int) -> bool:
         """Merging the bytes of both gives these two tokens again."""
-        got = self.pairs.get((a, b))
+        name = a * len(self.rank) + b
+        got = self.pairs.get(name)
         if got is None:
-            got = self.pairs[a, b] = self._valid(a, b)
+            got = self.pairs[name] = self._valid(a, b)
+        return got
+
+    def all_valid(self, names: list[int]) -> list[bool]:
+        """``valid`` of many pairs, each as ``a * number of ranks + b``."""
+        get, n = self.pairs.get, len(self.rank)
+        got = [get(x) for x in names]
+        for k, x in enumerate(got):
+            if x is None:
+                got[k] = self.valid(*divmod(names[k], n))
         return got
 
     def _valid(self, a: int, b: int) -> bool:
@@ -194,7 +212,7 @@ def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[list[int]]:
                 continue
             if i > k:
                 pair, of = np.unique(last[i - k][open_[at]] * total + token[at], return_inverse=True)
-                good = np.array([ranks.valid(*divmod(p, total)) for p in pair.tolist()], bool)
+                good = np.array(ranks.all_valid(pair.tolist()), bool)
                 at = at[good[of]]
             last[i][open_[at]] = token[at]
             length[i][open_[at]] = k
@@ -211,6 +229,23 @@ def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[list[int]]:
     return out
 
 
+def part_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where parts of the texts start: each text, and each space in it that a byte follows
+    which begins no blank. The pattern always splits there: whatever stands before, a
+    space goes with the non-blank behind it."""
+    start = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 1:
+        near = np.zeros(256, bool)
+        near[33:] = True
+        near[list(_WIDE_BLANK)] = False
+        start[:len(raw) - 1] = (raw[:-1] == 32) & near[raw[1:]]
+        last = off[1:] - 1  # a space that ends a text starts nothing, whatever the next text begins with
+        start[last[last >= 0]] = False
+    full = off[:-1][np.diff(off) > 0]
+    start[full] = True
+    return np.flatnonzero(start[:len(raw)])
+
+
 class TextCoder:
     """Encodes whole texts: decimal ids and the bytes that the ids decode to."""
 
@@ -218,40 +253,66 @@ class TextCoder:
         import regex
         self.ranks = Ranks(path)
         self.split = regex.compile(explicit(pattern))
-        self.mixed = regex.compile(f" [{_WHITE}]|[{_WHITE}] ")
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.segments: dict[str, tuple[bytes, int, bytes]] = {}
-
-    def _segments(self, text: str) -> list[str]:
-        """Parts of a text at whose borders the pattern always splits: before a space between two non-blanks."""
-        if self.mixed.search(text) or text[:1] == " " or text[-1:] == " ":
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(tokens, SHA-256 of the decimal ids, SHA-256 of the decoded bytes) of each text."""
-        parts = [self._segments(t) for t in texts]
-        if len(self.segments) > KEPT:
-            self.segments.clear()
-        new = {s for p in parts for s in p} - self.segments.keys()
-        if new:
-            split = {s: self.split.findall(s) for s in new}
+        self.pieces: dict[str, tuple[int, bytes, bytes]] = {}  # tokens, their decimal ids and their bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts: dict[str, int] = {}
+        self.counts: list[int] = []
+        self.digits: list[bytes] = []
+        self.spelt: list[bytes] = []
+
+    def _learn(self, parts: list[str]) -> np.ndarray:
+        """Number of each distinct part, encoding those that are new."""
+        if len(self.parts) > KEPT:
+            self._forget()
+        split = {s: self.split.findall(s) for s in parts if s not in self.parts}
+        if split:
             if len(self.pieces) > KEPT:
                 self.pieces.clear()
             fresh = list({x for own in split.values() for x in own} - self.pieces.keys())
-            for x, got in zip(fresh, encode_pieces(self.ranks, [x.encode() for x in fresh]), strict=True):
-                self.pieces[x] = tuple(got)
             names = self.ranks.bytes
+            for x, got in zip(fresh, encode_pieces(self.ranks, [x.encode() for x in fresh]), strict=True):
+                self.pieces[x] = len(got), " ".join(map(str, got)).encode(), b"".join([names[t] for t in got])
+            pieces = self.pieces
             for s, own in split.items():
-                ids = [t for x in own for t in self.pieces[x]]
-                self.segments[s] = (b"".join(b"%d " % t for t in ids), len(ids), b"".join([names[t] for t in ids]))
-        out = []
-        for own in parts:
-            got = [self.segments[s] for s in own]
-            out.append((sum(g[1] for g in got), hashlib.sha256(b"".join([g[0] for g in got])[:-1]).hexdigest(),
-                        hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()))
-        return out
+                if len(own) == 1:
+                    n, digits, spelt = pieces[own[0]]
+                else:
+                    all_of = [pieces[x] for x in own]
+                    n = sum([x[0] for x in all_of])
+                    digits, spelt = b" ".join([x[1] for x in all_of]), b"".join([x[2] for x in all_of])
+                self.parts[s] = len(self.counts)
+                self.counts.append(n)
+                self.digits.append(digits)
+                self.spelt.append(spelt)
+        return np.array([self.parts[s] for s in parts], np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """(tokens, SHA-256 of the decimal ids, SHA-256 of the decoded bytes) of each text."""
+        n, ids, spelt = self.encode_column(pa.array(texts, pa.string()))
+        return list(zip(n.tolist(), ids, spelt, strict=True))
+
+    def encode_column(self, texts) -> tuple[np.ndarray, list[str], list[str]]:
+        """Tokens, SHA-256 of the decimal ids and SHA-256 of the decoded bytes of each text of
+        a string column; a null is empty. Distinct parts are encoded once, and texts are
+        put together from them in Arrow."""
+        raw, off = string_buffers(texts)
+        at = part_starts(raw, off)
+        parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int64)),
+                                                 pa.py_buffer(np.ascontiguousarray(raw)))
+        coded = parts.dictionary_encode()
+        known = self._learn(coded.dictionary.to_pylist()).tolist()
+        bound = np.searchsorted(at, off).astype(np.int32)
+
+        def joined(values: list[bytes], between: bytes) -> list[str]:
+            own = pa.array([values[k] for k in known], pa.large_binary()).take(coded.indices)
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(bound), own), pa.scalar(between, pa.large_binary()))
+            return [hashlib.sha256(x.as_buffer()).hexdigest() for x in whole]
+
+        per_part = np.array([self.counts[k] for k in known], np.int64)[coded.indices.to_numpy()]
+        total = np.append(0, np.cumsum(per_part))
+        return np.diff(total[bound]), joined(self.digits, b" "), joined(self.spelt, b"")
 
     def ids(self, text: str) -> list[int]:
         own = [p.encode() for p in self.split.findall(text)]
@@ -273,12 +334,12 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TextCoder(ranks, pattern)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                got = coder.encode(batch.column(1).fill_null("").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array(list(x)) for x in zip(*got, strict=True))],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            _, off = string_buffers(whole.column(1))
+            for i, j in _slices(off, SLICE_BYTES):
+                batch = whole.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, coder.encode_column(batch.column(1)))],
+                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
                        ).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
