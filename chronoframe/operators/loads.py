@@ -11,8 +11,10 @@ round trips.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, MapType, StructType
 
@@ -22,6 +24,9 @@ from chronoframe.operators.keyfilter import flag_possible, possible_keys
 from chronoframe.session import scratch_path
 
 
+EXPORTS_AT_ONCE = 8
+
+
 def _k(keys) -> list:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -61,10 +66,17 @@ def commit_partitions(df: DataFrame, path: str, partition_by: Sequence[str], sta
 def sink_json(df: DataFrame, path: str) -> str:
     """JSON lines; dates as ISO text, decimals as doubles, at any depth of
     structs, arrays and map values. A one-row frame (K03) is a single document."""
-    json_ready(df).write.mode("errorifexists").json(path)
+    sink_json_counted(df, path)
     return path
 
 
+def sink_json_counted(df: DataFrame, path: str) -> int:
+    """As ``sink_json``; returns the number of rows, observed by the writing job itself."""
+    seen = Observation()
+    json_ready(df).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").json(path)
+    return seen.get.get("rows", 0)  # a frame that the optimizer knows to be empty has nothing to observe
+
+
 def json_ready(df: DataFrame) -> DataFrame:
     """``df`` with the values ``sink_json`` writes."""
     return df.select(*[_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
@@ -263,17 +275,17 @@ def affected_outputs(changes: DataFrame, mapping: DataFrame, always: Sequence[st
 def export_outputs(outputs: Mapping[str, DataFrame], base: str, only=None) -> DataFrame:
     """Write the named rollups as JSON (K01) under ``base/<name>`` — all of
     them, or only those in ``only`` (the affected outputs of K13) — and
-    return a manifest (output, path, rows) with rows counted back from the
-    written files. The loop runs over output names only; each write is a
-    distributed job."""
-    wanted = None if only is None else set(only)
-    manifest = []
-    for name, df in outputs.items():
-        if wanted is not None and name not in wanted:
-            continue
-        path = sink_json(df, f"{base.rstrip('/')}/{name}")
-        manifest.append((name, path, df.sparkSession.read.schema(json_ready(df).schema).json(path).count()))
+    return a manifest (output, path, rows). Outputs are independent, so their
+    jobs are submitted side by side, ``EXPORTS_AT_ONCE`` at a time, and share
+    the cluster; each job counts the rows that it writes. An output that fails
+    fails the export once the others have ended."""
+    chosen = {k: v for k, v in outputs.items() if only is None or k in set(only)}
     spark = next(iter(outputs.values())).sparkSession
+    paths = {name: f"{base.rstrip('/')}/{name}" for name in chosen}
+    with ThreadPoolExecutor(max_workers=EXPORTS_AT_ONCE) as pool:
+        jobs = {name: pool.submit(inheritable_thread_target(spark)(sink_json_counted), df, paths[name])
+                for name, df in chosen.items()}
+    manifest = [(name, paths[name], job.result()) for name, job in jobs.items()]
     return spark.createDataFrame(manifest, "output string, path string, rows long")
 
 
