@@ -98,7 +98,7 @@ def x03(spark, sf):
     return res.select(F.to_date("window_start").alias("d"), "event_type", "count")
 
 
-@query("X04_stream_change_points", f"""
+SQL_CHANGE_POINTS = f"""
 WITH RECURSIVE s AS (SELECT l_returnflag, sd, CAST(n_lines AS DOUBLE) AS v,
                             row_number() OVER (PARTITION BY l_returnflag ORDER BY sd) AS rn FROM ({SQL_DAILY_QTY_FLAG})),
 r AS (SELECT l_returnflag, rn, sd, v, v AS last, true AS emit FROM s WHERE rn = 1
@@ -108,7 +108,10 @@ r AS (SELECT l_returnflag, rn, sd, v, v AS last, true AS emit FROM s WHERE rn =
         abs(s.v - r.last) > {THRESHOLD} OR r.last < 0
       FROM r JOIN s ON s.l_returnflag = r.l_returnflag AND s.rn = r.rn + 1)
 SELECT l_returnflag, sd, v AS n_lines FROM r WHERE emit
-""")
+"""
+
+
+@query("X04_stream_change_points", SQL_CHANGE_POINTS)
 def x04(spark, sf):
     """Daily line counts per return flag arrive year by year; the last emitted value per
     series is stream state, so change points continue across micro-batches."""
@@ -127,3 +130,29 @@ def x04(spark, sf):
     out, ckpt = st.stream_dirs(spark, "x04")
     st.run_available(cp.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt), spark)
     return st.read_sink(spark, out, "l_returnflag string, sd date, n_lines double")
+
+
+@query("X04_stream_change_points_shuffled", SQL_CHANGE_POINTS)
+def x04_shuffled(spark, sf):
+    """The same rows land out of order, up to nine days late and in four files of one
+    micro-batch each: held until the watermark passes, they give the batch result."""
+    rollup = daily_qty(spark, sf, by_flag=True).select("l_returnflag", "sd", F.col("n_lines").cast("double").alias("n_lines"))
+    snap = scratch_path(spark, "x04s-rollup")
+    _land(rollup, snap)
+    d = spark.read.parquet(snap)
+    src = scratch_path(spark, "x04s-landing")
+    landed = F.year(F.date_add("sd", F.pmod(F.hash("sd", "l_returnflag"), F.lit(10))))
+    years = [r[0] for r in d.select(landed.alias("y")).distinct().orderBy("y").collect()]  # calendar years, bounded
+    for chunk in _chunks(years, 3):
+        _land(d.filter(landed.isin(chunk)).orderBy(F.hash("sd", "n_lines")).coalesce(1), src)
+    # a day far ahead, of no series: the watermark passes all rows
+    last = spark.range(1).select(F.lit(None).cast("string").alias("l_returnflag"), F.lit("2100-01-01").cast("date").alias("sd"),
+                                 F.lit(None).cast("double").alias("n_lines"))
+    _land(last.select(*d.columns), src)
+    out, ckpt = st.stream_dirs(spark, "x04s")
+    with st.use_rocksdb(spark):
+        sdf = st.read_stream(spark, src, d.schema, max_files=1)
+        cp = st.stream_change_points_late(sdf, "l_returnflag", "sd", "n_lines", THRESHOLD, delay="10 days")
+        st.run_available(cp.writeStream.outputMode("append").format("parquet").option("path", out)
+                         .option("checkpointLocation", ckpt), spark)
+    return st.read_sink(spark, out, "l_returnflag string, sd date, n_lines double").filter("l_returnflag IS NOT NULL")

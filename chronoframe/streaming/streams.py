@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from chronoframe.operators.loads import upsert, upsert_partitions
 from chronoframe.session import scratch_path
@@ -152,6 +154,93 @@ def stream_change_points(sdf: DataFrame, series: str, order: str, value: str, th
     return src.groupBy(series).applyInPandasWithState(step, out_schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+DAY_MS = 86_400_000
+
+
+class _HeldRows(StatefulProcessor):
+    """Rows of a series wait in list state until the watermark passes their day.
+    One timer, at the first day that waits, then takes all rows that are due, in
+    order, past the last emitted value."""
+
+    def __init__(self, names: Sequence[str], threshold: float, idle_days: int | None) -> None:
+        self.names, self.threshold, self.idle_days = list(names), threshold, idle_days
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.early = handle.getListState("early", "d long, v double")
+        self.last = handle.getValueState("last", "v double, d long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            d = pd.to_datetime(pdf["held_time"]).astype("datetime64[ms]").astype("int64") // DAY_MS
+            got = list(zip(d.tolist(), pdf["held_value"].astype("float64").tolist(), strict=True))
+            self.early.appendList(got)
+            first = int(d.min()) if first is None else min(first, int(d.min()))
+        if first is not None:
+            self.handle.registerTimer(first * DAY_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        held = [(int(d), float(v)) for d, v in self.early.get()] if self.early.exists() else []
+        due = sorted(r for r in held if r[0] <= now)
+        last, at = self.last.get() if self.last.exists() else (-1.0, None)
+        if not due:
+            if self.idle_days is not None and not held and at is not None and now - at >= self.idle_days:
+                self.last.clear()  # an idle series is forgotten: its next row starts anew
+            return
+        out = []
+        for d, v in due:
+            if abs(v - last) > self.threshold or last < 0:
+                out.append((d, v))
+                last = v
+        rest = [r for r in held if r[0] > now]
+        if rest:
+            self.early.put(rest)
+            self.handle.registerTimer(min(r[0] for r in rest) * DAY_MS)
+        else:
+            self.early.clear()
+        self.last.update((last, due[-1][0]))
+        if self.idle_days is not None:
+            self.handle.registerTimer((due[-1][0] + self.idle_days) * DAY_MS)
+        if out:
+            yield pd.DataFrame({self.names[0]: [key[0]] * len(out),
+                                self.names[1]: [pd.Timestamp(d * DAY_MS, unit="ms").date() for d, _ in out],
+                                self.names[2]: [v for _, v in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_change_points_late(sdf: DataFrame, series: str, order: str, value: str, threshold: float = 10.0,
+                              delay: str = "7 days", idle_days: int | None = None) -> DataFrame:
+    """As ``stream_change_points`` for rows that arrive in any order: a row is
+    judged when the watermark (the latest day less ``delay``) has passed its
+    day, behind all earlier rows of its series, so the result is that of the
+    batch operator W15. State holds the rows within ``delay`` and one value a
+    series; a series without rows for ``idle_days`` is forgotten. Rows later
+    than the watermark are dropped, as by any watermark. Needs the RocksDB
+    state store (``use_rocksdb``)."""
+    src = sdf.select(F.col(series).cast("string").alias(series), F.col(order).cast("timestamp").alias("held_time"),
+                     F.col(value).cast("double").alias("held_value")).withWatermark("held_time", delay)
+    return src.groupBy(series).transformWithStateInPandas(
+        _HeldRows([series, order, value], threshold, idle_days), f"`{series}` string, `{order}` date, `{value}` double",
+        "append", "EventTime")
+
+
+@contextmanager
+def use_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Start streams with the RocksDB state store, which state of several variables needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
+
+
 def run_available(writer, spark: SparkSession) -> None:
     """Run a stream over all files present now, however long that takes."""
     q = writer.trigger(availableNow=True).start()
