@@ -120,7 +120,9 @@ def anchored(texts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
                      pa.array(np.ascontiguousarray(s[:, 0])), pa.array(np.ascontiguousarray(s[:, 1]))], schema=schema)
         give_back()
 
-    return texts.select("text", "t1", "t2", "copies").mapInArrow(run, ", ".join(f"{k} long" for k in names))
+    # there are no nulls, and Spark is told so: joins then add no filters, and their sides stay one exchange
+    return texts.select("text", "t1", "t2", "copies").mapInArrow(run, ", ".join(f"{k} long" for k in names)).select(
+        *[F.coalesce(k, F.lit(0)).alias(k) for k in names])
 
 
 RANGES = "array<struct<a:int,b:int>>"
@@ -164,14 +166,17 @@ def sorted_group(table: pa.Table, min_bytes: int) -> pa.Table:
 def repeated_windows(texts: DataFrame, groups: int, min_bytes: int, gram: int, class_segments: int) -> DataFrame:
     """``t1, t2, lo, ranges``: ranges of windows, counted from ``lo``, that occur anywhere else."""
     found = anchored(texts, min_bytes, gram)
-    # most anchors are met once: eight bytes of each, combined before the shuffle, tell them apart
-    often = found.groupBy("anchor").agg(F.sum("copies").alias("uses")).where("uses > 1").select("anchor")
+    # most anchors are met once: eight bytes of each, combined before the shuffle, tell them apart. Counts are grouped
+    # by the complement, so that both sides of the join are shuffled for it and a hot anchor can be split
+    other = F.bitwise_not("anchor").alias("other")
+    often = found.groupBy(other).agg(F.sum("copies").alias("uses")).where("uses > 1").select(
+        F.bitwise_not("other").alias("anchor"))
     shared = found.join(often, "anchor")
     one = shared.groupBy("s1", "s2").agg(F.sum("copies").alias("mult"),
-                                         *[F.first(k).alias(k) for k in ("anchor", "t1", "t2", "at")])
+                                         *[F.coalesce(F.first(k), F.lit(0)).alias(k) for k in ("anchor", "t1", "t2", "at")])
     # whoever reads ``one`` reads all of its columns, so that its exchanges, and the scan of the texts below, happen once
-    kinds = one.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.hash("mult", "t1", "t2", "at")).alias("read"))
-    known = one.join(kinds, "anchor").where("read IS NOT NULL AND (kinds > 1 OR mult > 1)")
+    kinds = one.groupBy(other).agg(F.count("*").alias("kinds"), F.max(F.hash("mult", "t1", "t2", "at")).alias("read"))
+    known = one.join(kinds.withColumn("anchor", F.bitwise_not("other")).drop("other"), "anchor").where("read IS NOT NULL AND (kinds > 1 OR mult > 1)")
     # segments of an anchor without others are decided by their number: they travel without text, dealt evenly
     n = F.col("at").bitwiseAND(0xFFFF).cast("int")
     text = F.substring(F.col("text").cast("binary"), (F.shiftright("at", 16) + 1).cast("int"), n + (min_bytes - 1))
