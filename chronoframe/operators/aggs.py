@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -386,6 +388,65 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) as (a, b, r)")
 
 
+def correlation_matrix_long(df: DataFrame, series: str, date: str, value: str, dates_at_once: int = 256,
+                            series_at_once: int = 256) -> DataFrame:
+    """The matrix of A30 for any number of series in long form: ``(a, b, r)`` of
+    every ordered pair, diagonal 1, zero variance → 0. Dates that a series
+    lacks count as 0, rows of one cell add up, NULL values count as 0, rows
+    without a series are left out.
+
+    A blocked Gram matrix: each group of dates gives the outer product of
+    every pair of series blocks, and the products of a pair of blocks are
+    summed in one task of ``series_at_once`` squared numbers. The driver holds
+    the names of the series only, a root of the result.
+    """
+    src = df.filter(F.col(series).isNotNull()).select(F.col(series).cast("string").alias("s"), F.col(date).cast("string").alias("d"),
+                                                      F.col(value).cast("double").alias("v"))
+    names = [r[0] for r in src.select("s").distinct().orderBy("s").collect()]
+    n = src.select("d").distinct().count()
+    groups = max(1, -(-n // dates_at_once))
+    size, width = len(names), series_at_once
+    number = {s: i for i, s in enumerate(names)}
+    part = pa.schema([("bi", pa.int32()), ("bj", pa.int32()), ("xy", pa.binary()), ("x", pa.binary()), ("xx", pa.binary())])
+
+    def products(table: pa.Table) -> pa.Table:
+        days = table.column("d").combine_chunks().dictionary_encode(null_encoding="encode")
+        col = table.column("s").combine_chunks().dictionary_encode()
+        at = np.array([number[s] for s in col.dictionary.to_pylist()], np.int64)[col.indices.to_numpy()]
+        x = np.zeros((len(days.dictionary), size))
+        np.add.at(x, (days.indices.to_numpy(), at), np.nan_to_num(table.column("v").to_numpy(zero_copy_only=False)))
+        sums, squares = x.sum(0), (x * x).sum(0)
+        rows: list[list] = [[], [], [], [], []]
+        for bi in range(0, size, width):
+            for bj in range(bi, size, width):
+                i, j = slice(bi, bi + width), slice(bj, bj + width)
+                for out, v in zip(rows, (bi, bj, (x[:, i].T @ x[:, j]).tobytes(),
+                                         np.concatenate([sums[i], sums[j]]).tobytes(),
+                                         np.concatenate([squares[i], squares[j]]).tobytes()), strict=True):
+                    out.append(v)
+        return pa.table([pa.array(v, f.type) for v, f in zip(rows, part, strict=True)], schema=part)
+
+    def correlations(table: pa.Table) -> pa.Table:
+        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        ni, nj = min(width, size - bi), min(width, size - bj)
+        xy, x, xx = (np.sum([np.frombuffer(b.as_buffer()) for b in table.column(c)], axis=0) for c in ("xy", "x", "xx"))
+        cov = n * xy.reshape(ni, nj) - np.outer(x[:ni], x[ni:])
+        var = n * xx - x * x
+        scale = np.sqrt(np.outer(var[:ni], var[ni:]))
+        r = np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 0)
+        if bi == bj:
+            np.fill_diagonal(r, 1.0)
+        i, j = np.divmod(np.arange(ni * nj), nj)
+        known = pa.array(names)
+        a, b = known.take(pa.array(bi + i)), known.take(pa.array(bj + j))
+        one = pa.table({"a": a, "b": b, "r": pa.array(r.ravel())})
+        return one if bi == bj else pa.concat_tables([one, pa.table({"a": b, "b": a, "r": one.column("r")})])
+
+    partial = (src.withColumn("g", F.pmod(F.xxhash64("d"), F.lit(groups))).groupBy("g")
+               .applyInArrow(products, "bi int, bj int, xy binary, x binary, xx binary"))
+    return partial.groupBy("bi", "bj").applyInArrow(correlations, "a string, b string, r double")
+
+
 # A31
 def linear_trend(df: DataFrame, order: str, value: str, series=(), fitted: str = "trend") -> DataFrame:
     """OLS of value on the 0-based row index per series, in the sum form

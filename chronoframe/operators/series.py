@@ -16,6 +16,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from chronoframe.functions.common import as_col
@@ -24,6 +25,9 @@ from chronoframe.functions.numeric import round_to
 from chronoframe.operators.shape import dense_grid
 
 
+SORTED_ROWS = 31  # rows of a window that are sorted anew for each row
+
+
 def _keys(series) -> list:
     if series is None:
         return []
@@ -232,13 +236,44 @@ def step_interpolate(df: DataFrame, series, order: str, value: str, threshold: f
 # W13
 def rolling_median(df: DataFrame, series, order: str, value: str, window: int = 7, out: str = "smoothed") -> DataFrame:
     """Centred ±window//2 rows (edges truncated), *upper* median
-    ``sorted[floor(n / 2)]`` — not the averaging median."""
+    ``sorted[floor(n / 2)]`` — not the averaging median. NULL values are
+    skipped. Windows of more than ``SORTED_ROWS`` rows slide over an
+    order-statistics list (a step costs the logarithm of the window) in runs
+    of rows, each with the rows around it, so a long series spans tasks."""
     half = window // 2
+    if window > SORTED_ROWS:
+        return _sliding_median(df, _keys(series), order, value, half, out)
     w = _w(series, order).rowsBetween(-half, half)
     arr = F.sort_array(F.collect_list(value).over(w))
     return df.withColumn(out, F.element_at(arr, (F.floor(F.size(arr) / 2) + 1).cast("int")))
 
 
+def _sliding_median(df: DataFrame, k: list, order, value: str, half: int, out: str) -> DataFrame:
+    run = max(4 * half, 4096)
+    numbered = df.withColumn("__i", F.row_number().over(_w(k, order)) - 1)
+    own = F.floor(F.col("__i") / run)
+    # a row also goes to the run in front of it and the run behind it where its window reaches there
+    runs = F.array_distinct(F.array(F.greatest(F.floor((F.col("__i") - half) / run), F.lit(0)), own,
+                                    F.floor((F.col("__i") + half) / run)))
+    spread = numbered.select(*k, "__i", F.col(value).cast("double").alias("__x"), own.alias("__own"), F.explode(runs).alias("__run"))
+    schema = StructType([*(spread.schema[c] for c in k), StructField("__i", IntegerType()), StructField("__m", DoubleType())])
+
+    def slide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        # of n sorted values the position n / 2, rounded down: the higher of the two in the middle
+        median = pdf["__x"].rolling(2 * half + 1, center=True, min_periods=1).quantile(0.5, interpolation="higher")
+        res = pdf[[*k, "__i"]].assign(__m=median)
+        return res[pdf["__own"] == pdf["__run"]]
+
+    medians = spread.groupBy(*k, "__run").applyInPandas(slide, schema)
+    same = numbered["__i"] == F.col("__j")
+    for i, c in enumerate(k):
+        same = same & numbered[c].eqNullSafe(F.col(f"__k{i}"))
+    named = medians.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(k)], F.col("__i").alias("__j"), "__m")
+    kind = dict(df.dtypes)[value]
+    return numbered.join(named, same).withColumn(out, F.col("__m").cast(kind)).drop("__i", "__j", "__m", *[f"__k{i}" for i in range(len(k))])
+
+
 # W14
 def rate_of_change(df: DataFrame, series, order: str, value: str, window: int = 30, out: str = "rate") -> DataFrame:
     """Mean daily difference over ±window//2 rows × 30, only where the full

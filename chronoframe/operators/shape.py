@@ -102,18 +102,26 @@ def order_by_expr(df: DataFrame, expr: Column, k: int | None = None, tie: Sequen
 
 
 # T05
-def top_k_resorted(df: DataFrame, by: str, k: int, name: str) -> DataFrame:
-    """Top k by measure (ties by name), then re-sorted alphabetically."""
-    return df.orderBy(F.col(by).desc(), F.col(name).asc()).limit(k).orderBy(name)
+def top_k_resorted(df: DataFrame, by: str, k: int, name: str, collation: str | None = None) -> DataFrame:
+    """Top k by measure (ties by name), then re-sorted alphabetically: by code
+    point, or by a collation (``UNICODE`` is the locale order of a browser's
+    default ``localeCompare``; code points break its ties)."""
+    rank = _alphabetical(name, collation)
+    return df.orderBy(F.col(by).desc(), *rank).limit(k).orderBy(*rank)
+
+
+def _alphabetical(col: str, collation: str | None) -> list[Column]:
+    return ([F.collate(as_col(col).cast("string"), collation).asc()] if collation else []) + [as_col(col).asc()]
 
 
 # T06
-def priority_sort(df: DataFrame, col: str, pinned: Sequence[str], out: str = "priority") -> DataFrame:
-    """Pinned members first (in pinned order), then alphabetical."""
+def priority_sort(df: DataFrame, col: str, pinned: Sequence[str], out: str = "priority",
+                  collation: str | None = None) -> DataFrame:
+    """Pinned members first (in pinned order), then alphabetical (see ``top_k_resorted``)."""
     rank = F.lit(len(pinned))
     for i, p in enumerate(reversed(pinned)):
         rank = F.when(as_col(col) == p, F.lit(len(pinned) - 1 - i)).otherwise(rank)
-    return df.withColumn(out, rank).orderBy(out, col)
+    return df.withColumn(out, rank).orderBy(out, *_alphabetical(col, collation))
 
 
 # T07
@@ -148,8 +156,11 @@ def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # U03
-def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols).distinct().orderBy(*cols)
+def distinct_values(df: DataFrame, cols: Sequence[str], collation: str | None = None) -> DataFrame:
+    """Distinct combinations, sorted; text columns by ``collation`` if there is one (see ``top_k_resorted``)."""
+    values = df.select(*cols).distinct()
+    kinds = dict(values.dtypes)
+    return values.orderBy(*[o for c in cols for o in _alphabetical(c, collation if kinds[c] == "string" else None)])
 
 
 # U04

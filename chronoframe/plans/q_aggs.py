@@ -523,6 +523,27 @@ def a30(spark, sf):
     return aggs.correlation_matrix(m, EVENT_TYPES)
 
 
+SQL_SUPPLY_SERIES = """SELECT n.n_name || l.l_returnflag AS s, CAST(l.l_shipdate AS DATE) AS d, SUM(l.l_quantity) AS v
+FROM lineitem l JOIN supplier p ON l.l_suppkey = p.s_suppkey JOIN nation n ON p.s_nationkey = n.n_nationkey GROUP BY 1, 2"""
+
+
+@query("A30_correlation_matrix_long", f"""
+WITH x AS MATERIALIZED ({SQL_SUPPLY_SERIES}), n AS (SELECT count(DISTINCT d) AS n FROM x),
+m AS (SELECT s, sum(v) AS sx, sum(v * v) AS sxx FROM x GROUP BY s),
+g AS (SELECT a.s AS a, b.s AS b, sum(a.v * b.v) AS xy FROM x a JOIN x b ON a.d = b.d GROUP BY 1, 2)
+SELECT p.s AS a, q.s AS b, CASE WHEN p.s = q.s THEN 1.0 WHEN (n * p.sxx - p.sx * p.sx) * (n * q.sxx - q.sx * q.sx) > 0
+  THEN (n * coalesce(xy, 0) - p.sx * q.sx) / sqrt((n * p.sxx - p.sx * p.sx) * (n * q.sxx - q.sx * q.sx)) ELSE 0.0 END AS r
+FROM m p CROSS JOIN m q CROSS JOIN n LEFT JOIN g ON g.a = p.s AND g.b = q.s
+""")
+def a30_long(spark, sf):
+    """Every pair of daily series, one series a supplier nation and return flag, as a blocked Gram matrix."""
+    s = table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "l_suppkey") \
+        .join(table(spark, sf, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+    x = lineitem(spark, sf).join(s, "l_suppkey").groupBy(F.concat("n_name", "l_returnflag").alias("s"), F.col("sd").alias("d")) \
+        .agg(F.sum("l_quantity").alias("v"))
+    return aggs.correlation_matrix_long(x, "s", "d", "v")
+
+
 @query("A31_linear_trend", f"""
 WITH s AS (SELECT od, CAST(n_orders AS DOUBLE) AS y, CAST(row_number() OVER (ORDER BY od) - 1 AS DOUBLE) AS x
            FROM ({SQL_DAILY_ORDERS})),

@@ -252,6 +252,19 @@ def w13(spark, sf):
     return series.rolling_median(d, None, "od", "n_orders", 7)
 
 
+WIDE = "(PARTITION BY event_type ORDER BY d ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)"
+
+
+@query("W13_rolling_median_wide", f"""
+SELECT event_type, d, n, list_sort(list(n) OVER {WIDE})[CAST(floor(count(*) OVER {WIDE} / 2) AS BIGINT) + 1] AS smoothed
+FROM (SELECT event_type, CAST(ts AS DATE) AS d, COUNT(*) AS n FROM events GROUP BY 1, 2)
+""")
+def w13_wide(spark, sf):
+    """Centred median of a year of rows per event type, over a sliding order-statistics list."""
+    e = events(spark, sf).groupBy("event_type", "d").agg(F.count(F.lit(1)).alias("n"))
+    return series.rolling_median(e, "event_type", "d", "n", 365)
+
+
 @query("W14_rate_of_change", f"""
 SELECT sd, total, (a - b) / 30.0 * 30.0 AS rate FROM (
   SELECT sd, total, lead(total, 15) OVER (ORDER BY sd) AS a, lag(total, 15) OVER (ORDER BY sd) AS b FROM ({SQL_RUNNING_QTY}))

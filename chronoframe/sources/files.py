@@ -47,9 +47,7 @@ def scan_table(spark: SparkSession, source: str, columns: Sequence[str] | None =
     if where is not None:
         if isinstance(where, str):
             if params:
-                view = f"__scan_{abs(hash(source)) % 10**8}"
-                df.createOrReplaceTempView(view)
-                df = spark.sql(f"SELECT * FROM {view} WHERE {where}", args=dict(params))
+                df = spark.sql(f"SELECT * FROM {{scanned}} WHERE {where}", args=dict(params), scanned=df)  # its view is dropped again
             else:
                 df = df.filter(F.expr(where))
         else:
