@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoframe import functions as fx
+from chronoframe import sources
 from chronoframe.operators import aggs, joins, series
 from chronoframe.plans.common import (
     SQL_DAILY_ORDERS, SQL_DAILY_QTY, SQL_PAIRS, SQL_RUNNING_QTY, daily_orders, daily_qty, dec, dsum,
@@ -24,6 +25,15 @@ def a01(spark, sf):
     return aggs.table_stats(orders(spark, sf), "od")
 
 
+@query("A01_table_stats_footer", """
+SELECT COUNT(*) AS count, MIN(l_orderkey) AS min_l_orderkey, MAX(l_orderkey) AS max_l_orderkey, MIN(l_quantity) AS min_l_quantity,
+  MAX(l_quantity) AS max_l_quantity, MIN(l_returnflag) AS min_l_returnflag, MAX(l_returnflag) AS max_l_returnflag FROM lineitem
+""")
+def a01_footer(spark, sf):
+    """Line item count and extremes: numbers from the file footers, text by a scan of its column."""
+    return sources.footer_stats(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_returnflag"])
+
+
 @query("A02_table_count", "SELECT COUNT(*) AS count FROM lineitem")
 def a02(spark, sf):
     """Line item count."""

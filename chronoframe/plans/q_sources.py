@@ -142,6 +142,25 @@ def s07_meta(spark, sf):
     return sources.scan_json_pages(spark, path, None, PAGE_ROWS)
 
 
+@query("S07_scan_json_variant", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN NULL ELSE o_totalprice END AS price,
+  CASE o_orderstatus WHEN 'O' THEN o_orderpriority END AS note FROM orders
+""")
+def s07_variant(spark, sf):
+    """Pages that disagree: the price is a number, a numeric text or absent, an odd key holds a text or an object."""
+    o = table(spark, sf, "orders")
+    status = F.col("o_orderstatus")
+    record = F.when(status == "F", F.to_json(F.struct("o_orderkey", F.struct("o_orderpriority").alias("note*")))).when(
+        status == "O", F.to_json(F.struct("o_orderkey", F.col("o_totalprice").alias("price (eur)"), F.col("o_orderpriority").alias("note*")))
+    ).otherwise(F.to_json(F.struct("o_orderkey", F.col("o_totalprice").cast("string").alias("price (eur)"))))
+    path = fz.write_json_pages(o.select(record.alias("j")), "orders-pages-odd",
+                               lambda rows, n: F.concat(F.lit('{"data": ['), F.array_join(F.transform(rows, lambda r: r["j"]), ","),
+                                                        F.lit("]}")))
+    return sources.scan_json_variant(spark, path, "$.data", {
+        "o_orderkey": ("$.o_orderkey", "bigint"), "price": ("$['price (eur)']", "double"), "note": ("$['note*']", "string")
+    }).withColumn("note", F.when(~F.col("note").startswith("{"), F.col("note")))
+
+
 SQL_GEO_BOXES = """WITH b AS (SELECT CAST(ts AS DATE) AS date, event_type, min(value) AS x0, max(value) AS x1,
     CAST(min(user_id) AS DOUBLE) AS y0, CAST(max(user_id) AS DOUBLE) AS y1 FROM events GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY event_type) - 1 AS feature_id FROM b)"""

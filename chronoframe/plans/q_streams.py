@@ -88,8 +88,14 @@ def x03(spark, sf):
     src = scratch_path(spark, "x03-landing")
     weeks = [r[0] for r in e.select(F.date_trunc("week", "ts").alias("w")).distinct().orderBy("w").collect()]  # calendar-bounded
     out, ckpt = st.stream_dirs(spark, "x03")
-    for chunk in _chunks(weeks, 3) or [[]]:  # land in time order, so no row arrives behind the watermark
-        _land(e.filter(F.date_trunc("week", "ts").isin(chunk)) if chunk else e, src)
+    chunks = _chunks(weeks, 3) or [[]]
+    part = F.lit(0)
+    for i, chunk in enumerate(chunks[1:], 1):
+        part = F.when(F.date_trunc("week", "ts") >= F.lit(chunk[0]), F.lit(i)).otherwise(part)
+    staged = scratch_path(spark, "x03-staged")
+    e.withColumn("part", part).write.partitionBy("part").parquet(staged)  # one scan of the table for all landings
+    for i in range(len(chunks)):  # land in time order, so no row arrives behind the watermark
+        _land(st.read_sink(spark, f"{staged}/part={i}", e.schema), src)
         # one micro-batch a landing: the watermark moves between landings, never between the files of one
         sdf = st.read_stream(spark, src, e.schema, max_files=None).withColumn("ts", F.col("ts").cast("timestamp"))
         st.run_available(st.sink_updates(st.stream_bucket_count(sdf, "ts", ["event_type"], "1 day", "1 day"), out, ckpt), spark)

@@ -197,6 +197,19 @@ def _ddl_struct(spark: SparkSession, schema) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in st.fields)
 
 
+# S07, pages that differ
+def scan_json_variant(spark: SparkSession, path: str, items: str, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Landed pages whose records differ in keys and types from page to page, in
+    one pass and without an inference scan: a page is parsed as ``VARIANT`` and
+    ``columns`` takes ``{name: (path, type)}`` out of each record, e.g.
+    ``{"amount": ("$['amount (eur)']", "double")}``. A key that a record lacks,
+    or a value that is no such type, is NULL; a page that is no JSON has no
+    records. ``items`` is the path of the array in a page, ``$`` for the page."""
+    pages = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("page"))
+    records = pages.select(F.explode(F.try_variant_get("page", items, "array<variant>")).alias("r"))
+    return records.select(*[F.try_variant_get("r", at, kind).alias(name) for name, (at, kind) in columns.items()])
+
+
 # S08
 def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
     """FeatureCollection files named by date → one row per polygon vertex:

@@ -40,12 +40,15 @@ def stream_ingest_dedup(sdf: DataFrame, keys: Sequence[str], ts: str, delay: str
 
 # X02
 def stream_upsert(sdf: DataFrame, target_path: str, keys: Sequence[str], order: str, checkpoint: str,
-                  partition_by: Sequence[str] = ()):
+                  partition_by: Sequence[str] = (), keep: int = 2):
     """Micro-batch upsert.
 
     Without ``partition_by``: batch ``k`` merges into the latest snapshot with
     a smaller batch id and writes snapshot ``batch=k``; a replayed batch reads
-    the same predecessor and overwrites its own directory.
+    the same predecessor and overwrites its own directory. Each batch rewrites
+    the table, so this form is for small ones. The last ``keep`` snapshots stay
+    (2 at least: a replay needs the predecessor, a reader the newest); older
+    ones are removed when a newer one is complete.
 
     With ``partition_by`` (the scalable form): each batch is merged into one
     partitioned table, rewriting only the partitions it touches
@@ -81,10 +84,22 @@ def stream_upsert(sdf: DataFrame, target_path: str, keys: Sequence[str], order:
             if cur_id is not None:
                 current = prev.filter(F.col("batch") == cur_id).drop("batch")
         upsert(current, batch.select(*current.columns), keys, order).write.mode("overwrite").parquet(out)
+        remove_old_snapshots(spark, target_path, batch_id, max(keep, 2))
 
     return sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def remove_old_snapshots(spark: SparkSession, target_path: str, newest: int, keep: int) -> list[str]:
+    """Delete the folders ``batch=<id>`` up to ``newest`` but the last ``keep``; returns their names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory())
+    old = [n for n in found if n.startswith("batch=") and int(n[6:]) <= newest][:-keep]
+    for name in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+    return old
+
+
 def read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream's file sink, or an empty frame of ``schema`` when no batch has
     written anything yet (no input files)."""
