@@ -43,6 +43,7 @@ def footer_stats(spark: SparkSession, path: str, columns: Sequence[str] = ()) ->
         kinds = dict(spark.read.parquet(path).dtypes)
         quick = footer_query(spark, path, [c for c in columns if kinds[c] in FOOTER_TYPES])
         got = quick.collect()[0].asDict()
+        got["count"] = got["count"] or 0  # files without a row group have no footer count to add up
         fields = {f.name: f for f in quick.schema}
         rest = [c for c in columns if kinds[c] not in FOOTER_TYPES]
         if rest:
