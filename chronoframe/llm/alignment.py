@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.hashing import give_back, string_buffers
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19  # of text aligned at once
 JOINED = 1 << 14  # characters of parts that are encoded as one text
-KEPT = 400_000  # distinct parts whose tokens a task keeps; then afresh
+KEPT = 200_000  # distinct parts whose tokens a task keeps; then afresh
 # First bytes of the UTF-8 forms of blanks beyond ASCII
 _WIDE_BLANK = (0xC2, 0xE1, 0xE2, 0xE3)
 
