@@ -149,12 +149,14 @@ def sorted_group(table: pa.Table, min_bytes: int) -> pa.Table:
     segment = np.searchsorted(starts, order, "right") - 1
     total = np.bincount(run, weights=weight[segment].astype(np.float64))
     again = np.sort(order[(total[run] > 1) & (weight[segment] == 1)])
+    if not len(again):
+        return decided
     owner = np.searchsorted(starts, again, "right") - 1
     edge = np.ones(len(again), bool)
     edge[1:] = (again[1:] != again[:-1] + 1) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(edge)
     last = np.append(first[1:], len(again)) - 1
-    rows, at = np.unique(owner[first], return_index=True) if len(first) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rows, at = np.unique(owner[first], return_index=True)
     a = pa.array((again[first] - starts[owner[first]]).astype(np.int32))
     b = pa.array((again[last] - starts[owner[first]] + 1).astype(np.int32))
     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)),
