@@ -153,15 +153,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "recipe")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where ``docs`` has a column so called (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts, all columns as they are."""
+    """The rows of ``docs`` that stay, one of each group of equal texts, all columns as they are, whatever their names."""
+    i, s, t, o = free_names(docs, "__id", "__sha", "__tied", "__own")
     stay = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("tied").alias("__tied"))
+        F.col("doc_id").alias(i), F.col("text_sha256").alias(s), F.col("tied").alias(t))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    rows = docs.withColumn("__own", sha).join(
-        stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    tied = rows.where("__tied").dropDuplicates(["__id", "__sha"])  # rows that share the least id: any one of equals
-    return rows.where("not __tied").unionByName(tied).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(o, sha).join(
+        stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(i)) & (F.col(o) == F.col(s)))
+    tied = rows.where(F.col(t)).dropDuplicates([i, s])  # rows that share the least id: any one of equals
+    return rows.where(~F.col(t)).unionByName(tied).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from chronoframe.llm.blocks import (BLOCK_BYTES, answer, ask, bounds, conclude, ids_of, in_blocks, messages, pack,
                                     smallest, text_bytes, unpack)
 from chronoframe.llm.components import components
+from chronoframe.llm.exact_dedup import free_names
 from chronoframe.llm.hashing import hashed_words, mix64, windows
 from chronoframe.session import cut_lineage
 
@@ -291,11 +292,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, all columns as they are; rows without an id stay."""
+    """The rows of ``docs`` whose id is the least of their component, all columns as they are, whatever their names;
+    rows without an id stay."""
+    name, = free_names(docs, "__id")
     stay = (jaccard_components(docs, id_col, text_col).where("component_id = doc_id")
-            .select(F.col("doc_id").alias("__id")).distinct())
+            .select(F.col("doc_id").alias(name)).distinct())
     own = F.col(f"`{id_col}`").cast("long")
-    return docs.where(own.isNull()).unionByName(docs.join(stay, own == F.col("__id"), "left_semi"))
+    return docs.where(own.isNull()).unionByName(docs.join(stay, own == F.col(name), "left_semi"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -269,3 +269,22 @@ def test_clusters_without_python(spark):
     got = centroid_clusters(spark.createDataFrame(vectors(20, 4), VECTORS), dimensions=4, centroids=3, rounds=1)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# -- names that clash ---------------------------------------------------------
+
+@pytest.mark.parametrize("stage", ["unique_rows", "one_of_each_group"])
+def test_stages_with_clashing_names(spark, stage):
+    from chronoframe.llm.exact_dedup import unique_rows
+    from chronoframe.llm.jaccard_join import one_of_each_group
+    names = ["__id", "__sha", "__tied", "__own", "__ID_", "component_id", "kept", "node"]
+    text = "one two three four five six seven eight"
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([text, text, "other words here and there again", text + " "])]
+    # names that differ in case only cannot stand in one frame
+    keep = [n for n in names if n != "__ID_"]
+    df = spark.createDataFrame([r[:6] + r[7:] for r in rows], ["doc_id", "text", *keep])
+    got = {"unique_rows": unique_rows, "one_of_each_group": one_of_each_group}[stage](df)
+    assert got.columns == df.columns
+    want = [0, 2] if stage == "one_of_each_group" else [0, 2, 3]  # a blank at the end is a difference
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    assert all(r["__id"] == f"__id{r['doc_id']}" and r["__own"] == f"__own{r['doc_id']}" for r in got.collect())
