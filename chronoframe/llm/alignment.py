@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from chronoframe.llm.hashing import give_back, string_buffers
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19  # of text aligned at once
 JOINED = 1 << 14  # characters of parts that are encoded as one text
-KEPT = 200_000  # distinct parts whose tokens a task keeps; then afresh
+KEPT = 200_000  # distinct parts whose tokens a worker keeps; then afresh
 # First bytes of the UTF-8 forms of blanks beyond ASCII
 _WIDE_BLANK = (0xC2, 0xE1, 0xE2, 0xE3)
 
@@ -116,10 +118,11 @@ class Pair:
             self._forget()
         new = [x for x in parts if x not in self.known]
         # parts that may stand behind one another are encoded as one text and taken apart where they end
-        plain = [x for x in new if self.cuttable and x[-1] != " " and "▁" not in x and x[1:2] > " " and
-                 x[1].encode()[0] not in _WIDE_BLANK]
-        chosen = set(plain)
-        single = [x for x in new if x not in chosen]
+        plain, single = [], []
+        for x in new:
+            c = x[1:2]  # its first byte may not be one of _WIDE_BLANK
+            joins = self.cuttable and ("!" <= c < "\x80" or "\xc0" <= c < "\u1000" or c >= "\u4000") and x[-1] != " " and "▁" not in x
+            (plain if joins else single).append(x)
         groups, size = [[]], 0
         for x in plain:
             if size > JOINED:
@@ -268,12 +271,14 @@ def aligned_documents(docs: DataFrame, byte_level: str, pieces: str, id_col: str
                       ).withColumn("t", F.when(F.length("text") > 0, F.unhex(F.sha2("text", 256))))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    made: list[Pair] = []
 
     def tokenizers() -> Pair:
-        if not made:  # once a task
-            made.append(Pair(byte_level, pieces))
-        return made[0]
+        """Both, and the parts they know, for as long as the worker lives: loading takes as long as a megabyte of text."""
+        worker = sys.modules.setdefault("_chronoframe_alignment", types.ModuleType("_chronoframe_alignment"))
+        held = worker.__dict__.setdefault("pairs", {})
+        if (byte_level, pieces) not in held:
+            held[byte_level, pieces] = Pair(byte_level, pieces)
+        return held[byte_level, pieces]
 
     seen_schema = pa.schema([("t", pa.binary()), ("text", pa.large_string()), ("copies", pa.int64())])
 
