@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -332,7 +334,12 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
     read. ``ranks`` is a path that executors have.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(ranks, pattern)
+        # for as long as the worker lives: pieces, parts and valid pairs that one task met serve the next
+        worker = sys.modules.setdefault("_chronoframe_bpe", types.ModuleType("_chronoframe_bpe"))
+        held = worker.__dict__.setdefault("coders", {})
+        if (ranks, pattern) not in held:
+            held[ranks, pattern] = TextCoder(ranks, pattern)
+        coder = held[ranks, pattern]
         for whole in batches:
             _, off = string_buffers(whole.column(1))
             for i, j in _slices(off, SLICE_BYTES):
