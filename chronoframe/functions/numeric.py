@@ -14,17 +14,14 @@ from chronoframe.functions.exact import exact_number
 FLOAT_MISSING = ("", "nan", "NaN", "#N/A", "N/A", "None")
 
 
-def guarded_numeric(c, scale: int | None = None) -> Column:
+def guarded_numeric(c, scale: int = 18) -> Column:
     """Numeric value if the text matches ``^[0-9.]+$`` (and is a number), else 0.
 
     ``'1.2.3'`` passes the pattern but is no number, so it is 0; negatives and
-    ``1e6`` are 0 too. The value is canonical decimal text, exact at any
-    length. With ``scale`` it is DECIMAL(38, scale), and NULL where that type
-    would lose a digit.
+    ``1e6`` are 0 too. The value is DECIMAL(38, scale), and NULL where that
+    type would lose a digit; ``exact_number`` keeps every digit, as text.
     """
     exact = exact_number(c)
-    if scale is None:
-        return exact
     decimals = F.length(exact) - F.length(F.substring_index(exact, ".", 1)) - 1  # -1 without a point
     return F.when(decimals <= scale, exact.try_cast(f"decimal(38,{scale})"))
 

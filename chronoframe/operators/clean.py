@@ -144,7 +144,7 @@ def filter_icontains(df: DataFrame, col: str, pattern: str) -> DataFrame:
 def guarded_numeric(df: DataFrame, col: str, out: str | None = None, scale: int | None = None) -> DataFrame:
     """Plain decimal text → its value, any other text → 0. Exact canonical text of
     any length; with ``scale`` a DECIMAL(38, scale), NULL where digits would be lost."""
-    return df.withColumn(out or col, fx.guarded_numeric(col, scale))
+    return df.withColumn(out or col, fx.exact_number(col) if scale is None else fx.guarded_numeric(col, scale))
 
 
 # The route tables of the reference's mixed date parsers
