@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.session import broadcast_below
+
 BITS = 1 << 15  # of one bitmap, fixed by bitmap_construct_agg
 PROBES = 4
 #: Bitmaps of a filter: 512 are 2 MB and let one in a hundred absent keys pass at about two million keys.
@@ -46,7 +48,8 @@ def flag_possible(table: DataFrame, batch: DataFrame, keys: Sequence[str], bitma
     every = is_set(bits[0])
     for b in bits[1:]:
         every = every & is_set(b)
-    return (table.withColumn("__bucket", bucket).join(F.broadcast(bloom_filter(batch, keys, bitmaps)), "__bucket", "left")
+    small = broadcast_below(bloom_filter(batch, keys, bitmaps), bitmaps * (BITS // 8 + 64))
+    return (table.withColumn("__bucket", bucket).join(small, "__bucket", "left")
             .withColumn(flag, F.coalesce(every, F.lit(False))).drop("__bucket", "__bits"))
 
 
