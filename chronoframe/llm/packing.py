@@ -10,7 +10,9 @@ side. All sequences are full but the last.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ from chronoframe.session import scratch_path
 WINDOW = 4096
 END_ID = 2
 CACHED_WORDS = 600_000
+#: Letters, one digit, or marks of ASCII; other characters match nothing, or are no letters.
+RUNS = re.compile(r"[^\W\d_]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class WordIds:
@@ -31,9 +35,10 @@ class WordIds:
 
     The tokeniser splits at blanks before anything else, so a text's ids are
     its words' ids in order; ids of words seen are kept (``CACHED_WORDS`` at
-    most, then afresh). A word that is one run of letters, in NFC, with plain
-    lower-casing goes straight to the file's merges; any other word goes
-    through the whole tokeniser.
+    most, then afresh), and so are those of their runs. Inside a word it splits
+    at runs of letters, digits and runs of marks; where these are letters in
+    NFC with plain lower-casing and marks of ASCII, each run goes straight to
+    the file's merges. Any other word goes through the whole tokeniser.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,38 +49,59 @@ class WordIds:
         self.small = self.whole.get_vocab_size() <= 1 << 16
         self.kind = np.dtype("<u2" if self.small else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _letters(self, word: bytes) -> list[int] | None:
-        text = word.decode()
-        low = text.lower()
-        if not (text.isalpha() and low.isalpha()) or "Σ" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.small else "I", ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        raw = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+        return self._pack([t.id for t in self.whole.model.tokenize(raw)])
+
+    def _by_runs(self, low: str) -> bytes | None:
+        """The ids of a word in lower case that is only plain runs."""
+        known, size, out = self.runs, 0, []
+        for run in RUNS.findall(low):
+            got = known.get(run)
+            if got is None:
+                if not (run.isascii() or run.isalpha()):
+                    return None
+                got = known[run] = self._run(run)
+            out.append(got)
+            size += len(run)
+        if size != len(low):
             return None
-        raw = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
-        return [t.id for t in self.whole.model.tokenize(raw)]
-
-    def _ids(self, word: bytes) -> bytes:
-        ids = self._letters(word)
-        if ids is None and word[-1:] in b".,;:!?" and word[:-1] and word[-2:-1] not in b".,;:!?":
-            ids = self._letters(word[:-1])
-            ids = None if ids is None else ids + self.whole.encode(word[-1:].decode(), add_special_tokens=False).ids
-        if ids is None:
-            ids = self.whole.encode(word.decode(), add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) >= CACHED_WORDS:
+            self.known.clear()
+        if len(self.runs) >= CACHED_WORDS:
+            self.runs.clear()
+        joined = b"\n".join(words).decode()
+        composed = joined.isascii() or unicodedata.is_normalized("NFC", joined)
+        # quotes start contractions and ``<|`` special tokens: the file's own rules settle those
+        plain = composed and not ("'" in joined or "<|" in joined or "Σ" in joined)
+        texts = joined.split("\n")
+        lows = joined.lower().split("\n") if plain else [
+            x.lower() if (composed or unicodedata.is_normalized("NFC", x)) and not ("'" in x or "<|" in x or "Σ" in x) else ""
+            for x in texts]
+        for word, text, low in zip(words, texts, lows, strict=True):
+            got = self._by_runs(low) if low else None
+            self.known[word] = self._pack(self.whole.encode(text, add_special_tokens=False).ids) if got is None else got
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text, packed."""
-        known, out = self.known, []
-        for word in text.split():
-            got = known.get(word)
-            if got is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                got = known[word] = self._ids(word)
-            out.append(got)
+        words = text.split()
+        out = list(map(self.known.get, words))
+        if None in out:
+            new = {word for word, got in zip(words, out, strict=True) if got is None}
+            self._learn(new if len(self.known) < CACHED_WORDS else set(words))
+            out = map(self.known.get, words)
         return b"".join(out)
 
 
