@@ -74,11 +74,20 @@ class Ranks:
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array([self.rank[x] for x in names])[order]
         self.sizes = size[order]
-
-    def find(self, h: np.ndarray, size: int) -> np.ndarray:
-        """Rank of the token with each hash and that many bytes, or -1."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where((self.hashes[at] == h) & (self.sizes[at] == size), self.ids[at], -1)
+        # which leading bits occur at all, by number of bytes: most strings are no token and leave here
+        self.leading = [np.zeros(1 << 16, bool) for _ in range(self.longest + 1)]
+        for k, lead in enumerate(self.leading):
+            lead[self.hashes[self.sizes == k] >> np.uint64(48)] = True
+
+    def find(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``h`` whose hash is that of a token of that many bytes, and the tokens' ranks."""
+        maybe = np.flatnonzero(self.leading[size][h >> np.uint64(48)])
+        if not len(maybe):
+            return maybe, maybe
+        own = h[maybe]
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        good = np.flatnonzero((self.hashes[at] == own) & (self.sizes[at] == size))
+        return maybe[good], self.ids[at[good]]
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one: its bytes merged by all lower ranks."""
@@ -208,15 +217,14 @@ def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[list[int]]:
         for k in range(min(i, ranks.longest), 0, -1):
             if not len(open_):
                 break
-            token = ranks.find(hashes[i][open_] - hashes[i - k][open_] * ranks.power[k], k)
-            at = np.flatnonzero(token >= 0)
+            at, token = ranks.find(hashes[i][open_] - hashes[i - k][open_] * ranks.power[k], k)
             if not len(at):
                 continue
             if i > k:
-                pair, of = np.unique(last[i - k][open_[at]] * total + token[at], return_inverse=True)
-                good = np.array(ranks.all_valid(pair.tolist()), bool)
-                at = at[good[of]]
-            last[i][open_[at]] = token[at]
+                pair, of = np.unique(last[i - k][open_[at]] * total + token, return_inverse=True)
+                good = np.array(ranks.all_valid(pair.tolist()), bool)[of]
+                at, token = at[good], token[good]
+            last[i][open_[at]] = token
             length[i][open_[at]] = k
             open_ = np.delete(open_, at)
     place, row = size.copy(), np.arange(n)
@@ -272,7 +280,7 @@ class TextCoder:
         if split:
             if len(self.pieces) > KEPT:
                 self.pieces.clear()
-            fresh = list({x for own in split.values() for x in own} - self.pieces.keys())
+            fresh = [x for x in {x for own in split.values() for x in own} if x not in self.pieces]
             names = self.ranks.bytes
             for x, got in zip(fresh, encode_pieces(self.ranks, [x.encode() for x in fresh]), strict=True):
                 self.pieces[x] = len(got), " ".join(map(str, got)).encode(), b"".join([names[t] for t in got])

@@ -1,11 +1,11 @@
-"""Word ids by runs."""
+"""Word ids by runs and token lookups that leave early."""
 
 from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
 
-from chronoframe.llm import packing
+from chronoframe.llm import bpe, packing
 
 
 class Watched:
@@ -41,3 +41,18 @@ def test_other_words_go_through_the_whole_tokeniser(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 3)  # forgets between texts and inside none
     for _ in range(2):
         assert np.frombuffer(ids.encode(text.encode()), ids.kind).tolist() == want
+
+
+def test_find_gives_places_of_tokens_only():
+    ranks = bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    names = list(ranks.rank)[::97]
+    for size in {len(x) for x in names}:
+        own = [x for x in names if len(x) == size]
+        strings = own + [bytes([255 - b for b in x]) for x in own]
+        h = np.zeros(len(strings), np.uint64)
+        raw = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, size)
+        for k in range(size):
+            h = h * np.uint64(bpe._BASE) + raw[:, k] + np.uint64(1)
+        at, rank = ranks.find(h, size)
+        assert dict(zip(at.tolist(), rank.tolist(), strict=True)) == {
+            i: ranks.rank[x] for i, x in enumerate(strings) if x in ranks.rank}
