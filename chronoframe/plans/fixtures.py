@@ -66,38 +66,38 @@ def write_json_pages(df: DataFrame, name: str, page, rows_per_page: int = 5000)
     return path
 
 
-def csv_lines(pdf: pd.DataFrame, header: bool = True) -> list[str]:
+def csv_text(pdf: pd.DataFrame, header: bool = True) -> str:
     buf = io.StringIO()
     pdf.to_csv(buf, index=False, header=header, lineterminator="\n", date_format="%Y-%m-%d")
-    text = buf.getvalue().rstrip("\n")
-    return text.split("\n") if text else []
+    return buf.getvalue()
 
 
 def write_zipped_csv(df: DataFrame, name: str, member: str, min_files: int = 4) -> str:
     """One ZIP archive per input split holding a BOM-prefixed CSV member and
-    an unrelated text member, written with the filesystem of the target URI."""
+    an unrelated text member, written with the filesystem of the target URI.
+    The member is packed as its rows arrive: a task holds one batch of them."""
     path = scratch_path(df.sparkSession, name)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
-        frames = list(it)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if not len(pdf):
-            return
-        blob = io.BytesIO()
-        with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as zf:
-            zf.writestr(member, ("﻿" + "\n".join(csv_lines(pdf)) + "\n").encode("utf-8"))
-            zf.writestr("readme.txt", "not data\n")
         from pyspark import TaskContext
+        frames = (pdf for pdf in it if len(pdf))
+        first = next(frames, None)
+        if first is None:
+            return
         # named by partition: a retried task overwrites its own archive instead of adding a duplicate
         target = f"{path}/part-{TaskContext.get().partitionId():05d}.zip"
         filesystem, p = pafs.FileSystem.from_uri(target if "://" in target else "file://" + target.replace("file:", ""))
         filesystem.create_dir(p.rsplit("/", 1)[0], recursive=True)
-        with filesystem.open_output_stream(p) as out:
-            out.write(blob.getvalue())
-        yield pd.DataFrame({"file": [target], "rows": [len(pdf)]})
+        rows = len(first)
+        with filesystem.open_output_stream(p) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+            with zf.open(member, "w", force_zip64=True) as body:
+                body.write(("\ufeff" + csv_text(first)).encode("utf-8"))
+                for pdf in frames:
+                    body.write(csv_text(pdf, header=False).encode("utf-8"))
+                    rows += len(pdf)
+            zf.writestr("readme.txt", "not data\n")
+        yield pd.DataFrame({"file": [target], "rows": [rows]})
 
     _spread(df, min_files).mapInPandas(run, "file string, rows long").collect()  # one row per archive
     from pyarrow import fs as pafs

@@ -1,11 +1,16 @@
-"""Word ids by runs and token lookups that leave early."""
+"""Word ids by runs, token lookups that leave early, and archives packed as their rows arrive."""
 
 from __future__ import annotations
 
+import zipfile
+
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
 from chronoframe.llm import bpe, packing
+from chronoframe.plans import fixtures
 
 
 class Watched:
@@ -56,3 +61,25 @@ def test_find_gives_places_of_tokens_only():
         at, rank = ranks.find(h, size)
         assert dict(zip(at.tolist(), rank.tolist(), strict=True)) == {
             i: ranks.rank[x] for i, x in enumerate(strings) if x in ranks.rank}
+
+
+@pytest.mark.parametrize("rows", [0, 1, 95])
+def test_archives_are_packed_as_rows_arrive(spark, rows):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        df = spark.range(0, rows, 1, 1).select("id", F.concat(F.lit('a "b", '), F.col("id").cast("string")).alias("t"))
+        path = fixtures.write_zipped_csv(df, "zip-stream", "data.csv", min_files=1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    from chronoframe.session import local_dir
+    import glob
+    found = glob.glob(f"{local_dir(path)}/*.zip")
+    assert len(found) == (rows > 0)
+    for name in found:
+        with zipfile.ZipFile(name) as z:
+            assert z.namelist() == ["data.csv", "readme.txt"] and z.testzip() is None
+            text = z.read("data.csv").decode("utf-8")
+            assert text == "﻿id,t\n" + "".join(f'{i},"a ""b"", {i}"\n' for i in range(rows))
+            # sizes follow the data: nothing was held until the end
+            assert z.getinfo("data.csv").flag_bits & 8
